@@ -10,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 #: Words of the contracts: everything between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -63,9 +65,13 @@ def sliced(batches: Iterable[pa.RecordBatch], text: int = 1, chars: int = BATCH_
 def by_texts(df: DataFrame, columns: list, function: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """Maps slices of (columns...), of which the second is the text, to rows of the schema."""
 
+    wanted = to_arrow_schema(_parse_datatype_string(schema))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches):
-            yield pa.RecordBatch.from_pydict(function(part))
+            found = function(part)
+            arrays = [v.cast(f.type) if isinstance(v := found[f.name], pa.Array) else pa.array(v, f.type) for f in wanted]
+            yield pa.RecordBatch.from_arrays(arrays, schema=wanted)
 
     return df.select(*columns).mapInArrow(run, schema)
 

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxlens.llm import packing, tokens
+from fluxlens.llm import lines, media, mixing, packing, quality, tokens
+from fluxlens.llm.common import crc_of_id
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -19,18 +20,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(mixing.mix(table(spark, sf_dir, "documents"), share=1.5, most=2, cycle=(5, 2, 1), block_words=64))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=512)
     return found.select("doc_id", "n_bytes", "n_tokens", "over_limit", "limit_chars")
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.audio_columns(table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.drop_lines(docs, min_docs=10, min_chars=1).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+OP7_SQL = r"""
+with lines as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as place
+  from documents
+), keyed as (
+  select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from lines
+), frequent as (
+  select key from keyed where key <> '' group by key having count(distinct doc_id) >= 10
+), marked as (
+  select k.*, f.key is not null as gone from keyed k left join frequent f on k.key = f.key
+)
+select doc_id, cast(count(*) as bigint) as n_lines, cast(count_if(gone) as bigint) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by place) filter (where not gone), '')) as kept_sha256
+from marked group by doc_id
+"""
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), fit_rows=4000, held_out_part=1, parts=3)
+    return quality.score_quality(docs, model).select("doc_id", (crc_of_id() % 3 == 1).alias("held_out"), "score", "predicted")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), capacity=2048, end_id=1)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_token_counts, op10_packing)}
+    return {f.__name__: f for f in (op2_mixing, op3_token_counts, op6_media_columns, op7_line_dedup, op9_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_dedup": OP7_SQL}
