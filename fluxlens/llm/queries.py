@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxlens.llm import lines, media, mixing, packing, quality, tokens
+from fluxlens.llm import lines, media, mixing, mtree, packing, quality, tokens
 from fluxlens.llm.common import crc_of_id
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -20,6 +20,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
+OP1_SQL = """
+with whole as (
+  select distinct vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id,
+         cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+  from whole q join whole c on q.vec_id <> c.vec_id and len(q.v) = len(c.v)
+  where q.vec_id % 50 = 0
+), ranked as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score
+  from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixing.mix(table(spark, sf_dir, "documents"), share=1.5, most=2, cycle=(5, 2, 1), block_words=64))
 
@@ -69,8 +92,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_mixing, op3_token_counts, op6_media_columns, op7_line_dedup, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_top_k, op2_mixing, op3_token_counts, op6_media_columns, op7_line_dedup, op9_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": OP7_SQL}
+    return {"op1_top_k": OP1_SQL, "op7_line_dedup": OP7_SQL}
