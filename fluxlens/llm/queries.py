@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxlens.llm import lines, media, mixing, mtree, packing, quality, tokens
+from fluxlens.llm import lines, media, mixing, mtree, neardup, packing, quality, tokens
 from fluxlens.llm.common import crc_of_id
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -52,6 +52,44 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", "over_limit", "limit_chars")
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+OP4_SQL = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as w
+  from documents
+), shingles as (
+  select distinct doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as s
+  from words where len(w) > 1
+  union all
+  select doc_id, w[1] from words where len(w) = 1
+), sizes as (
+  select doc_id, count(*) as n from shingles group by doc_id
+), alike as (
+  select a.doc_id as u, b.doc_id as v, count(*) as shared
+  from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id
+  group by a.doc_id, b.doc_id
+), links as (
+  select u, v from alike join sizes x on x.doc_id = u join sizes y on y.doc_id = v
+  where 100 * shared >= 80 * (x.n + y.n - shared)
+), both_ways as (
+  select u, v from links union all select v, u from links
+), reached as (
+  select doc_id as start, doc_id as node from documents
+  union
+  select r.start, l.v from reached r join both_ways l on l.u = r.node
+), least as (
+  select start as doc_id, min(node) as component_id from reached group by start
+)
+select d.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, component_id, d.doc_id = component_id as kept
+from documents d left join sizes s on s.doc_id = d.doc_id join least l on l.doc_id = d.doc_id
+"""
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.audio_columns(table(spark, sf_dir, "documents"))
 
@@ -92,8 +130,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_top_k, op2_mixing, op3_token_counts, op6_media_columns, op7_line_dedup, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_top_k, op2_mixing, op3_token_counts, op4_minhash, op6_media_columns, op7_line_dedup, op9_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_top_k": OP1_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op1_top_k": OP1_SQL, "op4_minhash": OP4_SQL, "op7_line_dedup": OP7_SQL}
