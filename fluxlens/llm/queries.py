@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxlens.llm import lines, media, mixing, mtree, neardup, packing, quality, tokens
+from fluxlens.llm import lines, lm, media, mixing, mtree, neardup, packing, quality, tokens
 from fluxlens.llm.common import crc_of_id
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -119,6 +119,10 @@ from marked group by doc_id
 """
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.log_bilinear_scores(table(spark, sf_dir, "documents"), crc_of_id() % 7 == 2)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), fit_rows=4000, held_out_part=1, parts=3)
@@ -130,7 +134,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_top_k, op2_mixing, op3_token_counts, op4_minhash, op6_media_columns, op7_line_dedup, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_top_k, op2_mixing, op3_token_counts, op4_minhash, op6_media_columns, op7_line_dedup, op8_lm_scoring, op9_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
