@@ -64,12 +64,13 @@ class Model:
         return ((scores - top - np.log(np.exp(scores - top).sum(axis=1, keepdims=True))) / np.log(10)).astype(np.float32)
 
 
-def noise_contrastive(pairs: np.ndarray, *, size: int = 48, noise: float = 20.0, epochs: int = 40, batch: int = 128, rate: float = 0.03, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def noise_contrastive(pairs: np.ndarray, *, size: int = 48, noise: float = 20.0, epochs: int = 40, batch: int = 128, rate: float = 0.03, decay: float = 1.0, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Trains context vectors, target vectors and biases on counts of (context, word).
 
     A batch of contexts at a time, every observed word is told from ``noise``
     words drawn from the unigram distribution; the noise is taken in
     expectation, so a batch is a few matrix products (updates by Adam).
+    ``decay`` pulls vectors to zero where there is little to learn from.
     """
     classes = len(pairs)
     rng = np.random.default_rng(seed)
@@ -89,7 +90,8 @@ def noise_contrastive(pairs: np.ndarray, *, size: int = 48, noise: float = 20.0,
             data = 1.0 / (1.0 + np.exp(-np.clip(context @ target.T + bias - offset, -30, 30)))
             gradient = weight * (seen * (1 - data) - noise * total * unigram.astype(np.float32) * data)
             changes = [np.zeros_like(params[0]), gradient.T @ context, gradient.sum(axis=0)]
-            changes[0][rows] = gradient @ target
+            changes[0][rows] = gradient @ target - decay * context
+            changes[1] -= decay * len(rows) / classes * target
             step += 1
             for k, (p, g) in enumerate(zip(params, changes)):
                 m, v = moments[k]
