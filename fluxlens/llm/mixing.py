@@ -160,7 +160,8 @@ def mix(docs: DataFrame, *, share: float = 1.5, most: int = 2, cycle: tuple[floa
         .drop("size")
     )
     drawn = _slots(spark, plan, shard_slots, seed)
-    return Mix(plan, ordered, drawn, drawn.join(pieces, ["sid", "block"]))
+    # The engine takes the slots for as few as the rows they are made from, and would send them everywhere.
+    return Mix(plan, ordered, drawn, drawn.hint("merge").join(pieces, ["sid", "block"]))
 
 
 def _slots(spark, plan: Plan, shard_slots: int, seed: int) -> DataFrame:
@@ -205,7 +206,7 @@ def _slots(spark, plan: Plan, shard_slots: int, seed: int) -> DataFrame:
 def taken_words(mixed: Mix) -> DataFrame:
     """doc_id, size, source_size, target, taken: the words that the mix takes of each document, repeats counted."""
     taken = mixed.spans.groupBy("sid", "offset").agg(F.sum("length").alias("taken"))
-    joined = mixed.docs.withColumn("at", F.when(F.col("size") > 0, F.col("offset"))).join(taken.withColumnRenamed("offset", "at"), ["sid", "at"], "left")
+    joined = mixed.docs.withColumn("at", F.when(F.col("size") > 0, F.col("offset"))).join(taken.withColumnRenamed("offset", "at").hint("merge"), ["sid", "at"], "left")
     return joined.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -219,7 +220,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     columns = docs.columns
     mixed = mix(docs.withColumn("__row", F.struct(*columns)), keep=("__row",), **options)
     spans = mixed.spans.groupBy("sid", "offset", "epoch").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("__spans"))
-    rows = mixed.docs.where("size > 0").join(spans, ["sid", "offset"])
+    rows = mixed.docs.where("size > 0").join(spans.hint("merge"), ["sid", "offset"])
 
     def cut(batch) -> dict:
         texts = []
