@@ -15,7 +15,7 @@ from fluxlens.llm.common import WORD, by_texts, texts_of, written
 #: Most sources of a mix; their list is held by the driver and sent to every task.
 MAX_SOURCES = 100_000
 #: Rows of a source that one task orders at a time.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 #: Output shards are drawn in at most so many groups, each by a task of its own.
 SHARD_GROUPS = 512
 EMPTY = np.iinfo(np.int64).min
