@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxlens.llm import lines, lm, media, mixing, mtree, neardup, packing, quality, tokens
+from fluxlens.llm import lines, lm, media, mixing, mtree, neardup, packing, passages, quality, tokens
 from fluxlens.llm.common import crc_of_id
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -90,6 +90,10 @@ from documents d left join sizes s on s.doc_id = d.doc_id join least l on l.doc_
 """
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"), percent=80, min_words=25)
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.audio_columns(table(spark, sf_dir, "documents"))
 
@@ -134,7 +138,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_top_k, op2_mixing, op3_token_counts, op4_minhash, op6_media_columns, op7_line_dedup, op8_lm_scoring, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_top_k, op2_mixing, op3_token_counts, op4_minhash, op5_substring_dedup, op6_media_columns, op7_line_dedup, op8_lm_scoring, op9_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
