@@ -82,7 +82,7 @@ class LineRuns:
         return keys.select("key").distinct().join(seen, "key", "left_anti")
 
 
-def drop_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 4, keep_text: bool = False, text_col: str = "text") -> DataFrame:
+def drop_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 4, keep_first: bool = False, keep_text: bool = False, text_col: str = "text") -> DataFrame:
     """Drops every line whose key is found in at least ``min_docs`` documents.
 
     The corpus is added to the runs in ``batches``; keys with enough documents
@@ -90,6 +90,9 @@ def drop_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, batch
     key meets at most once per document and is summed before it is shuffled; a key in
     very many documents is spread by the engine's splitting of skewed joins.
 
+    With ``keep_first`` one document, that of the smallest row hash, keeps
+    such a line: of many copies of a text one stays whole.
+
     Returns the columns of ``docs``, or without ``keep_text`` all but the
     text, and n_lines, n_dropped, kept_sha256; an own column of such a name
     gives way.  Null and empty texts are one empty line and are kept (null as
@@ -106,7 +109,11 @@ def drop_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, batch
     for k in range(batches):
         runs.add(keys.where(F.pmod("row", F.lit(batches)) == k))
     frequent = written(runs.counts().where(F.col("docs") >= min_docs).select("key"), "frequent")
-    found = keys.join(frequent, "key", "left_semi").groupBy("row").agg(F.collect_set("key").alias("__keys"))
+    hits = keys.join(frequent, "key", "left_semi")
+    if keep_first:
+        first = written(hits.groupBy("key").agg(F.min("row").alias("first")), "first")
+        hits = keys.join(first, "key").where("row <> first")
+    found = hits.groupBy("row").agg(F.collect_set("key").alias("__keys"))
     joined = docs.withColumn("__row", row_key).join(found.withColumnRenamed("row", "__row"), "__row", "left")
 
     def drop(batch) -> dict:

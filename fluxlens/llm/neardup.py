@@ -281,13 +281,13 @@ class NearDuplicates:
         return labels
 
     def result(self) -> DataFrame:
-        """A row for each document: id, row, n, component."""
+        """A row for each document: id, row, n, label (of its component, null without words), component (its smallest id)."""
         labels = self.labels()
         placed = self.classes.select("class", "least_id").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
         placed = written(placed, "placed")
         roots = written(placed.groupBy("label").agg(F.min("least_id").alias("component")), "roots")
-        by_class = written(placed.join(roots, "label").select("class", "component"), "by_class")
-        return self.members.select("id", "row", "class", "n").join(by_class, "class", "left").select("id", "row", "n", F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
+        by_class = written(placed.join(roots, "label").select("class", "component", "label"), "by_class")
+        return self.members.select("id", "row", "class", "n").join(by_class, "class", "left").select("id", "row", "n", "label", F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -312,3 +312,17 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     """
     found = NearDuplicates(docs, words, percent, id_col=id_col, text_col=text_col).result()
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, one of each group of near duplicates: that of the smallest id.
+
+    Documents without words are in no group and stay; rows that are equal in
+    id and text become one.  All columns stay as they are.
+    """
+    alike = NearDuplicates(docs, words, percent, id_col=id_col, text_col=text_col)
+    found = alike.result()
+    first = F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")
+    keepers = found.where("label is not null").groupBy("label").agg(first).select(F.col("first.row").alias("__row"))
+    keepers = written(keepers.unionAll(found.where("label is null").select(F.col("row").alias("__row"))).distinct(), "keepers")
+    return docs.withColumn("__row", alike.row).join(keepers, "__row", "left_semi").dropDuplicates(["__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -162,16 +162,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 4000, hel
 def score_quality(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ()) -> DataFrame:
     """Scores whole texts between 0 and 1, higher where label 1 is likelier.
 
-    Returns doc_id, score, predicted, and the columns of ``keep``.  Null and
+    Returns doc_id, score, predicted, and the columns of ``keep`` (of other names).  Null and
     empty texts get the score of a text without n-grams; every row gets its
     own row, whatever its id; an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def score(batch) -> dict:
         features, own = Features(), shared.value
         found = [own.score(features(t)) for t in texts_of(batch)]
-        return {"doc_id": batch.column(0), "score": found, "predicted": [int(x >= 0.5) for x in found]} | {c: batch.column(2 + k) for k, c in enumerate(keep)}
+        return {"doc_id": batch.column(0), "score": found, "predicted": [int(x >= 0.5) for x in found]} | {c: batch.column(columns.index(c)) for c in keep}
 
-    return by_texts(docs, ["doc_id", "text", *keep], score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int" + (", " + kinds) * bool(kinds))
+    columns = ["doc_id", "text", *[c for c in keep if c != "text"]]
+    return by_texts(docs, columns, score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int" + (", " + kinds) * bool(kinds))
