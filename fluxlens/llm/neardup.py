@@ -18,8 +18,11 @@ from fluxlens.llm.graph import components
 BANDS, ROWS = 32, 4
 #: Low bits kept of each of the BANDS * ROWS minima.
 BITS = 2
-#: Members of a bucket that one task compares with each other.
+#: Members of a bucket or family that make up a cell, and their shingles; a task compares two cells at a time.
 CELL = 2048
+CELL_SHINGLES = 4_000_000
+#: Size up to which the sets of two cells are compared as rows of bits.
+MATRIX_BYTES = 64 << 20
 
 _rng = np.random.default_rng(20240229)
 _TIMES = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -119,6 +122,76 @@ def _bits(table: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(table), -1)
 
 
+def _in_cells(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows by group and cell; a group of several cells is laid out as all pairs of its cells."""
+    own = F.pmod(F.xxhash64("class"), "cells")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))
+    pairs = rows.withColumn("own", own).withColumn("other", other)
+    return pairs.select(key, (F.least("own", "other") * F.col("cells") + F.greatest("own", "other")).alias("cell"), *columns)
+
+
+def _links(rows: DataFrame, key: str, function: Callable[[pa.Table], Iterator[tuple[bytes, bytes]]], name: str) -> DataFrame:
+    """Distinct pairs of classes that the function finds in each cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: dict[tuple[bytes, bytes], None] = {}
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], pa.binary()) for k in (0, 1)], names=["u", "v"])
+            done.clear()
+            return out
+
+        for table in _grouped(batches, 2):
+            for a, b in function(table):
+                done[(a, b) if a < b else (b, a)] = None
+            if len(done) > 100_000:
+                yield flush()
+        if done:
+            yield flush()
+
+    return written(rows.repartition(key, "cell").sortWithinPartitions(key, "cell").mapInArrow(run, "u binary, v binary").distinct(), name)
+
+
+def _linked(sets: list[np.ndarray], bits: np.ndarray, percent: int, least: float) -> Iterator[tuple[int, int]]:
+    """Confirmed links that join up the members of a cell, likeliest first.
+
+    Pairs whose estimate is too low are left out, and pairs that are in one
+    component by now; every other pair is confirmed.
+    """
+    sizes = np.array(list(map(len, sets)))
+    names, counts = np.unique(np.concatenate(sets), return_counts=True)
+    names = names[counts > 1]  # what only one holds is in no intersection
+    matrix = None
+    if len(sets) * len(names) <= 8 * MATRIX_BYTES:
+        width = -(-max(1, len(names)) // 64) * 64
+        matrix = np.zeros((len(sets), width // 64), np.uint64)
+        for k, own in enumerate(sets):
+            row = np.zeros(width, bool)
+            if len(names):
+                at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+                row[at[names[at] == own]] = True
+            matrix[k] = np.packbits(row).view(np.uint64)
+    label = np.arange(len(sets))
+    for k in range(1, len(sets)):
+        small, large = np.minimum(sizes[:k], sizes[k]), np.maximum(sizes[:k], sizes[k])
+        e = estimated(bits[k], bits[:k])
+        near = np.flatnonzero((e >= least) & (100 * small >= percent * large))
+        near = near[np.argsort(-e[near], kind="stable")]
+        while len(near):
+            near = near[label[near] != label[k]]
+            part, near = near[:64], near[64:]
+            if not len(part):
+                break
+            if matrix is not None:
+                shared = np.bitwise_count(matrix[part] & matrix[k]).sum(axis=1).astype(np.int64)
+            else:
+                shared = np.array([len(np.intersect1d(sets[k], sets[j], assume_unique=True)) for j in part.tolist()])
+            for j in part[100 * shared >= percent * (sizes[part] + sizes[k] - shared)].tolist():
+                if label[j] != label[k]:
+                    label[label == label[j]] = label[k]
+                    yield j, k
+
+
 class NearDuplicates:
     """Classes of equal sets, links between them, components: see :func:`near_duplicates`."""
 
@@ -149,37 +222,21 @@ class NearDuplicates:
         self.classes = written(
             self.members.where("class is not null").groupBy("class")
             .agg(F.min("id").alias("least_id"), F.min("row").alias("row"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("bands").alias("bands")), "classes")
-        self.tested: DataFrame | None = None
-        self.links: DataFrame | None = None
 
     # -- candidates --------------------------------------------------------
 
     def _buckets(self) -> DataFrame:
-        """Members of the band buckets that hold several classes; large ones in cells."""
+        """Members of the band buckets that hold several classes.
+
+        A large bucket is worked on in pairs of its cells, so that every two
+        members meet in some task and none holds the whole bucket."""
         rows = written(self.classes.select(F.explode("bands").alias("bucket"), "class", "n", "bits"), "bands")
         full = written(rows.groupBy("bucket").count().where("count > 1").select("bucket", F.ceil(F.col("count") / CELL).alias("cells")), "full")
-        return written(rows.join(full, "bucket").withColumn("cell", F.pmod(F.xxhash64("class", "bucket"), "cells")), "buckets")
-
-    def _pairs(self, rows: DataFrame, function: Callable[[pa.Table], Iterator[tuple[bytes, bytes]]]) -> DataFrame:
-        """Distinct untested pairs that the function finds in each cell."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            done: dict[tuple[bytes, bytes], None] = {}
-            for table in _grouped(batches, 2):
-                for a, b in function(table):
-                    done[(a, b) if a < b else (b, a)] = None
-                if len(done) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], pa.binary()) for k in (0, 1)], names=["u", "v"])
-                    done.clear()
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], pa.binary()) for k in (0, 1)], names=["u", "v"])
-
-        found = rows.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").mapInArrow(run, "u binary, v binary").distinct()
-        if self.tested is not None:
-            found = found.join(self.tested, ["u", "v"], "left_anti")
-        return written(found, "pairs")
-
-    def _spanning_pairs(self) -> DataFrame:
+        return _in_cells(rows.join(full, "bucket"), "bucket", ["class", "n", "bits"])
+
+    def _candidates(self, buckets: DataFrame) -> DataFrame:
+        """A spanning forest of each bucket, most similar first, by estimate: it
+        connects whatever is connected by estimates above the cutoff."""
         percent, least = self.percent, self.least
 
         def span(table: pa.Table) -> Iterator[tuple[bytes, bytes]]:
@@ -188,97 +245,43 @@ class NearDuplicates:
                 for a, b in _spanning(table.column("n").to_numpy(), _bits(table), percent, least):
                     yield classes[a], classes[b]
 
-        return self._pairs(self.buckets.select("bucket", "cell", "class", "n", "bits"), span)
-
-    def _open_pairs(self, labels: DataFrame, most: int | None) -> DataFrame:
-        """Pairs across components in a common bucket: those outside the bucket's
-        largest component against all, ``most`` of the likeliest for each (all: None)."""
-        percent, least = self.percent, self.least
-        labelled = written(self.buckets.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class")), "labelled")
-        sizes = labelled.groupBy("bucket", "label").count().groupBy("bucket").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-        split = written(sizes.select("bucket", "main"), "split")
-        rows = labelled.join(split, "bucket").withColumn("aside", F.col("label") != F.col("main"))
-        base = rows.select("bucket", "cell", "class", "n", "bits", "label", F.lit(False).alias("asks"))
-        asking = rows.where("aside").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"), "class", "n", "bits", "label", F.lit(True).alias("asks"))
-
-        def cross(table: pa.Table) -> Iterator[tuple[bytes, bytes]]:
-            asks = np.array(table.column("asks").to_pylist(), bool)
-            n, bits, classes = table.column("n").to_numpy(), _bits(table), table.column("class").to_pylist()
-            codes: dict[bytes, int] = {}
-            label = np.array([codes.setdefault(x, len(codes)) for x in table.column("label").to_pylist()])
-            there = np.flatnonzero(~asks)
-            for at in np.flatnonzero(asks).tolist():
-                fits = there[(label[there] != label[at]) & (np.minimum(n[there], n[at]) * 100 >= np.maximum(n[there], n[at]) * percent)]
-                if not len(fits):
-                    continue
-                e = estimated(bits[at], bits[fits])
-                near = e >= least
-                fits, e = fits[near], e[near]
-                if most is not None and len(fits) > most:
-                    fits = fits[np.argsort(-e, kind="stable")[:most]]
-                for k in fits.tolist():
-                    yield classes[at], classes[k]
-
-        return self._pairs(base.unionAll(asking), cross)
+        return _links(buckets, "bucket", span, "pairs")
 
     # -- confirmation ------------------------------------------------------
 
-    def _sets(self) -> DataFrame:
-        """The full set of one document of each class that shares a bucket."""
+    def _families(self, families: DataFrame) -> DataFrame:
+        """Classes of each family of candidates, with the full set of one of their documents."""
         make = self.make
-        wanted = written(self.buckets.select("class").distinct().join(self.classes.select("class", "row"), "class"), "wanted")
-        texts = self.docs.select(self.row.alias("row"), self.text.alias("text")).join(wanted, "row")
+        wanted = written(families.join(self.classes.select(F.col("class").alias("node"), "row", "n", "bits"), "node"), "wanted")
+        sizes = written(wanted.groupBy("label").agg(F.count("*").alias("count"), F.sum("n").alias("total")).select("label", F.ceil(F.greatest(F.col("count") / CELL, F.col("total") / CELL_SHINGLES)).alias("cells")), "sizes")
+        texts = self.docs.select(self.row.alias("row"), self.text.alias("text")).join(wanted.join(sizes, "label"), "row")
 
         def sets(batch) -> dict:
-            return {"class": batch.column(2), "shingles": [make(x).tobytes() for x in texts_of(batch)]}
-
-        return written(by_texts(texts, ["row", "text", "class"], sets, "class binary, shingles binary").dropDuplicates(["class"]), "sets")
-
-    def _confirmed(self, pairs: DataFrame) -> DataFrame:
-        percent = self.percent
-        a = self.sets.select(F.col("class").alias("u"), F.col("shingles").alias("a"))
-        b = self.sets.select(F.col("class").alias("v"), F.col("shingles").alias("b"))
-        # The first join's result is written, so that the engine may split hot classes in either.
-        half = written(pairs.join(a, "u"), "half")
-
-        def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = []
-                for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    both = np.concatenate((x, y))
-                    both.sort(kind="stable")
-                    shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                    if 100 * shared >= percent * (len(x) + len(y) - shared):
-                        keep.append(k)
-                yield batch.select(["u", "v"]).take(pa.array(keep, pa.int64()))
-
-        return written(half.join(b, "v").select("u", "v", "a", "b").mapInArrow(confirm, "u binary, v binary"), "links")
-
-    def _try(self, pairs: DataFrame) -> bool:
-        if pairs.isEmpty():
-            return False
-        found = self._confirmed(pairs)
-        self.tested = pairs if self.tested is None else self.tested.unionAll(pairs)
-        self.links = found if self.links is None else self.links.unionAll(found)
-        return True
+            return {"family": batch.column(2), "class": batch.column(3), "n": batch.column(4), "bits": batch.column(5), "cells": batch.column(6), "shingles": [make(x).tobytes() for x in texts_of(batch)]}
+
+        columns = ["row", "text", "label", "node", "n", "bits", "cells"]
+        found = by_texts(texts, columns, sets, "family binary, class binary, n long, bits binary, cells long, shingles binary")
+        # Equal rows have equal sets; one of them is enough.
+        found = written(found.withColumn("bucket", F.xxhash64("family")).dropDuplicates(["class"]), "sets")
+        return _in_cells(found, "bucket", ["class", "n", "bits", "shingles"])
+
+    def _confirmed(self, families: DataFrame) -> DataFrame:
+        """Links, confirmed on full sets, that connect whatever confirmed links connect in a family."""
+        percent, least = self.percent, self.least
+
+        def confirm(table: pa.Table) -> Iterator[tuple[bytes, bytes]]:
+            if len(table) > 1:
+                classes = table.column("class").to_pylist()
+                sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+                for a, b in _linked(sets, _bits(table), percent, least):
+                    yield classes[a], classes[b]
+
+        return _links(families, "bucket", confirm, "links")
 
     def labels(self) -> DataFrame:
         """(node, label) of all classes that have links."""
-        self.buckets = self._buckets()
-        empty = self.classes.sparkSession.createDataFrame([], "node binary, label binary")
-        if self.buckets.isEmpty():
-            return empty
-        self.sets = self._sets()
-        if not self._try(self._spanning_pairs()):
-            return empty
-        labels = components(self.links) if not self.links.isEmpty() else empty
-        for most in (8, None):
-            while self._try(self._open_pairs(labels, most)):
-                labels = components(self.links) if not self.links.isEmpty() else empty
-                if most is not None:
-                    break
-        return labels
+        families = components(self._candidates(self._buckets()))
+        return components(self._confirmed(self._families(families)))
 
     def result(self) -> DataFrame:
         """A row for each document: id, row, n, label (of its component, null without words), component (its smallest id)."""
@@ -296,12 +299,13 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, id_co
     Documents of equal sets form a class.  Classes that share a band of their
     MinHash minima are candidates; 2 bits of each of 128 minima estimate the
     similarity of two and leave out pairs five standard errors below the
-    limit.  Candidates are confirmed on the full sets, in this order: a
-    spanning forest of each bucket, most similar first; then the eight
-    likeliest of each class outside the bucket's largest component; then all
-    pairs across components that are left.  Pairs within one component are
-    not tried, as they can't change it.  Buckets of over ``CELL`` classes are
-    worked on in cells; no group is gathered whole in one task.
+    limit.  A spanning forest of each bucket joins candidates up to families.
+    In each family every pair with a sufficient estimate is confirmed on the
+    full sets, likeliest first, unless both are in one component already,
+    where a link can't change anything.  Buckets and families beyond a size
+    are worked on in pairs of cells; no group is gathered whole in one task,
+    and pairs are never laid out as rows: tasks hand on the few links that
+    join up components.
 
     Returns doc_id, n_shingles, component_id (the smallest id reachable),
     kept (the id is the component's).  With fewer words than a shingle all
