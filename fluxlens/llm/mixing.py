@@ -236,7 +236,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         return out | {"text": texts} | ({"n_chars": [len(t) for t in texts]} if "n_chars" in columns else {})
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    done = by_texts(rows, ["size", F.col("__row.text").alias("text"), "__spans", *[F.col(f"__row.`{c}`").alias(c if c != "text" else "__text") for c in columns]], cut, kinds + ", `text` string")
+    done = by_texts(rows, ["size", F.col("__row.text").alias("text"), "__spans", *[F.col(f"__row.`{c}`").alias(f"__column{k}") for k, c in enumerate(columns)]], cut, kinds + ", `text` string")
     return done.select(*columns)
 
 
