@@ -135,7 +135,7 @@ QUERIES = {
     "a10_adjusted_scan": """select ticker, date, floor(open * 100 + 5e-1) / 1e2 as open, floor(close * 100 + 5e-1) / 1e2 as close from funds where close is not null and date is not null""",
     "a11_missing_partitions": """select e.ticker, case when count(f.date) = 0 then 'missing' else 'ok' end as state, count(f.date) as sessions
         from (select 'IDX' as ticker union all select 'L1' as ticker union all select 'X9' as ticker) e left join funds f on f.ticker = e.ticker group by e.ticker""",
-    "a12_source_fallback": """select a.date, round(case when b.close is null or abs(a.close - b.close) / a.close > 5e-3 then a.close else b.close end, 4) as close,
+    "a12_source_fallback": """select a.date, round(case when b.close is null or abs(a.close - b.close) / a.close > 5e-3 then a.close else b.close end, 8) as close,
         case when b.close is null then 'recent' else 'history' end as source
         from daily a left join (select date, close * (1 + (ck % 3) * 4e-3) as close from daily where pos % 5 <> 0) b on a.date = b.date""",
     "a14_typed_records": """select event_id, cast(ts as date) as day, try_cast(value as double) as value from events where try_cast(value as double) is not null and event_type is not null""",
@@ -146,7 +146,7 @@ QUERIES = {
         round(case when count(close) over w252 >= 20 then close / max(close) over w252 - 1 end, 8) as drawdown20
         from daily window w50 as (order by date rows between 49 preceding and current row), w252 as (order by date rows between 251 preceding and current row)""",
     "b4_override_coalesce": """select date, round(coalesce(case when ck % 4 = 0 then ck * 1e-6 end, return_1d), 8) as flow_share from daily""",
-    "b8_source_hash": """select date, substring(@sha(concat(cast(date as varchar(10)), '|', @text('%.10f', close), '|', @text('%.4f', trading_value))), 1, 16) as source_hash from daily""",
+    "b8_source_hash": """select date, substring(@sha(concat(cast(date as varchar(10)), '|', @text('%.10f', floor(close * 100 + 5e-1) / 1e2), '|', @text('%.4f', trading_value))), 1, 16) as source_hash from daily""",
     "b9_b11_states": """select channel, date, round(percentile, 6) as percentile, state, case when state in ('fear', 'extreme_fear') then 'fear' when state in ('greed', 'extreme_greed') then 'greed' else 'neutral' end as direction from states""",
     "b10_variable_tail": """select t.tail, case when percentile is null then 'unavailable' when percentile <= t.tail then 'extreme_fear' when percentile <= 20 then 'fear' when percentile < 80 then 'neutral' when percentile < 100 - t.tail then 'greed' else 'extreme_greed' end as state, count(*) as n
         from states cross join (select 1 as tail union all select 2 as tail union all select 5 as tail union all select 20 as tail) t group by 1, 2""",
@@ -240,7 +240,12 @@ VIEWS = ("orders", "lineitem", "customer", "nation", "part", "supplier", "events
 
 
 def text_of(name: str, which: int) -> str:
-    body = QUERIES[name].strip()
+    return with_adapters(QUERIES[name], which)
+
+
+def with_adapters(body: str, which: int) -> str:
+    """A query, or further named queries and it after a comma, behind the adapters."""
+    body = body.strip()
     return dialect(BASE.rstrip().replace("@@SIGNALS@@", SIGNALS if which else "") + (body if body.startswith(",") else "\n" + body), which)
 
 

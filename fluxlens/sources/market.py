@@ -45,8 +45,8 @@ def observations(daily: DataFrame) -> DataFrame:
 def prices(daily: DataFrame) -> DataFrame:
     """Long table ticker, date, open, close of the index and four funds derived from it."""
     whole = Window.partitionBy(F.lit(1)).orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first = F.first("close").over(whole)
-    up, down = (lambda c: F.col(c) / first), (lambda c: first / F.col(c))
+    base = F.col("base")
+    up, down = (lambda c: F.col(c) / base), (lambda c: base / F.col(c))
     rows = [("IDX", F.col), ("L1", lambda c: 100 * up(c)), ("L2", lambda c: 100 * up(c) * up(c)), ("S1", lambda c: 100 * down(c)), ("S2", lambda c: 100 * down(c) * down(c))]
     legs = F.array(*[F.struct(F.lit(t).alias("ticker"), f("open").alias("open"), f("close").alias("close")) for t, f in rows])
-    return daily.withColumn("leg", F.explode(legs)).select("leg.ticker", "date", "leg.open", "leg.close")
+    return daily.withColumn("base", F.first("close").over(whole)).withColumn("leg", F.explode(legs)).select("leg.ticker", "date", "leg.open", "leg.close")
