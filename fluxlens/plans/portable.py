@@ -234,6 +234,25 @@ QUERIES = {
     "l3_scatter": """select channel, date, round(return_1d, 8) as x, round(flow_share, 8) as y, case when k = 1 then 'current' when state in ('extreme_fear', 'extreme_greed') then 'extreme' else 'training' end as role from (select *, row_number() over (partition by channel order by date desc) as k from states) z where k <= 253""",
     "l8_conclusion_tone": """select channel, case when avg(case when trade_eligible then 1e0 else 0e0 end) > 6e-1 then 'supportive' when avg(case when trade_eligible then 1e0 else 0e0 end) > 3e-1 then 'mixed' else 'caution' end as tone from states group by channel""",
     "m5_confirmed_supersedes": """, both_rows as (select date, close, 1 as phase from daily union all select date, close * 101e-2, 0 as phase from daily where pos % 2 = 0) select date, round(max_by(close, phase), 4) as close, cast(max(phase) as int) as phase from both_rows group by date""",
+    "a7_range_scan": """select cast(o_orderdate as date) as date, o_orderkey, try_cast(o_totalprice as double) as price from orders where cast(o_orderdate as date) between date '1996-01-01' and date '1996-12-31' and o_totalprice is not null""",
+    "a9_individual_flow": """select date, round(-8e-1 * return_1d * trading_value, 2) as individual_net_purchase from daily where return_1d is not null""",
+    "a13_stock_fallback": """select p.p_partkey, coalesce(a.price, p.p_retailprice) as price, case when a.price is null then 'fallback' else 'history' end as source from part p left join (select l_partkey, round(max(l_extendedprice / nullif(l_quantity, 0)), 10) as price from lineitem where l_returnflag = 'R' group by l_partkey) a on a.l_partkey = p.p_partkey""",
+    "a15_iso_records": """select cast(date as varchar(10)) as date, round(close, 8) as close from daily""",
+    "b17_b18_snapshot": """, k as (select *, row_number() over (partition by channel order by date desc) as back from states)
+        select max(date) as date, max(case when channel = 'main' then state end) as main_state, max(case when channel = 'noisy' then state end) as noisy_state, max(case when channel = 'main' then training_count end) as main_training_count, max(case when channel = 'noisy' then quality end) as noisy_quality from k where back = 1""",
+    "c11_c12_paired_returns": """, p as (select ticker, date, close, lead(close, 5) over (partition by ticker order by date) as later from funds)
+        select e.channel, e.date, e.state, round(a.later / a.close - 1, 8) as own_return, round(b.later / b.close - 1, 8) as benchmark_return from entries e join p a on a.date = e.date and a.ticker = 'S1' left join p b on b.date = e.date and b.ticker = 'IDX'""",
+    "c16_ledger_hydration": """select f.date, f.ticker, coalesce(s.state, 'none') as state, coalesce(f.close, 0) as close from (select date, ticker, round(close, 8) as close from funds) f left join (select date, state from states where channel = 'noisy' and trade_eligible) s on s.date = f.date""",
+    "e15_run_counts": """, c as (select channel, date, state, case when lag(state) over (partition by channel order by date) = state then 0 else 1 end as started from states) select channel, state, cast(sum(started) as bigint) as runs, count(*) as sessions from c group by channel, state""",
+    "f1_f2_lags_and_frames": """select ticker, date, round(close / nullif(lag(close) over (partition by ticker order by date), 0) - 1, 8) as return_1d, round(max(close) over (partition by ticker order by date rows between 251 preceding and current row), 8) as highest from funds""",
+    "f7_regression_frame": """select channel, date, count(return_1d) over w as n, round(regr_slope(flow_share, return_1d) over w, 8) as beta from obs where return_1d is not null window w as (partition by channel order by date rows between 252 preceding and 1 preceding)""",
+    "g1_sort_by_date": """select date, cast(row_number() over (order by date) as bigint) as place, round(close, 8) as close from daily""",
+    "j6_entry_dates": """select date, state from entries where channel = 'main'""",
+    "j11_exit_thresholds": """select t.exit_at, count(*) as sessions from states cross join (select 50e0 as exit_at union all select 80e0 as exit_at) t where channel = 'main' and percentile >= t.exit_at group by t.exit_at""",
+    "k14_freshness": """, l as (select max(date) as d from market), s as (select max(date) as d from shipping) select case when l.d = s.d then 'current' when @days(s.d, l.d) < 0 then 'stale' else 'degraded' end as status, l.d as index_date, s.d as flow_date from l cross join s""",
+    "l4_relative_diagnostics": """, a as (select i.date, i.close as own, f.close as other, row_number() over (order by i.date) as k, count(*) over () as n from funds i join funds f on f.date = i.date and f.ticker = 'S1' where i.ticker = 'IDX'), b as (select *, 100 * own / first_value(own) over (order by date) as own_100, 100 * other / first_value(other) over (order by date) as other_100 from a)
+        select date, round(own_100 - other_100, 6) as spread, round(ln(own_100 / other_100), 8) as log_relative from b where (n - k) < 756 and ((n - k) % 5 = 0)""",
+    "l5_summary": """, l as (select max(date) as d from market) select l.d as data_as_of, (select count(*) from market) as sessions, (select count(*) from states where trade_eligible) as eligible, (select count(*) from entries) as entries from l""",
     "q_daily_by_nation": """select n_name, cast(o_orderdate as date) as date, count(*) as orders_placed, round(sum(o_totalprice), 2) as trading_value from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey group by n_name, cast(o_orderdate as date)""",
 }
 VIEWS = ("orders", "lineitem", "customer", "nation", "part", "supplier", "events")
