@@ -222,6 +222,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     spans = mixed.spans.groupBy("sid", "offset", "epoch").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("__spans"))
     rows = mixed.docs.where("size > 0").join(spans.hint("merge"), ["sid", "offset"])
 
+    others = [c for c in columns if c != "text"]
+
     def cut(batch) -> dict:
         texts = []
         for text, size, spans_ in zip(texts_of(batch), batch.column(0).to_pylist(), batch.column(2).to_pylist()):
@@ -232,11 +234,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
                 else:
                     merged.append([s["start"], s["start"] + s["length"]])
             texts.append(text if merged == [[0, size]] else _stretches(text, merged))
-        out = {c: batch.column(3 + columns.index(c)) for c in columns if c != "text"}
+        out = {c: batch.column(3 + k) for k, c in enumerate(others)}
         return out | {"text": texts} | ({"n_chars": [len(t) for t in texts]} if "n_chars" in columns else {})
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    done = by_texts(rows, ["size", F.col("__row.text").alias("text"), "__spans", *[F.col(f"__row.`{c}`").alias(f"__column{k}") for k, c in enumerate(columns)]], cut, kinds + ", `text` string")
+    done = by_texts(rows, ["size", F.col("__row.text").alias("text"), "__spans", *[F.col(f"__row.`{c}`").alias(f"__column{k}") for k, c in enumerate(others)]], cut, kinds + ", `text` string")
     return done.select(*columns)
 
 
