@@ -17,6 +17,8 @@ from pyspark.sql.types import _parse_datatype_string
 WORD = r"[^\x20\x09-\x0D]+"
 #: Characters of text that are handled together in one worker.
 BATCH_CHARS = 4_000_000
+#: Bytes of a batch on its way to a worker; rows of long texts make the engine's default four times as large.
+BATCH_BYTES = "16m"
 
 _own_dirs: dict[str, str] = {}
 
@@ -62,6 +64,14 @@ def sliced(batches: Iterable[pa.RecordBatch], text: int = 1, chars: int = BATCH_
             yield batch.slice(start)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; batches of them are kept to ``BATCH_BYTES`` in this session, unless it says otherwise itself."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) in ("67108864b", "64m", "67108864"):
+        conf.set(name, BATCH_BYTES)
+    return df
+
+
 def by_texts(df: DataFrame, columns: list, function: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """Maps slices of (columns...), of which the second is the text, to rows of the schema."""
 
@@ -73,7 +83,7 @@ def by_texts(df: DataFrame, columns: list, function: Callable[[pa.RecordBatch],
             arrays = [v.cast(f.type) if isinstance(v := found[f.name], pa.Array) else pa.array(v, f.type) for f in wanted]
             yield pa.RecordBatch.from_arrays(arrays, schema=wanted)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return small_batches(df.select(*columns)).mapInArrow(run, schema)
 
 
 def texts_of(batch: pa.RecordBatch, at: int = 1) -> list[str]:

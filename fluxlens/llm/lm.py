@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluxlens.llm.common import sliced, texts_of, written
+from fluxlens.llm.common import sliced, small_batches, texts_of, written
 
 #: The token at the end of every text; no word holds white space.
 END = b"\n"
@@ -120,7 +120,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return small_batches(docs.select("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def count_pairs(docs: DataFrame, own: dict[bytes, int]) -> np.ndarray:
@@ -142,7 +142,7 @@ def count_pairs(docs: DataFrame, own: dict[bytes, int]) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(found[cells])], names=["cell", "n"])
 
     # At most (OWN + SHARED) squared rows, whatever the corpus.
-    rows = docs.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    rows = small_batches(docs.select("text")).mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(classes * classes, np.float64)
     out[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
     return out.reshape(classes, classes)
@@ -242,7 +242,7 @@ def log_bilinear_scores(docs: DataFrame, held_out: Column, **options) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(v, types[c]) for c, v in out.items()]], names=["doc_id", "held_out", *out])
 
     partial = written(
-        docs.select("doc_id", "text", apart.alias("held_out"))
+        small_batches(docs.select("doc_id", "text", apart.alias("held_out")))
         .mapInArrow(score, f"doc_id {kind}, held_out boolean, at long, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:long>>"), "scores")
     rare = partial.select("at", F.explode("rare").alias("r")).select("at", "r.word", F.col("r.n").alias("times"))
     more = (

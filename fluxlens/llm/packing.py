@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from fluxlens.llm import bpe
-from fluxlens.llm.common import sliced, texts_of
+from fluxlens.llm.common import sliced, small_batches, texts_of
 
 #: Sequence ids of one task start at its partition's number times this.
 TASK_STRIDE = 1 << 36
@@ -148,4 +148,4 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int =
         if done:
             yield flush()
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return small_batches(docs.select(id_col, text_col)).mapInArrow(run, schema)
