@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,14 +11,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from fluxlens.llm.common import by_texts, texts_of, written
+from fluxlens.llm.common import by_texts, small_batches, texts_of, written
 from fluxlens.llm.graph import Forest, components
 from fluxlens.llm.neardup import CELL, _grouped
 
 #: A paragraph starts where a word trigram's hash is the smallest among so many on either side.
 REACH = 4
 SHINGLE = 5
+#: A cut that lies so far inside a passage doesn't depend on what is around the passage.
+MARGIN = REACH + 4
+#: Most words between two runs of a near-equal passage.
+GAP = 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -51,11 +58,12 @@ class Paragraphs:
     def __init__(self, text: str, bands: int, rows: int):
         words = text.encode().lower().split()
         self.count = n = len(words)
+        self.own = np.empty(0, np.uint64)
         self.start = self.end = np.empty(0, np.int64)
         self.keys = np.empty((0, bands), np.int64)
         if not n:
             return
-        own = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+        self.own = own = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
         if n > 2 * REACH + 3:
             code = np.concatenate((np.full(REACH, _LAST), _mixed([own[:-2], own[1:-1], own[2:]]), np.full(REACH, _LAST)))
             at = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(code, 2 * REACH + 1).argmin(axis=1) == REACH)
@@ -86,6 +94,98 @@ class Paragraphs:
         return np.unique(self.shingles[self.low[k] : self.high[k]])
 
 
+def grown(contexts: list[bytes], ids: list, first: list[int], last: list[int]) -> list[list[tuple]]:
+    """For each of the sorted contexts (4 bytes a word), pieces (from, upto, smallest id) that another row has too.
+
+    ``first`` and ``last`` are the smallest and largest row with the context.
+    The words are walked as a trie: a piece is as long as the same contexts
+    share it, and ends where they part.
+    """
+    out: list[list[tuple]] = [[] for _ in contexts]
+    stack = [(0, len(contexts), 0)]
+    while stack:
+        low, high, depth = stack.pop()
+        if min(first[low:high]) == max(last[low:high]):
+            continue
+        a, b, end = contexts[low], contexts[high - 1], depth
+        most = min(len(a), len(b))
+        while end < most and a[end : end + 4] == b[end : end + 4]:
+            end += 4
+        if end > depth:
+            piece = (depth // 4, end // 4, min((x for x in ids[low:high] if x is not None), default=None))
+            for k in range(low, high):
+                out[k].append(piece)
+        at = low
+        while at < high:
+            word, upto = contexts[at][end : end + 4], at + 1
+            while upto < high and contexts[upto][end : end + 4] == word:
+                upto += 1
+            if word and (upto - at > 1 or first[at] != last[at]):
+                stack.append((at, upto, end))
+            at = upto
+    return out
+
+
+def merged(claims: list[tuple], percent: int, min_words: int) -> list[tuple]:
+    """Pieces (start, end, holder) of the stretches that a document's claims (start, end, holder, partner) cover.
+
+    A claim with a partner is a gap between two runs, of so many words in
+    another document.  Runs are joined over such gaps where the whole aligned
+    stretch has 100 * common >= percent * all shingles.  Stretches under
+    ``min_words`` words are left out, the others broken where the holder
+    changes; words of several claims go to the smallest holder.
+    """
+    exact = sorted((c for c in claims if c[3] is None), key=lambda c: c[:2])
+    gaps = sorted((c for c in claims if c[3] is not None), key=lambda c: c[:2])
+    runs: list[list[int]] = []
+    for start, end, *_ in exact:
+        if runs and start <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], end)
+        else:
+            runs.append([start, end])
+    # Words of the other document between a run and the next, less those by which the runs have grown into the gap.
+    between: list[int | None] = [None] * len(runs)
+    starts = [r[0] for r in runs]
+    for start, end, _, partner in gaps:
+        k, m = bisect_left(starts, start) - 1, bisect_right(starts, end) - 1
+        if 0 <= k < m and start <= runs[k][1] and end < runs[m][1]:
+            open_words = [runs[j + 1][0] - runs[j][1] for j in range(k, m)]
+            left = max(0, partner - (end - start) + sum(open_words))
+            for j in range(k, m):
+                between[j] = left if between[j] is None else min(between[j], left)
+                left = 0
+    ranks = {w: k for k, w in enumerate(sorted({c[2] for c in claims}, key=lambda w: (w is None, w)))}
+    names = list(ranks)
+    out, at = [], 0
+    while at < len(runs):
+        common = words = other = 0
+        upto = at
+        for k in range(at, len(runs)):
+            size = runs[k][1] - runs[k][0]
+            common, words = common + max(0, size - SHINGLE + 1), words + size
+            if k > at and 100 * common >= percent * (runs[k][1] - runs[at][0] + words + other - 2 * (SHINGLE - 1) - common):
+                upto = k
+            if between[k] is None:
+                break
+            other += between[k]
+        start, end = runs[at][0], runs[upto][1]
+        at = upto + 1
+        if end - start < min_words:
+            continue
+        holder = np.full(end - start, len(names), np.int64)
+        for source in (gaps, exact):
+            found = np.full(end - start, len(names), np.int64)
+            for s, e, who, _ in source[bisect_left(source, start - GAP, key=lambda c: c[0]) :]:
+                if s >= end:
+                    break
+                part = found[max(0, s - start) : max(0, e - start)]
+                np.minimum(part, ranks[who], out=part)
+            holder = np.where(found < len(names), found, holder)
+        breaks = [0, *(np.flatnonzero(np.diff(holder)) + 1).tolist(), end - start]
+        out += [(start + a, start + b, names[holder[a]]) for a, b in zip(breaks, breaks[1:])]
+    return out
+
+
 def repeated_passages(docs: DataFrame, *, percent: int = 80, min_words: int = 25, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Finds passages that more than one document holds, wherever they stand in it.
 
@@ -94,12 +194,18 @@ def repeated_passages(docs: DataFrame, *, percent: int = 80, min_words: int = 25
     a band with one of another document are compared on their whole shingle
     sets: 100 * common >= percent * all links them.  Linked paragraphs form
     components; those of a component that spans documents are repeated, and
-    stretches of at least ``min_words`` words of repeated paragraphs are
-    returned (a passage loses a few words at each end to the cuts, so 25 stand
-    for passages of about 40 words or more).
+    neighbours among them make a run.  Each run is grown word by word at both
+    ends as far as any other document that has the paragraph at its end word
+    for word goes on with the same words, so that cuts cost a passage nothing.  Runs with at most
+    ``GAP`` words between them are joined where another document has the same
+    two paragraphs in that order and the whole aligned stretch agrees by
+    ``percent``, so that changed words don't break a passage.  What then has
+    ``min_words`` words is returned.
 
     Returns doc_id, start_word, end_word, n_words, component_id (the smallest
-    doc_id that has the stretch's first paragraph), kept (this is that document).  Words are
+    doc_id that has these words too), kept (this is that document).  A stretch
+    is broken where component_id changes, so every part keeps a holder; a part
+    may have fewer words than its stretch.  Words are
     those between ASCII white space, A-Z lower-cased.  Texts without words
     hold no passage; rows that are equal in id and text count as one
     document; other columns play no part; an empty table gives no rows.
@@ -125,10 +231,23 @@ def repeated_passages(docs: DataFrame, *, percent: int = 80, min_words: int = 25
     chosen = base.hint("merge").join(wanted.hint("merge"), "row")
 
     def units(batch) -> dict:
-        out = {c: [] for c in ("row", "id", "place", "start", "end", "class", "shingles", "bands")}
+        out = {c: [] for c in ("row", "id", "place", "start", "end", "class", "shingles", "bands", "before", "after", "base", "words")}
         for r, t, i, keys in zip(batch.column(0).to_pylist(), texts_of(batch), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             own, keys = Paragraphs(t, bands, rows), np.array(keys, np.int64)
-            for k in np.flatnonzero(np.isin(own.keys, keys).any(axis=1)).tolist():
+            hit = np.flatnonzero(np.isin(own.keys, keys).any(axis=1))
+            before = own.start[np.maximum(hit - 1, 0)]
+            after = own.end[np.minimum(hit + 1, len(own.end) - 1)]
+            # The words in reach of the paragraphs, in stretches that go with their first paragraph.
+            low, high = np.maximum(before - MARGIN, 0), np.minimum(after + MARGIN, own.count)
+            heads = np.flatnonzero(np.append(True, low[1:] > high[:-1])) if len(hit) else hit
+            codes, base, words = own.own.astype(np.uint32), [None] * len(hit), [None] * len(hit)
+            for h, last in zip(heads.tolist(), np.append(heads[1:], len(hit)).tolist()):
+                base[h], words[h] = int(low[h]), codes[low[h] : high[last - 1]].tobytes()
+            out["before"] += low.tolist()
+            out["after"] += high.tolist()
+            out["base"] += base
+            out["words"] += words
+            for k in hit.tolist():
                 members = own.set_of(k).tobytes()
                 out["row"].append(r)
                 out["id"].append(i)
@@ -140,7 +259,7 @@ def repeated_passages(docs: DataFrame, *, percent: int = 80, min_words: int = 25
                 out["bands"].append(own.keys[k].tolist())
         return out
 
-    found = written(by_texts(chosen, ["row", "text", "id", "keys"], units, f"row long, id {kind}, place int, start int, end int, class binary, shingles binary, bands array<long>"), "units")
+    found = written(by_texts(chosen, ["row", "text", "id", "keys"], units, f"row long, id {kind}, place int, start int, end int, class binary, shingles binary, bands array<long>, before int, after int, base int, words binary"), "units")
     classes = found.groupBy("class").agg(F.min("shingles").alias("shingles"), F.min("bands").alias("bands"))
     exploded = written(classes.select(F.explode(F.array_distinct("bands")).alias("bucket"), "class", "shingles"), "bands")
     full = written(exploded.groupBy("bucket").count().where("count > 1").select("bucket", F.ceil(F.col("count") / CELL).alias("cells")), "full")
@@ -172,15 +291,108 @@ def repeated_passages(docs: DataFrame, *, percent: int = 80, min_words: int = 25
 
     links = written(meeting.repartition("bucket", "cell").sortWithinPartitions("bucket", "cell").mapInArrow(link, "u binary, v binary").distinct(), "links")
     labels = components(links).withColumnRenamed("node", "class")
-    labelled = written(found.select("row", "id", "place", "start", "end", "class").join(labels.hint("merge"), "class", "left").withColumn("label", F.coalesce("label", "class")), "labelled")
+    # Runs are grown from paragraphs that another document has word for word, as only those end alike.
+    exact = found.groupBy("class").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a <> b").select("class", F.lit(True).alias("exact"))
+    labelled = written(
+        found.select("row", "id", "place", "start", "end", "before", "after", "class").join(labels.hint("merge"), "class", "left")
+        .join(exact.hint("merge"), "class", "left").withColumn("label", F.coalesce("label", "class")).withColumn("exact", F.col("exact").isNotNull()), "labelled")
     groups = written(labelled.groupBy("label").agg(F.min("id").alias("component_id"), F.min("row").alias("a"), F.max("row").alias("b")).where("a <> b").select("label", "component_id"), "groups")
     repeated = labelled.join(groups.hint("merge"), "label")
-    # Neighbouring paragraphs make a stretch; a document's paragraphs are few.
     order = Window.partitionBy("row").orderBy("place")
-    once = repeated.groupBy("row", "place").agg(F.min("id").alias("id"), F.min("start").alias("start"), F.min("end").alias("end"), F.min("component_id").alias("component_id"))
-    stretches = once.withColumn("stretch", F.col("place") - F.row_number().over(order)).groupBy("row", "stretch").agg(
-        F.min("id").alias("doc_id"), F.min("start").cast("long").alias("start_word"), F.max("end").cast("long").alias("end_word"), F.min_by("component_id", "place").alias("component_id"))
-    return (
-        stretches.withColumn("n_words", F.col("end_word") - F.col("start_word")).where(F.col("n_words") >= min_words)
-        .select("doc_id", "start_word", "end_word", "n_words", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
-    )
+    once = repeated.groupBy("row", "place").agg(*[F.min(c).alias(c) for c in ("id", "start", "end", "before", "after", "class", "exact", "component_id")])
+    once = written(once, "once")
+    alike = once.where("exact")
+    runs = written(
+        alike.withColumn("first", F.coalesce(F.lag("place").over(order) < F.col("place") - 1, F.lit(True)))
+        .withColumn("last", F.coalesce(F.lead("place").over(order) > F.col("place") + 1, F.lit(True))), "runs")
+    # All documents that have a paragraph at which a run ends somewhere tell how they go on there.
+    ending = runs.where("first or last").groupBy("class").agg(F.max("first").alias("leftward"), F.max("last").alias("rightward"))
+    asked = runs.join(ending.hint("merge"), "class").groupBy("row").agg(
+        F.min("id").alias("id"), F.sort_array(F.collect_list(F.struct("place", "start", "end", "before", "after", "class", "first", "last", "leftward", "rightward"))).alias("units"))
+    reach = found.where("words is not null").groupBy("row").agg(F.collect_set(F.struct("base", "words")).alias("reach"))
+
+    ends_columns = f"side int, class binary, other binary, gap int, row long, id {kind}, start int, end int, edge boolean"
+    ends_arrow = to_arrow_schema(_parse_datatype_string(ends_columns))
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = ends_arrow
+        for batch in batches:
+            out = {c: [] for c in wanted.names}
+
+            def add(*values) -> None:
+                for c, v in zip(wanted.names, values):
+                    out[c].append(v)
+
+            for r, i, members, stretches in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                stretches = sorted((x["base"], np.frombuffer(x["words"], np.uint32)) for x in stretches)
+                bases = [x[0] for x in stretches]
+                for n, u in enumerate(members):
+                    base, words = stretches[bisect_right(bases, u["start"]) - 1]
+                    if u["leftward"] and u["before"] < u["start"]:
+                        add(0, u["class"], words[u["before"] - base : u["start"] - base][::-1].tobytes(), None, r, i, u["start"], u["start"], u["first"])
+                    if not u["rightward"]:
+                        continue
+                    if u["end"] < u["after"]:
+                        add(1, u["class"], words[u["end"] - base : u["after"] - base].tobytes(), None, r, i, u["end"], u["end"], u["last"])
+                    own = u["last"]
+                    for v in members[n + 1 :]:
+                        if v["start"] - u["end"] > GAP:
+                            break
+                        if v["leftward"]:
+                            add(2, u["class"], v["class"], v["start"] - u["end"], r, i, u["end"], v["start"], own and v["first"])
+                            own = own and not v["first"]
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in wanted], schema=wanted)
+
+    ends = written(small_batches(asked.hint("merge").join(reach.hint("merge"), "row").select("row", "id", "units", "reach")).mapInArrow(contexts, ends_columns), "ends")
+    # Equal contexts count once; those with the same first word meet.
+    apart = ends.where("side < 2").groupBy("side", "class", "other").agg(F.min("id").alias("id"), F.min("row").alias("a"), F.max("row").alias("b"), F.max("edge").alias("edge"))
+    keyed_ends = apart.select(F.xxhash64("side", "class", F.expr("substring(other, 1, 4)")).alias("key"), "other", "id", "a", "b", "edge", "side", "class")
+
+    grown_columns = f"side int, class binary, other binary, from int, upto int, who {kind}"
+    grown_arrow = to_arrow_schema(_parse_datatype_string(grown_columns))
+
+    def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = grown_arrow
+        held: list[tuple] = []
+        for table in _grouped(batches, 1):
+            _, other, ids, a, b, edge, side, own = (table.column(k).to_pylist() for k in range(8))
+            for k, pieces in enumerate(grown(other, ids, a, b)):
+                if edge[k]:
+                    held += [(side[k], own[k], other[k], *piece) for piece in pieces]
+            if len(held) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), wanted)], schema=wanted)
+                held = []
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), wanted)], schema=wanted)
+
+    pieces = written(keyed_ends.repartition("key").sortWithinPartitions("key", "other").mapInArrow(grow, grown_columns), "grown")
+    none = F.lit(None).cast("int").alias("partner")
+    sides = ends.where("side < 2 and edge").select("side", "class", "other", "row", "start").hint("merge").join(pieces.hint("merge"), ["side", "class", "other"])
+    left = F.col("side") == 0
+    more = sides.select(
+        "row", F.when(left, F.col("start") - F.col("upto")).otherwise(F.col("start") + F.col("from")).alias("start"),
+        F.when(left, F.col("start") - F.col("from")).otherwise(F.col("start") + F.col("upto")).alias("end"), "who", none)
+    # Of the other documents' gaps between two paragraphs, the one nearest in length.
+    pairs = ends.where("side = 2")
+    widths = pairs.groupBy("class", "other", "gap").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.min("id").alias("who"))
+    known = widths.groupBy("class", "other").agg(F.min("who").alias("who"), F.collect_list(F.struct("gap", "a", "b")).alias("gaps"))
+    partner = F.expr("array_min(transform(filter(gaps, x -> x.gap <> gap or x.a <> x.b), x -> struct(abs(x.gap - gap) as off, x.gap as gap))).gap")
+    bridges = pairs.where("edge").hint("merge").join(known.hint("merge"), ["class", "other"]).select("row", "start", "end", "who", partner.alias("partner")).where("partner is not null")
+    claims = once.select("row", "start", "end", F.col("component_id").alias("who"), none).unionAll(more).unionAll(bridges)
+    named = once.groupBy("row").agg(F.min("id").alias("id"))
+    by_row = claims.groupBy("row").agg(F.collect_list(F.struct("start", "end", "who", "partner")).alias("claims")).hint("merge").join(named.hint("merge"), "row")
+
+    out_columns = f"doc_id {kind}, start_word long, end_word long, n_words long, component_id {kind}"
+    out_arrow = to_arrow_schema(_parse_datatype_string(out_columns))
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = out_arrow
+        for batch in batches:
+            found = []
+            for i, claims in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found += [(i, a, b, b - a, who) for a, b, who in merged([(c["start"], c["end"], c["who"], c["partner"]) for c in claims], percent, min_words)]
+            columns = zip(*found) if found else [[]] * len(wanted)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, wanted)], schema=wanted)
+
+    parts = small_batches(by_row.select("id", "claims")).mapInArrow(stretches, out_columns)
+    return parts.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -169,6 +169,65 @@ def test_passages(spark, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def test_near_equal_passages(spark):
+    data, passage_words, doc = [], {}, 0
+    for n, edits in ((55, 1), (60, 1), (80, 1), (100, 2), (120, 2)):
+        for k in range(8):
+            p = prose(1000 + 10 * n + k, n).split()
+            q = list(p)
+            for e in range(edits):
+                q[(e + 1) * n // (edits + 1) + k - 4] = f"edit{e}"
+            for words in (p, q):
+                data.append((doc, prose(5000 + doc, 40) + " " + " ".join(words) + " " + prose(9000 + doc, 40)))
+                passage_words[doc] = n
+                doc += 1
+    found = {}
+    for r in passages.repeated_passages(spark.createDataFrame(data, "doc_id long, text string")).collect():
+        found.setdefault(r["doc_id"], []).append((r["start_word"], r["end_word"]))
+    assert set(found) == set(passage_words)
+    covered = {d: sum(b - a for a, b in x) for d, x in found.items()}
+    # A paragraph at an end may agree by 80 % only, and have a few words too many.
+    assert all(25 <= covered[d] <= n + 6 for d, n in passage_words.items())
+    # Most passages are found whole, over their changed words.
+    assert sum(covered[d] >= n for d, n in passage_words.items()) >= 0.8 * len(passage_words)
+
+
+def test_exact_passages_to_their_ends(spark):
+    data = []
+    for k in range(60):
+        p = prose(200 + k, 51)
+        data += [(2 * k + s, prose(3000 + 2 * k + s, 20 + k) + " " + p + " " + prose(6000 + 2 * k + s, 30)) for s in (0, 1)]
+    found = passages.repeated_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in found) == list(range(120))
+    # A paragraph at an end may agree by 80 % only, and have a word or two too many.
+    assert all(18 <= r["start_word"] - r["doc_id"] // 2 <= 20 and 71 <= r["end_word"] - r["doc_id"] // 2 <= 73 for r in found)
+    assert sum(r["n_words"] == 51 for r in found) >= 110
+
+
+def test_adjoining_passages_keep_a_holder_each(spark):
+    header, body = prose(71, 40), prose(72, 60)
+    data = [(2, header + " " + prose(73, 50)), *[(10 + k, header + " " + body + " " + prose(80 + k, 30)) for k in range(4)]]
+    found = passages.repeated_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    parts = sorted((r["doc_id"], r["start_word"], r["end_word"], r["component_id"], r["kept"]) for r in found)
+    # The paragraph across the joint is the copies' own.
+    joint = parts[1][2]
+    assert 25 <= joint <= 40
+    assert parts == [(2, 0, 40, 2, True), *[x for k in range(4) for x in ((10 + k, 0, joint, 2, False), (10 + k, joint, 100, 10, k == 0))]]
+
+
+def test_grown_and_merged():
+    words = lambda *x: np.array(x, np.uint32).tobytes()
+    contexts = [words(1, 2), words(1, 2, 3), words(7)]
+    assert passages.grown(contexts, [5, None, 1], [1, 2, 3], [1, 2, 3]) == [[(0, 2, 5)], [(0, 2, 5)], []]
+    assert passages.grown([words(4, 4)], [None], [1], [2]) == [[(0, 2, None)]]
+    # A changed word of 61 joins two runs; the shorter pair doesn't agree by 80 %, alone it is too short.
+    assert passages.merged([(0, 30, 1, None), (31, 61, 1, None), (30, 31, 1, 1)], 80, 25) == [(0, 61, 1)]
+    assert passages.merged([(0, 20, 1, None), (31, 51, 1, None), (20, 31, 1, 9)], 80, 25) == []
+    # A gap that starts in an earlier run than the stretch that it helps to join.
+    assert passages.merged([(0, 5, 1, None), (9, 40, 2, None), (42, 80, 2, None), (5, 42, 2, 60), (40, 42, 3, 2)], 80, 25) == [(9, 80, 2)]
+    assert passages.merged([(0, 30, 1, None), (20, 60, 4, None), (90, 100, 1, None)], 80, 25) == [(0, 30, 1), (30, 60, 4)]
+
+
 def test_mixing(docs, empty):
     found = mixing.taken_words(mixing.mix(docs, block_words=8)).collect()
     assert len(found) == len(rows()) and all(0 <= r["taken"] <= 2 * r["size"] for r in found)
