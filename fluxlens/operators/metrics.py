@@ -43,16 +43,18 @@ def holding_segments(ledger: DataFrame) -> DataFrame:
 
 
 def exposure_matched(ledger: DataFrame) -> DataFrame:
-    """The path of the same exposure to the index without costs."""
+    """The path of the same exposure to the index without costs; null for an unavailable scenario."""
     line = Window.partitionBy("scenario_id").orderBy("date")
     step = F.coalesce(F.col("buy_hold") / F.lag("buy_hold").over(line) - 1, F.lit(0.0)) * F.coalesce(F.lag("exposure").over(line), F.lit(0.0))
-    return ledger.withColumn("step", step).select("scenario_id", "date", F.product(1 + F.col("step")).over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("matched"))
+    return ledger.withColumn("step", F.when(F.col("position") != "unavailable", step)).select("scenario_id", "date", F.product(1 + F.col("step")).over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("matched"))
 
 
 def risk_matched(ledger: DataFrame) -> DataFrame:
-    """Buy and hold scaled down to the strategy's volatility, never up."""
+    """Buy and hold scaled down to the strategy's volatility, never up; null for an unavailable scenario."""
     line = Window.partitionBy("scenario_id").orderBy("date")
     ratio = lambda c: F.coalesce(F.col(c) / F.lag(c).over(line) - 1, F.lit(0.0))
     steps = ledger.withColumn("own", ratio("equity")).withColumn("hold", ratio("buy_hold"))
     scale = steps.groupBy("scenario_id").agg(F.least(F.lit(1.0), F.stddev_samp("own") / F.nullif(F.stddev_samp("hold"), F.lit(0.0))).alias("scale"))
-    return steps.join(scale, "scenario_id").select("scenario_id", "date", "scale", F.product(1 + F.col("hold") * F.col("scale")).over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("matched"))
+    # least() leaves nulls out, so an unavailable scenario would have the scale 1.
+    known = F.when(F.col("position") != "unavailable", F.col("scale"))
+    return steps.join(scale, "scenario_id").withColumn("scale", known).select("scenario_id", "date", "scale", F.product(1 + F.col("hold") * F.col("scale")).over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("matched"))

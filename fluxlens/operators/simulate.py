@@ -132,7 +132,7 @@ def run_scenarios(days: DataFrame, grid: list[dict]) -> DataFrame:
 
 
 def rebased(ledger: DataFrame, start: str, end: str) -> DataFrame:
-    """A range of full paths: equity is 1 at the close of the range's first session."""
-    inside = ledger.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    """A range of full paths: equity is 1 at the close of the range's first session; unavailable scenarios stay."""
+    inside = ledger.where((F.col("position") == "unavailable") | F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
     base = inside.groupBy("scenario_id").agg(F.min_by("equity", "date").alias("base"), F.min_by("buy_hold", "date").alias("base_hold"))
     return inside.join(base, "scenario_id").withColumn("equity", F.col("equity") / F.col("base")).withColumn("buy_hold", F.col("buy_hold") / F.col("base_hold")).drop("base", "base_hold")

@@ -119,7 +119,7 @@ def j1_j5_simulated_ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j12_common_period(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulate.rebased(_ledger(spark, sf_dir, GRID[:4]), "1996-01-01", "1999-12-31")
+    return simulate.rebased(_ledger(spark, sf_dir), "1996-01-01", "1999-12-31")
 
 
 def e6_e7_path_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,15 +127,15 @@ def e6_e7_path_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def f9_ledger_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.holding_segments(_ledger(spark, sf_dir, GRID[:4]))
+    return metrics.holding_segments(_ledger(spark, sf_dir))
 
 
 def j8_exposure_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.exposure_matched(_ledger(spark, sf_dir, GRID[:4]))
+    return metrics.exposure_matched(_ledger(spark, sf_dir))
 
 
 def j9_risk_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.risk_matched(_ledger(spark, sf_dir, GRID[:4]))
+    return metrics.risk_matched(_ledger(spark, sf_dir))
 
 
 def _two_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

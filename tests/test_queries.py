@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from fluxlens import queries as engine
+from fluxlens.plans import research
 
 SOME = ["c1_core_join", "b1_b7_features", "d10_rolling_signals", "i1_extreme_entries", "c2_strict_as_of", "k5_gap_repair", "i5_event_study", "h2_difference", "e9_state_boundaries", "i2_non_overlapping"]
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -44,3 +45,15 @@ def test_registry_is_consistent():
 def test_live_scores_stream(spark, sf_dir):
     rows = engine.queries()["m1_m4_live_scores"](spark, sf_dir).collect()
     assert all(r["phase"] in ("provisional", "discontinuous", "superseded", "outside_window") for r in rows)
+
+
+@pytest.mark.parametrize("name", ["f9_ledger_segments", "j8_exposure_matched", "j9_risk_matched", "j12_common_period"])
+def test_whole_grid_reaches_the_ledger_queries(spark, sf_dir, name):
+    rows = engine.queries()[name](spark, sf_dir).collect()
+    assert {r["scenario_id"] for r in rows} == {g["scenario_id"] for g in research.GRID}
+    if name in ("f9_ledger_segments", "j12_common_period"):
+        assert {"cash", "long", "inverse"} <= {r["position"] for r in rows}
+    else:
+        ledger = engine.queries()["j1_j5_simulated_ledgers"](spark, sf_dir)
+        gone = {r["scenario_id"] for r in ledger.where("position = 'unavailable'").collect()}
+        assert all((r["matched"] is None) == (r["scenario_id"] in gone) for r in rows)
