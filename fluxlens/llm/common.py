@@ -45,7 +45,7 @@ def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFram
     Cuts the lineage in a way that outlives the executors that did the work.
     """
     path = f"{shared_dir(df.sparkSession)}/fluxlens/{name}-{uuid.uuid4().hex}"
-    (df.coalesce(partitions) if partitions else df).write.parquet(path)
+    (df.coalesce(partitions) if partitions else df).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -17,6 +15,7 @@ from pyspark.sql.types import _parse_datatype_string
 from fluxlens.llm.common import by_texts, small_batches, texts_of, written
 from fluxlens.llm.graph import Forest, components
 from fluxlens.llm.neardup import CELL, _grouped
+from fluxlens.llm.words import ODD, chained, odd_numbers, ranges, scrambled, word_codes
 
 #: A paragraph starts where a word trigram's hash is the smallest among so many on either side.
 REACH = 4
@@ -25,73 +24,85 @@ SHINGLE = 5
 MARGIN = REACH + 4
 #: Most words between two runs of a near-equal passage.
 GAP = 64
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Empty places between two texts, so that no window or shingle sees the next text.
+APART = 2 * REACH
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def tune_bands(similarity: float, recall: float, units: int) -> tuple[int, int]:
-    """(bands, rows) with the most rows, then the fewest bands, at which of passages of
+    """(bands, rows) with the fewest bands, then the most rows, at which of passages of
     ``units`` paragraphs that similar at least ``recall`` share a band in one of them."""
-    for rows in (4, 3, 2, 1):
-        for bands in range(1, 3):
+    for bands in range(1, 4):
+        for rows in (4, 3, 2, 1):
             if 1 - (1 - similarity**rows) ** (bands * units) >= recall:
                 return bands, rows
     return 3, 1
 
 
-def _mixed(codes: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros(len(codes[0]), np.uint64)
-    for c in codes:
-        out = (out ^ c) * _ODD
-        out ^= out >> np.uint64(29)
-    return out
-
-
 class Paragraphs:
-    """A text's words cut into paragraphs, with their shingles and band keys.
+    """The words of texts cut into paragraphs, with their shingles and band keys.
 
     The cuts depend on the words near them alone, so a passage that is found
     in two texts is cut alike in both, wherever it stands, up to a few words
-    at its ends.
+    at its ends.  ``text``, ``start`` and ``end`` tell a paragraph's text and
+    its words, which are counted over all texts; ``first`` has each text's
+    first word.
     """
 
-    def __init__(self, text: str, bands: int, rows: int):
-        words = text.encode().lower().split()
-        self.count = n = len(words)
-        self.own = np.empty(0, np.uint64)
-        self.start = self.end = np.empty(0, np.int64)
-        self.keys = np.empty((0, bands), np.int64)
-        if not n:
-            return
-        self.own = own = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
-        if n > 2 * REACH + 3:
-            code = np.concatenate((np.full(REACH, _LAST), _mixed([own[:-2], own[1:-1], own[2:]]), np.full(REACH, _LAST)))
-            at = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(code, 2 * REACH + 1).argmin(axis=1) == REACH)
-        else:
-            at = np.empty(0, np.int64)
-        self.start = np.unique(np.append(0, at))
-        self.end = np.append(self.start[1:], n)
-        if n >= SHINGLE:
-            self.shingles = _mixed([own[k : n - SHINGLE + 1 + k] for k in range(SHINGLE)])
-        else:
-            self.shingles = _mixed([own[k : k + 1] for k in range(n)])
+    def __init__(self, texts: list[str], bands: int, rows: int):
+        self.codes, self.first = codes, first = word_codes(texts)
+        count = np.diff(first)
+        text = np.repeat(np.arange(len(texts)), count)
+        place = np.arange(len(codes))
+        at = place + APART * (text + 1)
+        spread = np.zeros(len(codes) + APART * (len(texts) + 1), np.uint64)
+        spread[at] = codes
+        whole = place + 3 <= first[1:][text]
+        trigram = np.full(len(spread), _LAST)
+        there = at[whole]
+        trigram[there] = chained([spread[:-2], spread[1:-1], spread[2:]])[there]
+        two = np.minimum(trigram[:-1], trigram[1:])
+        four = np.minimum(two[:-2], two[2:])
+        own = trigram[there]
+        cut = np.zeros(len(codes), bool)
+        cut[place[whole]] = (own < four[there - REACH]) & (own <= four[there + 1])
+        cut[first[:-1][count > 0]] = True
+        self.start = np.flatnonzero(cut)
+        self.end = np.append(self.start[1:], len(codes))
+        self.text = text[self.start]
+        self.shingles = chained([spread[k : len(spread) - SHINGLE + 1 + k] for k in range(SHINGLE)])
         # Shingles that lie in the paragraph; of one that is too short, the one that starts with it.
-        last = len(self.shingles)
-        self.low = np.minimum(self.start, last - 1)
-        self.high = np.clip(self.end - SHINGLE + 1, self.low + 1, last)
+        self.low = at[self.start]
+        self.high = np.maximum(self.low + 1, self.low + self.end - self.start - SHINGLE + 1)
         spans = np.column_stack((self.low, self.high)).ravel()
         keys = []
         for k in range(bands):
             parts = []
             for r in range(rows):
-                turned = (self.shingles ^ np.uint64(0x5851F42D4C957F2D * (k * rows + r + 1) & 0xFFFFFFFFFFFFFFFF)) * _ODD
+                turned = (self.shingles ^ np.uint64(0x5851F42D4C957F2D * (k * rows + r + 1) & 0xFFFFFFFFFFFFFFFF)) * ODD
                 turned ^= turned >> np.uint64(31)
-                parts.append(np.minimum.reduceat(np.append(turned, _LAST), spans)[::2])
-            keys.append(_mixed(parts) ^ np.uint64(k + 1))
+                parts.append(np.minimum.reduceat(turned, spans)[::2] if len(spans) else np.empty(0, np.uint64))
+            keys.append(chained(parts) ^ np.uint64(k + 1))
         self.keys = np.column_stack(keys).view(np.int64)
 
-    def set_of(self, k: int) -> np.ndarray:
-        return np.unique(self.shingles[self.low[k] : self.high[k]])
+    def classes(self, on: np.ndarray) -> np.ndarray:
+        """128 bits of the words of each of some paragraphs, in order."""
+        low, high = self.start[on], self.end[on]
+        if not len(low):
+            return np.empty((0, 2), np.uint64)
+        size = high - low
+        words = self.codes[ranges(low, high)]
+        first = np.cumsum(size) - size
+        place = np.arange(len(words)) - np.repeat(first, size)
+        by_place = odd_numbers(2 * int(size.max()), 5).reshape(-1, 2)
+        return np.column_stack([scrambled(np.add.reduceat(words * by_place[place, k], first) + size.astype(np.uint64)) for k in (0, 1)])
+
+
+def _binaries(data: np.ndarray, sizes: np.ndarray, missing: np.ndarray | None = None) -> pa.Array:
+    """Binary values of so many items each, one after the other."""
+    ends = np.append(0, np.cumsum(sizes * data.itemsize)).astype(np.int32)
+    valid = None if missing is None else pa.py_buffer(np.packbits(~missing, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [valid, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
 
 
 def grown(contexts: list[bytes], ids: list, first: list[int], last: list[int]) -> list[list[tuple]]:
@@ -217,53 +228,53 @@ def repeated_passages(docs: DataFrame, *, percent: int = 80, min_words: int = 25
     base = docs.select(row.alias("row"), text.alias("text"), F.col(id_col).alias("id"))
 
     def band_keys(batch) -> dict:
-        found = {"key": [], "row": []}
-        for r, t in zip(batch.column(0).to_pylist(), texts_of(batch)):
-            keys = np.unique(Paragraphs(t, bands, rows).keys)
-            found["key"].append(keys)
-            found["row"].append(np.full(len(keys), r, np.int64))
-        return {c: pa.array(np.concatenate(v)) if v else pa.array([], pa.int64()) for c, v in found.items()}
-
-    # Keys of more than one document, counted with sums made before the shuffle.
-    keyed = by_texts(base, ["row", "text"], band_keys, "key long, row long")
+        own = Paragraphs(texts_of(batch), bands, rows)
+        counts = np.bincount(own.text, minlength=len(batch)) * bands
+        ends = np.append(0, np.cumsum(counts)).astype(np.int32)
+        return {"row": batch.column(0), "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(own.keys.ravel()))}
+
+    # Texts are cut once for their keys, and those that share some once more for their words.
+    keyed = written(by_texts(base, ["row", "text"], band_keys, "row long, keys array<long>"), "keys").select("row", F.explode("keys").alias("key"))
     shared = written(keyed.groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a <> b").select("key"), "shared")
     wanted = keyed.hint("merge").join(shared.hint("merge"), "key", "left_semi").groupBy("row").agg(F.collect_set("key").alias("keys"))
     chosen = base.hint("merge").join(wanted.hint("merge"), "row")
 
     def units(batch) -> dict:
-        out = {c: [] for c in ("row", "id", "place", "start", "end", "class", "shingles", "bands", "before", "after", "base", "words")}
-        for r, t, i, keys in zip(batch.column(0).to_pylist(), texts_of(batch), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            own, keys = Paragraphs(t, bands, rows), np.array(keys, np.int64)
-            hit = np.flatnonzero(np.isin(own.keys, keys).any(axis=1))
-            before = own.start[np.maximum(hit - 1, 0)]
-            after = own.end[np.minimum(hit + 1, len(own.end) - 1)]
-            # The words in reach of the paragraphs, in stretches that go with their first paragraph.
-            low, high = np.maximum(before - MARGIN, 0), np.minimum(after + MARGIN, own.count)
-            heads = np.flatnonzero(np.append(True, low[1:] > high[:-1])) if len(hit) else hit
-            codes, base, words = own.own.astype(np.uint32), [None] * len(hit), [None] * len(hit)
-            for h, last in zip(heads.tolist(), np.append(heads[1:], len(hit)).tolist()):
-                base[h], words[h] = int(low[h]), codes[low[h] : high[last - 1]].tobytes()
-            out["before"] += low.tolist()
-            out["after"] += high.tolist()
-            out["base"] += base
-            out["words"] += words
-            for k in hit.tolist():
-                members = own.set_of(k).tobytes()
-                out["row"].append(r)
-                out["id"].append(i)
-                out["place"].append(k)
-                out["start"].append(int(own.start[k]))
-                out["end"].append(int(own.end[k]))
-                out["class"].append(hashlib.blake2b(members, digest_size=16).digest())
-                out["shingles"].append(members)
-                out["bands"].append(own.keys[k].tolist())
-        return out
-
-    found = written(by_texts(chosen, ["row", "text", "id", "keys"], units, f"row long, id {kind}, place int, start int, end int, class binary, shingles binary, bands array<long>, before int, after int, base int, words binary"), "units")
-    classes = found.groupBy("class").agg(F.min("shingles").alias("shingles"), F.min("bands").alias("bands"))
-    exploded = written(classes.select(F.explode(F.array_distinct("bands")).alias("bucket"), "class", "shingles"), "bands")
-    full = written(exploded.groupBy("bucket").count().where("count > 1").select("bucket", F.ceil(F.col("count") / CELL).alias("cells")), "full")
-    placed = exploded.join(full, "bucket").withColumn("cell", F.pmod(F.xxhash64("class", "bucket"), "cells"))
+        own = Paragraphs(texts_of(batch), bands, rows)
+        # A key that some text of the batch shares is shared wherever it stands.
+        hit = np.flatnonzero(np.isin(own.keys, batch.column(3).flatten().to_numpy()).any(axis=1))
+        text = own.text[hit]
+        begin, end = own.first[:-1][text], own.first[1:][text]
+        head = np.searchsorted(own.text, np.arange(len(batch)))
+        # The words in reach of the paragraphs, in stretches that go with their first paragraph.
+        low = np.maximum(np.where(own.start[hit] > begin, own.start[np.maximum(hit - 1, 0)], begin) - MARGIN, begin)
+        high = np.minimum(np.where(own.end[hit] < end, own.end[np.minimum(hit + 1, len(own.end) - 1)], end) + MARGIN, end)
+        heads = np.flatnonzero(np.append(True, (low[1:] > high[:-1]) | (text[1:] != text[:-1]))) if len(hit) else hit
+        upto = high[np.append(heads[1:], len(hit)) - 1] if len(hit) else hit
+        rest = np.ones(len(hit), bool)
+        rest[heads] = False
+        sizes = np.zeros(len(hit), np.int64)
+        sizes[heads] = upto - low[heads]
+        members = own.high[hit] - own.low[hit]
+        classes = own.classes(hit)
+        ends = np.arange(len(hit) + 1, dtype=np.int32) * bands
+        of = pa.array(text)
+        return {
+            "row": batch.column(0).take(of), "id": batch.column(2).take(of), "place": pa.array(hit - head[text]),
+            "start": pa.array(own.start[hit] - begin), "end": pa.array(own.end[hit] - begin), "before": pa.array(low - begin), "after": pa.array(high - begin),
+            "class": _binaries(classes.ravel(), np.full(len(hit), 2)), "code": pa.array(classes[:, 0].view(np.int64)), "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(own.keys[hit].ravel())),
+            "shingles": _binaries(own.shingles[ranges(own.low[hit], own.high[hit])], members),
+            "base": pa.array(low - begin, mask=rest), "words": _binaries(own.codes[ranges(low[heads], upto)].astype(np.uint32), sizes, rest),
+        }
+
+    found = written(by_texts(chosen, ["row", "text", "id", "keys"], units, f"row long, id {kind}, place int, start int, end int, class binary, code long, shingles binary, keys array<long>, before int, after int, base int, words binary"), "units")
+    # Buckets that hold paragraphs of different words are few: most share a band because they are equal.
+    hits = found.select(F.explode(F.array_distinct("keys")).alias("bucket"), "class", "code")
+    mixed = hits.groupBy("bucket").agg(F.min("code").alias("a"), F.max("code").alias("b")).where("a <> b").select("bucket")
+    of_mixed = written(hits.hint("merge").join(mixed.hint("merge"), "bucket", "left_semi").select("bucket", "class").distinct(), "mixed")
+    sets = found.select("class", "shingles").hint("merge").join(of_mixed.select("class").distinct().hint("merge"), "class", "left_semi").groupBy("class").agg(F.min("shingles").alias("shingles"))
+    full = of_mixed.groupBy("bucket").count().select("bucket", F.ceil(F.col("count") / CELL).alias("cells"))
+    placed = of_mixed.hint("merge").join(full.hint("merge"), "bucket").hint("merge").join(sets.hint("merge"), "class").withColumn("cell", F.pmod(F.xxhash64("class", "bucket"), "cells"))
     # Every cell of a large bucket meets every cell, so that no pair is left out.
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("other")
     meeting = placed.select("bucket", "cells", "cell", "class", "shingles", other).select(
@@ -272,7 +283,7 @@ def repeated_passages(docs: DataFrame, *, percent: int = 80, min_words: int = 25
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches, 2):
             names = table.column("class").to_pylist()
-            sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+            sets = [np.unique(np.frombuffer(x, np.uint64)) for x in table.column("shingles").to_pylist()]
             sizes, forest, links = np.array(list(map(len, sets))), Forest(), []
             # Members by shingle, to count what each later one has in common with the earlier ones.
             holders: dict[int, list[int]] = {}

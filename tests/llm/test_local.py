@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from fluxlens.llm import bpe, lm, media, mixing, mtree, neardup, packing, passages, quality
+from fluxlens.llm import bpe, lm, media, mixing, mtree, neardup, packing, passages, quality, words
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", " ", "  a", "a  b", "a   b\n\n c", "don't we'll  they're 'tis", "x\n\ny\n \nz ", "<|endoftext|>a <|endoftext|>", "日本語 text ½²x    é", "a\x1c b \x85c", " \n", "'" * 50 + "ll", "aaaa" * 60, "\n\n<|endoftext|>s'\t\tthe", "=-" * 70, "word" * 400]
@@ -141,10 +141,35 @@ def test_paragraphs_are_cut_alike_wherever_a_passage_stands():
     rnd = random.Random(1)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
     passage = " ".join(word() for _ in range(55))
-    one = passages.Paragraphs(" ".join(word() for _ in range(40)) + " " + passage, 2, 1)
-    two = passages.Paragraphs(passage + "\n" + " ".join(word() for _ in range(30)), 2, 1)
+    one = passages.Paragraphs([" ".join(word() for _ in range(40)) + " " + passage], 2, 1)
+    two = passages.Paragraphs(["", passage + "\n" + " ".join(word() for _ in range(30))], 2, 1)
     assert len(set(one.keys[:, 0]) & set(two.keys[:, 0])) >= 2
-    assert passages.Paragraphs("", 2, 1).keys.shape == (0, 2) and len(passages.Paragraphs("one two", 2, 1).keys) == 1
+    assert passages.Paragraphs([""], 2, 1).keys.shape == (0, 2) and len(passages.Paragraphs(["one two", ""], 2, 1).keys) == 1
+    # A text is cut alike whatever stands before and after it in the batch.
+    texts = ["", " ".join(word() for _ in range(300)), "a b", " ".join(word() for _ in range(77)), " \n"]
+    together = passages.Paragraphs(texts, 2, 3)
+    alone = [passages.Paragraphs([t], 2, 3) for t in texts]
+    assert together.keys.tolist() == [k for x in alone for k in x.keys.tolist()]
+    assert together.classes(np.arange(len(together.start))).tolist() == [c for x in alone for c in x.classes(np.arange(len(x.start))).tolist()]
+
+
+def test_word_codes():
+    rnd = random.Random(5)
+    texts = ["", " \t\n", "One one ONE", "é Éa\x0bb\x85c x", *["".join(rnd.choice("ab é\n\t") for _ in range(rnd.randint(0, 60))) for _ in range(200)], "w" * 300_000 + " w"]
+    codes, first, shapes = words.words_and_shapes(texts)
+    plain = [w for t in texts for w in t.encode().lower().split()]
+    assert np.diff(first).tolist() == [len(t.encode().split()) for t in texts] and len(codes) == len(plain) == len(shapes)
+    assert len(set(codes.tolist())) == len(set(plain)) == len(set(zip(codes.tolist(), plain)))
+    assert shapes.tolist() == [w[0] | w[min(1, len(w) - 1)] << 8 | w[-1] << 16 for w in plain]
+    assert [words.word_codes([t])[0].tolist() for t in texts] == [codes[a:b].tolist() for a, b in zip(first, first[1:])]
+
+
+def test_places():
+    codes = words.scrambled(np.arange(1, 5000, dtype=np.uint64))
+    places = words.Places(codes)
+    assert places.find(codes).tolist() == list(range(len(codes)))
+    assert (places.find(words.scrambled(np.arange(5000, 9000, dtype=np.uint64))) == -1).all()
+    assert words.Places(codes[:0]).find(codes[:3]).tolist() == [-1, -1, -1]
 
 
 def test_classifier_learns():
@@ -160,13 +185,52 @@ def test_classifier_learns():
     assert quality.train([], np.array([], int)).score(f("x")) == 0.5
 
 
+def small_vocabulary(texts, **sizes):
+    codes, shapes, starts = lm.tokens_of(texts)
+    own, at, n = np.unique(codes, return_index=True, return_counts=True)
+    order = np.lexsort((own, -n, own != lm.END))
+    own, at, n, sizes = own[order], at[order], n[order], lm.Sizes(**sizes)
+    totals = np.ones(sizes.shared)
+    np.add.at(totals, lm.spelled(shapes[at[sizes.own :]], sizes.shared), n[sizes.own :] + 1)
+    return lm.Vocabulary(sizes, own, n, totals, len(codes), len(own))
+
+
 def test_noise_contrastive_model_is_normalised_and_learns():
-    rng = np.random.default_rng(0)
-    n = 12
-    true = rng.dirichlet(np.full(n, 0.3), n)
-    pairs = np.array([rng.multinomial(4000, p) for p in true], float)
-    context, target, bias = lm.noise_contrastive(pairs, size=8, epochs=200, batch=6)
-    table = lm.Model(context, target, bias, {}, {}, np.ones(n), 1, 1).log_table()
-    assert np.allclose((10.0**table).sum(axis=1), 1, atol=1e-4)
-    unigram = np.log10(pairs.sum(axis=0) / pairs.sum())
-    assert (pairs * table).sum() > (pairs * unigram).sum()
+    # Every word tells the next one but one.
+    rnd = random.Random(3)
+    names = ["".join(rnd.choice("abcdef") for _ in range(4)) for _ in range(30)]
+    follow = {(a, b): rnd.choice(names) for a in names for b in names[:3]}
+    texts = []
+    for _ in range(60):
+        own = [rnd.choice(names), rnd.choice(names)]
+        while len(own) < 150:
+            own.append(follow[own[-2], names[names.index(own[-1]) % 3]] if rnd.random() < 0.8 else rnd.choice(names))
+        texts.append(" ".join(own))
+    vocabulary = small_vocabulary(texts, own=20, shared=4, near=15, spelled=3)
+    model = lm.Parameters(vocabulary)
+    steps = lm.NoiseContrastive(model, vocabulary.unigram(), batch=256)
+    codes, shapes, starts = lm.tokens_of(texts)
+    place, target, context = vocabulary.numbers(codes, shapes)
+    one, two = lm.before(context, starts)
+    assert one[starts[:-1]].tolist() == [0] * 60 and one[1] == context[0] and two[2] == context[0]
+    for _ in range(15):
+        steps.learn(target, one, two)
+    contexts = vocabulary.sizes.contexts
+    logs = model.scores(target, one, two) - model.normalisers(one * contexts + two)
+    assert logs.mean() > np.log(vocabulary.unigram())[target].mean() + 0.2
+    # After any two contexts, all words and one unknown one in each class have a probability of 1 together.
+    for pair in (0, 5 * contexts + 2, contexts**2 - 1):
+        every = np.arange(vocabulary.sizes.targets)
+        p = np.exp(model.scores(every, np.full(len(every), pair // contexts), np.full(len(every), pair % contexts)) - model.normalisers(np.array([pair]))[0])
+        rare_codes = vocabulary.codes[20:]
+        rare = [np.flatnonzero(codes == c)[0] for c in rare_codes]
+        classes = target[rare] - 20
+        shares = (vocabulary.counts[20:] + 1) / vocabulary.class_total[classes]
+        unknown = 1 / vocabulary.class_total
+        assert p[:20].sum() + (p[20 + classes] * shares).sum() + (p[20:] * unknown).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_sizes_grow_with_the_words():
+    sizes = [lm.Sizes.of(n) for n in (0, 1, 100, 10**4, 10**6, 10**8, 10**10)]
+    assert all(a.own <= b.own and a.shared <= b.shared and a.near <= b.near for a, b in zip(sizes, sizes[1:])) and sizes[0].own == 1
+    assert sizes[-1].own > 100 * sizes[3].own / 2 and all(s.near <= s.own for s in sizes)
