@@ -91,7 +91,7 @@ from documents d left join sizes s on s.doc_id = d.doc_id join least l on l.doc_
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeated_passages(table(spark, sf_dir, "documents"), percent=80, min_words=25)
+    return passages.repeated_passages(table(spark, sf_dir, "documents"), percent=80, min_words=40)
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
