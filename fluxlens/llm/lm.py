@@ -1,9 +1,7 @@
-"""Log-bilinear language model, trained by noise-contrastive estimation with numpy."""
+"""Log-bilinear language model of two context words, trained by noise-contrastive estimation with numpy."""
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,193 +12,325 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxlens.llm.common import sliced, small_batches, texts_of, written
+from fluxlens.llm.words import Places, scrambled, words_and_shapes
 
-#: The token at the end of every text; no word holds white space.
-END = b"\n"
-#: Words with a class of their own, and classes that the other words share by their spelling.
-OWN, SHARED = 1024, 256
-#: Most words whose counts are sent to every task; counts of the others are joined.
+#: The code of the token at the end of every text; its number among the vocabulary is 0.
+END = np.uint64(10)
+#: Words whose counts are at hand in every task; counts of the others are joined.  Changes no result.
 LISTED = 1 << 18
-#: Entries after which a task hands on its counts.
-HELD = 300_000
+#: Components of a vector; bytes of parameters that are added up together.
+SIZE = 24
+BLOCK = 1 << 16
+#: Contexts whose normalisers are worked out together.
+CONTEXTS = 512
 
 
-def spelling_class(word: bytes) -> int:
-    """The shared class of a word: its first two bytes and its last."""
-    return OWN + zlib.crc32(word[:2] + b"\0" + word[-1:]) % SHARED
+@dataclass(frozen=True)
+class Sizes:
+    """How many words and classes the model has.
 
+    All grow with the root of the number of distinct training words, so that
+    the vectors of a corpus of any size fit in a task and the table of all
+    pairs of contexts grows no faster than the words themselves.
+    """
 
-def tokens_of(text: str) -> list[bytes]:
-    words = text.encode().lower().split()
-    words.append(END)
-    return words
+    own: int  # words with a vector of their own
+    shared: int  # classes, by spelling, that the other words share
+    near: int  # words that are contexts of their own
+    spelled: int  # contexts that the other words share
 
+    @staticmethod
+    def of(distinct: int) -> Sizes:
+        root = int(distinct**0.5)
+        own = max(1, min(distinct, 64 + 4 * root))
+        near = max(1, min(own, 16 + int(3 * own**0.5)))
+        return Sizes(own, 16 + root // 4, near, 8 + near // 8)
 
-@dataclass
-class Model:
-    """Vectors of classes as context and as target, biases; counts of listed words.
-
-    A word's probability after another is its class's, normalised over all
-    classes, times its share within the class (add-one, with one more for all
-    unknown words)."""
-
-    context: np.ndarray
-    target: np.ndarray
-    bias: np.ndarray
-    listed: dict[bytes, int]
-    own: dict[bytes, int]
-    class_total: np.ndarray  # tokens and distinct words of shared classes, and one
-    tokens: int
-    distinct: int
+    @property
+    def targets(self) -> int:
+        return self.own + self.shared
 
-    def class_of(self, word: bytes) -> int:
-        found = self.own.get(word)
-        return spelling_class(word) if found is None else found
+    @property
+    def contexts(self) -> int:
+        return self.near + self.spelled
 
-    def log_table(self) -> np.ndarray:
-        """log10 of the probability of each class (column) after each class (row)."""
-        scores = self.context @ self.target.T + self.bias
-        top = scores.max(axis=1, keepdims=True)
-        return ((scores - top - np.log(np.exp(scores - top).sum(axis=1, keepdims=True))) / np.log(10)).astype(np.float32)
 
+def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes and shapes of the tokens of all texts, and where each text's first is (and, last, their number)."""
+    codes, first, shapes = words_and_shapes(texts)
+    count = np.diff(first)
+    starts = first + np.arange(len(first))
+    out, shape = np.full(starts[-1], END), np.zeros(starts[-1], np.int32)
+    at = np.arange(len(codes)) + np.repeat(np.arange(len(texts)), count)
+    out[at], shape[at] = codes, shapes
+    return out, shape, starts
 
-def noise_contrastive(pairs: np.ndarray, *, size: int = 48, noise: float = 20.0, epochs: int = 40, batch: int = 128, rate: float = 0.03, decay: float = 1.0, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Trains context vectors, target vectors and biases on counts of (context, word).
 
-    A batch of contexts at a time, every observed word is told from ``noise``
-    words drawn from the unigram distribution; the noise is taken in
-    expectation, so a batch is a few matrix products (updates by Adam).
-    ``decay`` pulls vectors to zero where there is little to learn from.
-    """
-    classes = len(pairs)
-    rng = np.random.default_rng(seed)
-    unigram = (pairs.sum(axis=0) + 1.0) / (pairs.sum() + classes)
-    params = [rng.normal(0, 0.05, (classes, size)).astype(np.float32), rng.normal(0, 0.05, (classes, size)).astype(np.float32), np.log(unigram).astype(np.float32)]
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    offset = np.log(noise * unigram).astype(np.float32)
-    step = 0
-    for epoch in range(epochs):
-        lr = rate * (1 - epoch / epochs) + 1e-4
-        for rows in np.array_split(rng.permutation(classes), max(1, classes // batch)):
-            seen = pairs[rows].astype(np.float32)
-            total = seen.sum(axis=1, keepdims=True)
-            # Rows count by the root of their total: rare contexts are learned too, frequent ones not forgotten.
-            weight = 1.0 / np.sqrt(total + 1.0)
-            context, target, bias = params[0][rows], params[1], params[2]
-            data = 1.0 / (1.0 + np.exp(-np.clip(context @ target.T + bias - offset, -30, 30)))
-            gradient = weight * (seen * (1 - data) - noise * total * unigram.astype(np.float32) * data)
-            changes = [np.zeros_like(params[0]), gradient.T @ context, gradient.sum(axis=0)]
-            changes[0][rows] = gradient @ target - decay * context
-            changes[1] -= decay * len(rows) / classes * target
-            step += 1
-            for k, (p, g) in enumerate(zip(params, changes)):
-                m, v = moments[k]
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                p += lr * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
-    return params[0], params[1], params[2]
+def spelled(shapes: np.ndarray, classes: int) -> np.ndarray:
+    """The shared class of words by their first two bytes and their last."""
+    return (scrambled(shapes.astype(np.uint64)) % np.uint64(classes)).astype(np.int64)
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts, the ends of texts included."""
+@dataclass
+class Vocabulary:
+    """The most frequent words by rank with their counts, and the totals of shared classes."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+    sizes: Sizes
+    codes: np.ndarray  # of listed words; the first is the end, the first sizes.own have vectors
+    counts: np.ndarray
+    class_total: np.ndarray  # of shared classes: tokens and distinct words, and one
+    tokens: int
+    distinct: int
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
-            held.clear()
-            return out
+    def __post_init__(self):
+        self.places = Places(self.codes)
+
+    def __reduce__(self):
+        return Vocabulary, (self.sizes, self.codes, self.counts, self.class_total, self.tokens, self.distinct)
+
+    def numbers(self, codes: np.ndarray, shapes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each token's place among the listed words, number as a target and number as a context."""
+        place = self.places.find(codes)
+        target, context = place.copy(), place.copy()
+        rare = np.flatnonzero((place < 0) | (place >= self.sizes.own))
+        target[rare] = self.sizes.own + spelled(shapes[rare], self.sizes.shared)
+        far = np.flatnonzero((place < 0) | (place >= self.sizes.near))
+        context[far] = self.sizes.near + spelled(shapes[far], self.sizes.spelled)
+        return place, target, context
+
+    def unigram(self) -> np.ndarray:
+        """Share of each target, one more counted for each."""
+        seen = np.concatenate((self.counts[: self.sizes.own], self.class_total)).astype(float) + 1.0
+        return seen / seen.sum()
+
+
+def before(context: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts of the token before each and of the one before that; texts start after ends."""
+    one = np.append(0, context[:-1])
+    two = np.append(0, one[:-1])
+    one[starts[:-1]] = 0
+    two[starts[:-1]] = 0
+    second = starts[:-1] + 1
+    two[second[second < starts[1:]]] = 0
+    return one, two
+
+
+class Parameters:
+    """Vectors of contexts at either place before a token, vectors and biases of targets."""
+
+    def __init__(self, vocabulary: Vocabulary, seed: int = 0):
+        rng, sizes = np.random.default_rng(seed), vocabulary.sizes
+        shapes = [(sizes.contexts, SIZE), (sizes.contexts, SIZE), (sizes.targets, SIZE)]
+        self.arrays = [rng.normal(0, 0.1, s).astype(np.float32) for s in shapes]
+        self.arrays.append(np.log(vocabulary.unigram()).astype(np.float32).reshape(-1, 1))
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([a.ravel() for a in self.arrays])
+
+    def filled(self, flat: np.ndarray) -> Parameters:
+        at = 0
+        for k, a in enumerate(self.arrays):
+            self.arrays[k] = flat[at : at + a.size].reshape(a.shape).astype(np.float32)
+            at += a.size
+        return self
+
+    def normalisers(self, contexts: np.ndarray) -> np.ndarray:
+        """Log of the sum over all targets, for pairs of contexts (one * contexts + two)."""
+        one, two, target, bias = self.arrays
+        own = one[contexts // len(one)] + two[contexts % len(one)]
+        scores = own @ target.T + bias[:, 0]
+        top = scores.max(axis=1)
+        return np.log(np.exp(scores - top[:, None]).sum(axis=1)) + top
+
+    def scores(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Logs of targets after contexts, not yet normalised."""
+        out = np.empty(len(w), np.float32)
+        for k in range(0, len(w), 1 << 14):
+            s = slice(k, k + (1 << 14))
+            own = self.arrays[0][one[s]] + self.arrays[1][two[s]]
+            out[s] = np.einsum("ij,ij->i", own, self.arrays[2][w[s]]) + self.arrays[3][w[s], 0]
+        return out
+
+
+def _added_up(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different indexes, and the sums of the rows of each."""
+    order = np.argsort(index, kind="stable")
+    own = index[order]
+    last = np.append(np.flatnonzero(own[1:] != own[:-1]), len(own) - 1)
+    sums = np.cumsum(rows[order], axis=0, dtype=np.float64)[last]
+    return own[last], np.diff(sums, axis=0, prepend=np.zeros((1, sums.shape[1])))
+
+
+class NoiseContrastive:
+    """Steps of noise-contrastive estimation.
+
+    In a batch, every token is told from ``noise`` words for each, drawn from
+    the unigram distribution; the batch shares ``drawn`` draws of them, so
+    that scores and gradients are matrix products.  Steps are AdaGrad's, one
+    rate for each vector.
+    """
 
-        for batch in sliced(batches, text=0):
-            for text in texts_of(batch, 0):
-                held.update(tokens_of(text))
-            if len(held) > HELD:
-                yield flush()
-        if held:
-            yield flush()
+    def __init__(self, parameters: Parameters, unigram: np.ndarray, *, noise: float = 16.0, drawn: int = 128, batch: int = 1024, rate: float = 0.5, seed: int = 0):
+        self.parameters, self.noise, self.drawn, self.batch, self.rate = parameters, noise, drawn, batch, rate
+        self.offset = np.log(noise * unigram).astype(np.float32)
+        self.steps, self.rng = np.cumsum(unigram), np.random.default_rng(seed)
+        self.squares = [np.full((len(a), 1), 1e-2) for a in parameters.arrays]
+
+    def _move(self, k: int, index: np.ndarray, gradient: np.ndarray) -> None:
+        index, total = _added_up(index, gradient)
+        self.squares[k][index] += (total * total).mean(axis=1, keepdims=True)
+        self.parameters.arrays[k][index] += (self.rate * total / np.sqrt(self.squares[k][index])).astype(np.float32)
+
+    def learn(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        for k in range(0, len(w), self.batch):
+            s = slice(k, k + self.batch)
+            self._step(w[s], one[s], two[s])
+
+    def _step(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        first, second, target, bias = self.parameters.arrays
+        drawn = np.minimum(np.searchsorted(self.steps, self.rng.random(self.drawn)), len(target) - 1)
+        own, vectors, against = first[one] + second[two], target[w], target[drawn]
+        true = 1 / (1 + np.exp(self.offset[w] - np.einsum("ij,ij->i", own, vectors) - bias[w, 0]))
+        false = 1 / (1 + np.exp(self.offset[drawn] - own @ against.T - bias[drawn, 0]))
+        up = (1 - true)[:, None]
+        down = false * np.float32(-self.noise / self.drawn)
+        of_own = up * vectors + down @ against
+        index = np.concatenate((w, drawn))
+        self._move(0, one, of_own)
+        self._move(1, two, of_own)
+        self._move(2, index, np.concatenate((up * own, down.T @ own)))
+        self._move(3, index, np.concatenate((up, down.sum(axis=0)[:, None])))
 
-    return small_batches(docs.select("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def count_words(docs: DataFrame) -> DataFrame:
+    """(code, shape, n) over all texts, the ends of texts included.
 
-def count_pairs(docs: DataFrame, own: dict[bytes, int]) -> np.ndarray:
-    """How often each class follows each, over all texts; a text starts after an end."""
-    classes = OWN + SHARED
-    shared = docs.sparkSession.sparkContext.broadcast(own)
+    Words are told apart by 64 bits of a hash.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(classes * classes, np.int64)
-        known = _Classes(shared.value)
         for batch in sliced(batches, text=0):
-            flat = [END]
-            for text in texts_of(batch, 0):
-                flat += tokens_of(text)
-            ids = known.ids(flat)
-            found += np.bincount(ids[:-1] * classes + ids[1:], minlength=len(found))
-        cells = np.flatnonzero(found)
-        if len(cells):
-            yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(found[cells])], names=["cell", "n"])
-
-    # At most (OWN + SHARED) squared rows, whatever the corpus.
-    rows = small_batches(docs.select("text")).mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(classes * classes, np.float64)
-    out[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
-    return out.reshape(classes, classes)
-
-
-class _Classes:
-    """Classes of words, remembered for a bounded number of them."""
-
-    def __init__(self, own: dict[bytes, int]):
-        self._own, self._known = own, dict(own)
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        known = self._known
-        if len(known) > HELD:
-            known = self._known = dict(self._own)
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        except KeyError:
-            for w in set(words).difference(known):
-                known[w] = spelling_class(w)
-            return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-
-
-def fit(docs: DataFrame, counts: DataFrame, **options) -> Model:
-    """Fits the model to the class pairs of all texts; ``counts`` has their words."""
-    # Words by the eighths of their count's logarithm: a few hundred rows.
-    grade = F.floor(F.log2("n") * 8).alias("grade")
-    grades = counts.groupBy(grade).agg(F.count("*").alias("words"), F.sum("n").alias("n")).orderBy(F.desc("grade")).collect()
-    total, distinct = sum(r["n"] for r in grades), sum(r["words"] for r in grades)
-    held, least = 0, None
-    for r in grades:
-        held += r["words"]
-        if held > LISTED:
-            break
-        least = r["grade"]
-    top = counts.where(F.floor(F.log2("n") * 8) >= least).collect() if least is not None else []
-    listed = {bytes(r["word"]): r["n"] for r in top}
-    ranked = sorted(listed, key=lambda w: (-listed[w], w))
-    own = {w: k for k, w in enumerate([END, *[w for w in ranked if w != END]][:OWN])}
-    class_total = np.ones(OWN + SHARED)
-    spelled = F.crc32(F.concat(F.substring("word", 1, 2), F.lit(bytearray(b"\0")), F.expr("substring(word, -1, 1)"))) % SHARED
-    for r in counts.groupBy(spelled.alias("at")).agg(F.sum(F.col("n") + 1).alias("n")).collect():
-        class_total[OWN + r["at"]] += r["n"]
-    for w in own:
-        class_total[spelling_class(w)] -= listed.get(w, -1) + 1
-    context, target, bias = noise_contrastive(count_pairs(docs, own), **options)
-    return Model(context, target, bias, listed, own, class_total, int(total), int(distinct))
+            codes, shapes, _ = tokens_of(texts_of(batch, 0))
+            own, at, n = np.unique(codes, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(shapes[at]), pa.array(n)], names=["code", "shape", "n"])
+
+    return small_batches(docs.select("text")).mapInArrow(count, "code long, shape int, n long").groupBy("code").agg(F.min("shape").alias("shape"), F.sum("n").alias("n"))
+
+
+def vocabulary_of(counts: DataFrame) -> Vocabulary:
+    """Ranks words by count, ties by code; adds up the others by shared class."""
+    total = counts.agg(F.count("*").alias("distinct"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
+    sizes = Sizes.of(total["distinct"])
+    end = int(END)
+    ranked = counts.where(F.col("code") != end).orderBy(F.desc("n"), "code").limit(max(LISTED, sizes.own) - 1).select("code", "shape", "n").toArrow()
+    ends = counts.where(F.col("code") == end).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    codes = np.append(np.array([END]), ranked.column("code").to_numpy().view(np.uint64))
+    listed = np.append(ends, ranked.column("n").to_numpy()).astype(np.int64)
+    # At most some hundred thousand shapes: three bytes.
+    shapes = counts.where(F.col("code") != end).groupBy("shape").agg(F.sum(F.col("n") + 1).alias("n")).toArrow()
+    totals = np.ones(sizes.shared)
+    np.add.at(totals, spelled(shapes.column("shape").to_numpy(), sizes.shared), shapes.column("n").to_numpy())
+    np.subtract.at(totals, spelled(ranked.column("shape").to_numpy()[: sizes.own - 1], sizes.shared), listed[1 : sizes.own] + 1)
+    return Vocabulary(sizes, codes, listed, totals, int(total["tokens"]), int(total["distinct"]))
+
+
+def _parts(flat: np.ndarray, weight: int, part: int) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(flat), BLOCK):
+        own = flat[k : k + BLOCK] * np.float32(weight)
+        yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK]), pa.array([part]), pa.array([weight]), pa.array([own.astype("<f4").tobytes()], pa.binary())], names=["block", "part", "weight", "data"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up the rows of each (block, part); rows arrive sorted, one sum is held."""
+    at, weight, total = None, 0, None
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([at[0]]), pa.array([at[1]]), pa.array([weight]), pa.array([total.astype("<f4").tobytes()], pa.binary())], names=["block", "part", "weight", "data"])
+
+    for batch in batches:
+        for block, part, w, data in zip(*(batch.column(k) for k in range(4))):
+            key, own = (block.as_py(), part.as_py()), np.frombuffer(data.as_py(), "<f4")
+            if key != at:
+                if at is not None:
+                    yield done()
+                at, weight, total = key, 0, np.zeros(len(own))
+            weight, total = weight + w.as_py(), total + own
+    if at is not None:
+        yield done()
+
+
+def fit(docs: DataFrame, vocabulary: Vocabulary, *, first_tokens: int = 4_000_000, rates: tuple[float, float] = (0.5, 0.15), **options) -> Parameters:
+    """Trains on every token of all texts.
+
+    One task learns from about ``first_tokens`` tokens, of texts taken by
+    their hash, so that vectors point the same way everywhere.  Then every
+    task starts from there and learns from all of its own texts; the tasks'
+    parameters are averaged by their tokens.
+    """
+    spark, parameters = docs.sparkSession, Parameters(vocabulary)
+    columns = "block long, part long, weight long, data binary"
+    if not vocabulary.tokens:
+        return parameters
+    parts = max(1, vocabulary.tokens // first_tokens)
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0).coalesce(1)
+    for name, texts, rate in (("first", some, rates[0]), ("all", docs, rates[1])):
+        shared = spark.sparkContext.broadcast((vocabulary, parameters.flat()))
+
+        def learn(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:
+            words, flat = shared.value
+            part = TaskContext.get().partitionId() if TaskContext.get() else 0
+            own = Parameters(words).filled(flat)
+            steps, weight = NoiseContrastive(own, words.unigram(), seed=part, **{"rate": rate, **options}), 0
+            for batch in sliced(batches, text=0):
+                codes, shapes, starts = tokens_of(texts_of(batch, 0))
+                _, target, context = words.numbers(codes, shapes)
+                steps.learn(target, *before(context, starts))
+                weight += len(codes)
+            if weight:
+                yield from _parts(own.flat(), weight, part)
+
+        learned = written(small_batches(texts.select("text")).mapInArrow(learn, columns), f"learned-{name}")
+        # In two steps, so that a task adds up a bounded number of tasks' blocks.
+        groups = learned.withColumn("part", F.floor(F.col("part") / 256)).repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(_summed, columns)
+        groups = written(groups.withColumn("part", F.lit(0).cast("long")), f"summed-{name}")
+        rows = groups.repartition("block").sortWithinPartitions("block").mapInArrow(_summed, columns).toArrow().sort_by("block")
+        if rows.num_rows:  # none where no text's hash fell to the first task
+            parameters = Parameters(vocabulary).filled(np.concatenate([np.frombuffer(d.as_py(), "<f4") / w.as_py() for w, d in zip(rows.column("weight"), rows.column("data"))]))
+    return parameters
+
+
+def normaliser_table(spark, vocabulary: Vocabulary, parameters: Parameters) -> np.ndarray:
+    """Log normalisers of all pairs of contexts, worked out by tasks in matrix products over all targets."""
+    shared = spark.sparkContext.broadcast((vocabulary, parameters.flat()))
+    pairs = vocabulary.sizes.contexts**2
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        for batch in batches:
+            own = own or Parameters(shared.value[0]).filled(shared.value[1])
+            for block in batch.column(0).to_pylist():
+                at = np.arange(block * CONTEXTS, min(pairs, (block + 1) * CONTEXTS))
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own.normalisers(at).astype(np.float32))], names=["pair", "log"])
+
+    blocks = -(-pairs // CONTEXTS)
+    found = spark.range(0, blocks, 1, min(blocks, 512)).mapInArrow(work, "pair long, log float").toArrow()
+    out = np.empty(pairs, np.float32)
+    out[found.column("pair").to_numpy()] = found.column("log").to_numpy()
+    return out
 
 
 def log_bilinear_scores(docs: DataFrame, held_out: Column, **options) -> DataFrame:
     """Learns from the rows that are not held out, and scores all.
 
     Tokens are the words between ASCII white space, A-Z lower-cased, then one
-    end.  Counts and class pairs are taken of every training text.  The
-    log-bilinear model predicts a token's class from the class before it;
-    scores are normalised over all classes, and a word's share of its class
-    is taken from the counts.  Counts of at most ``LISTED`` frequent words are
-    sent to every task; those of the others are joined by word.
+    end.  All training tokens are counted, and learned from.  The score of a
+    token is the sum of its two context vectors times its own vector plus its
+    bias, normalised over all vectors.  Words with a vector of their own are
+    the most frequent; their number grows with the number of distinct words
+    (see :class:`Sizes`).  The others share vectors by spelling, and have the
+    share (count + 1) of their class that exact counts give, one more for
+    unknown words; so the probabilities of all words and one unknown one in
+    each class sum to 1.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score.  Null and empty texts are one end.  Where ``held_out`` is null a
@@ -211,48 +341,51 @@ def log_bilinear_scores(docs: DataFrame, held_out: Column, **options) -> DataFra
     apart = F.coalesce(held_out, F.lit(False))
     training = docs.where(~apart).select("text")
     counts = written(count_words(training), "counts")
-    model = fit(training, counts, **options)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    vocabulary = vocabulary_of(counts)
+    parameters = fit(training, vocabulary, **options)
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, parameters.flat(), normaliser_table(docs.sparkSession, vocabulary, parameters)))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    size = np.log10(model.tokens + model.distinct + 1)
+    size = np.log10(vocabulary.tokens + vocabulary.distinct + 1)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        known, table, listed = _Classes(own.own), own.log_table(), own.listed
-        share = np.log10(own.class_total)
+        words, flat, normalisers = shared.value
+        own, sizes = Parameters(words).filled(flat), words.sizes
+        logs, share = np.append(np.log10(words.counts + 1.0), 0.0), np.log10(words.class_total)
         at = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         for batch in sliced(batches):
-            out: dict[str, list] = {c: [] for c in ("at", "n_tokens", "n_known", "base", "score", "rare")}
-            for text in texts_of(batch):
-                words = tokens_of(text)
-                ids = known.ids(words)
-                seen = list(map(listed.get, words))
-                rare = Counter(w for w, c in zip(words, seen) if c is None) if None in seen else {}
-                logs = np.log10(np.array([c for c in seen if c is not None], float) + 1)
-                in_class = ids >= OWN
-                inside = float(logs[in_class[[c is not None for c in seen]]].sum() if rare else logs[in_class].sum()) - float(share[ids[in_class]].sum())
-                out["at"].append(at)
-                out["n_tokens"].append(len(words))
-                out["n_known"].append(len(logs))
-                out["base"].append(float(logs.sum()) - len(words) * size)
-                out["score"].append(float(table[np.append(0, ids[:-1]), ids].sum(dtype=np.float64)) + inside)
-                out["rare"].append([{"word": w, "n": n} for w, n in rare.items()])
-                at += 1
-            types = {"at": pa.int64(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base": pa.float64(), "score": pa.float64(), "rare": pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))}
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(v, types[c]) for c, v in out.items()]], names=["doc_id", "held_out", *out])
+            codes, shapes, starts = tokens_of(texts_of(batch))
+            place, target, context = words.numbers(codes, shapes)
+            one, two = before(context, starts)
+            first, n = starts[:-1], np.diff(starts)
+            found = (own.scores(target, one, two) - normalisers[one * sizes.contexts + two]).astype(np.float64) / np.log(10)
+            seen = logs[place]  # 0 for those at -1, whose counts are joined
+            inside = np.where(target >= sizes.own, seen - share[np.maximum(target - sizes.own, 0)], 0.0)
+            known = (place >= 0) & (words.counts[place] > 0)
+            text = np.repeat(np.arange(len(n)), n)
+            far = np.flatnonzero(place < 0)
+            order = far[np.lexsort((codes[far], text[far]))]
+            heads = np.flatnonzero(np.append(True, (codes[order[1:]] != codes[order[:-1]]) | (text[order[1:]] != text[order[:-1]]))) if len(order) else order
+            times = np.diff(np.append(heads, len(order)))
+            rare = pa.StructArray.from_arrays([pa.array(codes[order[heads]].view(np.int64)), pa.array(times)], names=["code", "n"])
+            ends = np.append(0, np.cumsum(np.bincount(text[order[heads]], minlength=len(n)))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(2), pa.array(at + np.arange(len(n))), pa.array(n), pa.array(np.add.reduceat(known.astype(np.int64), first)),
+                pa.array(np.add.reduceat(seen, first) - n * size), pa.array(np.add.reduceat(found + inside, first)), pa.ListArray.from_arrays(pa.array(ends), rare),
+            ], names=["doc_id", "held_out", "at", "n_tokens", "n_known", "base", "score", "rare"])
+            at += len(n)
 
     partial = written(
         small_batches(docs.select("doc_id", "text", apart.alias("held_out")))
-        .mapInArrow(score, f"doc_id {kind}, held_out boolean, at long, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,n:long>>"), "scores")
-    rare = partial.select("at", F.explode("rare").alias("r")).select("at", "r.word", F.col("r.n").alias("times"))
+        .mapInArrow(score, f"doc_id {kind}, held_out boolean, at long, n_tokens long, n_known long, base double, score double, rare array<struct<code:long,n:long>>"), "scores")
+    rare = partial.select("at", F.explode("rare").alias("r")).select("at", "r.code", F.col("r.n").alias("times"))
     more = (
-        rare.join(counts, "word", "left")
+        rare.join(counts, "code", "left")
         .select("at", F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).alias("known"), (F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("logs"))
         .groupBy("at").agg(F.sum("known").alias("known"), F.sum("logs").alias("logs"))
     )
     joined = partial.drop("rare").join(more, "at", "left")
     return joined.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        F.lit(vocabulary.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("logs", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("logs", F.lit(0.0))).alias("score"),
     )
