@@ -38,56 +38,96 @@ def line_keys(docs: DataFrame, row_key, *, min_chars: int = 1, text_col: str = "
 
 
 class LineRuns:
-    """Runs of (key, docs) sorted by key, in levels.
-
-    A batch adds one run to level 0.  When a level holds ``fanout`` runs they
-    are merged into one run of the next level, adding up their documents, so
-    there are at most ``fanout - 1`` runs in each of a logarithmic number of
-    levels.  Runs are tables in the shared folder: a lost executor loses none.
+    """Levelled sorted runs of line keys, which tell the keys that enough documents have.
+
+    A run is a table of (key, docs), bucketed by key and sorted in each
+    bucket, so that runs are merged and anti-joined bucket by bucket without
+    being shuffled.  A new batch is shuffled once, to its buckets; keys that a
+    run of frequent ones has are anti-joined out of it, as nothing about them
+    is open any more, and what is left becomes a run of level 0.  When a level
+    holds ``fanout`` runs they are merged, adding up their documents: keys
+    that reach ``min_docs`` make a frequent run, the others one run of the
+    next level.  So there are at most ``fanout - 1`` open runs in each of a
+    logarithmic number of levels.  Runs lie in the shared folder: a lost
+    executor loses none.
     """
 
-    def __init__(self, spark: SparkSession, fanout: int = 4):
-        self.spark, self.fanout = spark, fanout
-        self.path = f"{shared_dir(spark)}/fluxlens/runs-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, *, min_docs: int = 10, fanout: int = 2, buckets: int | None = None):
+        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self._name = f"line_runs_{uuid.uuid4().hex}"
+        self._path = f"{shared_dir(spark)}/fluxlens/{self._name}"
         self.levels: list[list[str]] = []
+        self.frequent: list[str] = []
         self._made = 0
 
-    def _write(self, counts: DataFrame, level: int) -> None:
-        path = f"{self.path}/level{level}-{self._made}"
+    def _run(self, counts: DataFrame) -> str:
+        table = f"{self._name}_{self._made}"
         self._made += 1
-        counts.sortWithinPartitions("key").write.parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("key binary, docs long").parquet(*paths) if paths else self.spark.createDataFrame([], "key binary, docs long")
+        # Sums and merges are dealt by the hash that deals rows to buckets, so each bucket is one file.
+        counts.write.bucketBy(self.buckets, "key").sortBy("key").option("path", f"{self._path}/{table}").format("parquet").saveAsTable(table)
+        return table
+
+    def _without_frequent(self, counts: DataFrame) -> DataFrame:
+        for run in self.frequent:
+            counts = counts.hint("merge").join(self.spark.table(run).hint("merge"), "key", "left_anti")
+        return counts
+
+    def _merged(self, runs: list[str]) -> DataFrame:
+        """The sum of runs, by outer merge joins."""
+        first, *others = runs
+        total = self.spark.table(first)
+        for run in others:
+            more = self.spark.table(run).withColumnRenamed("docs", "more")
+            total = total.hint("merge").join(more.hint("merge"), "key", "full").select("key", (F.coalesce("docs", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("docs"))
+        return total
 
     def add(self, keys: DataFrame) -> None:
         """Adds the keys of a batch, a row for each document that has one, and compacts."""
-        self._write(keys.groupBy("key").agg(F.count("*").alias("docs")), 0)
-        level = 0
-        while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
-            merged, self.levels[level] = self.levels[level], []
-            self._write(self._read(merged).groupBy("key").agg(F.sum("docs").alias("docs")), level + 1)
-            level += 1
+        counts = keys.groupBy("key").agg(F.count("*").alias("docs"))
+        self._place(self._run(self._without_frequent(counts)), 0)
 
-    def counts(self) -> DataFrame:
-        """(key, docs) over all runs."""
-        return self._read([p for level in self.levels for p in level]).groupBy("key").agg(F.sum("docs").alias("docs"))
+    def _place(self, run: str, level: int) -> None:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(run)
+        if len(self.levels[level]) >= self.fanout:
+            merged, self.levels[level] = self._compact(self.levels[level]), []
+            self._place(merged, level + 1)
+
+    def _compact(self, runs: list[str]) -> str:
+        """Moves keys with enough documents to a frequent run; the run of the others."""
+        total = self._without_frequent(self._merged(runs))
+        self.frequent.append(self._run(total.where(F.col("docs") >= self.min_docs)))
+        return self._run(total.where(F.col("docs") < self.min_docs))
+
+    def keys(self) -> DataFrame:
+        """The keys that ``min_docs`` documents or more have; ends the runs."""
+        open_ = [run for level in self.levels for run in level]
+        if open_:
+            self.levels = [[self._compact(open_)]]
+        found = self.spark.createDataFrame([], "key binary")
+        for run in self.frequent:
+            found = found.unionAll(self.spark.table(run).select("key"))
+        found = written(found, "frequent")
+        for k in range(self._made):  # the tables' names; their files are those of the shared folder
+            self.spark.sql(f"drop table if exists {self._name}_{k}")
+        return found
 
     def unseen(self, keys: DataFrame) -> DataFrame:
         """The distinct keys of a batch that no run has."""
-        seen = self._read([p for level in self.levels for p in level])
-        return keys.select("key").distinct().join(seen, "key", "left_anti")
+        counts = self._without_frequent(keys.select("key").distinct())
+        for run in (run for level in self.levels for run in level):
+            counts = counts.hint("merge").join(self.spark.table(run).hint("merge"), "key", "left_anti")
+        return counts
 
 
-def drop_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 4, keep_first: bool = False, keep_text: bool = False, text_col: str = "text") -> DataFrame:
+def drop_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 2, keep_first: bool = False, keep_text: bool = False, text_col: str = "text") -> DataFrame:
     """Drops every line whose key is found in at least ``min_docs`` documents.
 
-    The corpus is added to the runs in ``batches``; keys with enough documents
-    over all runs are then joined to the documents that have them.  Work per
-    key meets at most once per document and is summed before it is shuffled; a key in
+    The corpus is added to the runs (see :class:`LineRuns`) in ``batches``;
+    keys that have proved frequent are joined to the documents that have them.
+    Keys count once in a document and are summed before they are shuffled; a key in
     very many documents is spread by the engine's splitting of skewed joins.
 
     With ``keep_first`` one document, that of the smallest row hash, keeps
@@ -103,12 +143,13 @@ def drop_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, batch
     docs = docs.drop(*[c for c in docs.columns if c in (*outputs, "__row", "__keys")])
     names = [c for c in docs.columns if c != text_col]
     # Alike for equal rows only; so copies of one text spread over the tasks.
+    # Rows that share a hash by chance only look for each other's frequent keys too.
     row_key = F.xxhash64(*[F.col(c) for c in docs.columns if c == "doc_id"], F.coalesce(F.col(text_col), F.lit("")))
     keys = written(line_keys(docs, row_key, min_chars=min_chars, text_col=text_col), "lines")
-    runs = LineRuns(docs.sparkSession, fanout)
+    runs = LineRuns(docs.sparkSession, min_docs=min_docs, fanout=fanout)
     for k in range(batches):
         runs.add(keys.where(F.pmod("row", F.lit(batches)) == k))
-    frequent = written(runs.counts().where(F.col("docs") >= min_docs).select("key"), "frequent")
+    frequent = runs.keys()
     hits = keys.join(frequent, "key", "left_semi")
     if keep_first:
         first = written(hits.groupBy("key").agg(F.min("row").alias("first")), "first")

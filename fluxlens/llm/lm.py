@@ -170,11 +170,11 @@ class NoiseContrastive:
     rate for each vector.
     """
 
-    def __init__(self, parameters: Parameters, unigram: np.ndarray, *, noise: float = 16.0, drawn: int = 128, batch: int = 1024, rate: float = 0.5, seed: int = 0):
+    def __init__(self, parameters: Parameters, unigram: np.ndarray, *, noise: float = 16.0, drawn: int = 128, batch: int = 512, rate: float = 0.2, seed: int = 0):
         self.parameters, self.noise, self.drawn, self.batch, self.rate = parameters, noise, drawn, batch, rate
         self.offset = np.log(noise * unigram).astype(np.float32)
         self.steps, self.rng = np.cumsum(unigram), np.random.default_rng(seed)
-        self.squares = [np.full((len(a), 1), 1e-2) for a in parameters.arrays]
+        self.squares = [np.full((len(a), 1), 10.0) for a in parameters.arrays]
 
     def _move(self, k: int, index: np.ndarray, gradient: np.ndarray) -> None:
         index, total = _added_up(index, gradient)
@@ -259,7 +259,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def fit(docs: DataFrame, vocabulary: Vocabulary, *, first_tokens: int = 4_000_000, rates: tuple[float, float] = (0.5, 0.15), **options) -> Parameters:
+def fit(docs: DataFrame, vocabulary: Vocabulary, *, first_tokens: int = 4_000_000, rates: tuple[float, float] = (0.2, 0.1), **options) -> Parameters:
     """Trains on every token of all texts.
 
     One task learns from about ``first_tokens`` tokens, of texts taken by

@@ -102,13 +102,30 @@ def test_line_dedup(docs, empty):
     assert lines.drop_lines(empty).count() == 0
 
 
-def test_line_runs_compact(spark):
-    runs = lines.LineRuns(spark, fanout=2)
-    for k in range(4):
-        runs.add(spark.createDataFrame([(bytearray([k]),), (bytearray([9]),)], "key binary"))
-    assert [len(x) for x in runs.levels] == [0, 0, 1]
-    assert {(r["key"][0], r["docs"]) for r in runs.counts().collect()} == {(0, 1), (1, 1), (2, 1), (3, 1), (9, 4)}
-    assert [r["key"][0] for r in runs.unseen(spark.createDataFrame([(bytearray([9]),), (bytearray([7]),)], "key binary")).collect()] == [7]
+def test_line_runs(spark):
+    key = lambda *x: spark.createDataFrame([(bytearray([k]),) for k in x], "key binary")
+    runs = lines.LineRuns(spark, min_docs=4, fanout=2, buckets=3)
+    for k in range(3):
+        runs.add(key(k, 9, 9))
+    assert [len(x) for x in runs.levels] == [1, 1] and len(runs.frequent) == 1
+    assert [r["key"][0] for r in runs.unseen(key(9, 7, 7, 0)).collect()] == [7]
+    # The third batch has lost the key that was frequent by then.
+    assert {(r["key"][0], r["docs"]) for r in spark.table(runs.levels[0][0]).collect()} == {(2, 1)}
+    assert {(r["key"][0], r["docs"]) for r in spark.table(runs.levels[1][0]).collect()} == {(0, 1), (1, 1)}
+    joined = runs._without_frequent(spark.table(runs.levels[0][0]))._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in joined and "Exchange" not in joined
+    merged = runs._merged([runs.levels[0][0], runs.levels[1][0]])._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" in merged and "Exchange" not in merged
+    runs.add(key(*[5] * 9, 2, 2, 2))
+    assert sorted(r["key"][0] for r in runs.keys().collect()) == [2, 5, 9]
+    assert lines.LineRuns(spark, buckets=2).keys().count() == 0
+
+
+@pytest.mark.parametrize("batches,fanout", [(1, 2), (5, 2), (7, 3)])
+def test_frequent_lines_do_not_depend_on_batches(docs, batches, fanout):
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"])
+    found = [sorted(map(key, lines.drop_lines(docs, min_docs=3, batches=b, fanout=f).collect()), key=str) for b, f in ((4, 2), (batches, fanout))]
+    assert found[0] == found[1] and sum(r[3] for r in found[0]) > 0
 
 
 def brute_components(docs, words, percent=80):
