@@ -11,7 +11,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Words of the contracts: everything between ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,10 +72,10 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def by_texts(df: DataFrame, columns: list, function: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
+def by_texts(df: DataFrame, columns: list, function: Callable[[pa.RecordBatch], dict], schema: str | StructType) -> DataFrame:
     """Maps slices of (columns...), of which the second is the text, to rows of the schema."""
 
-    wanted = to_arrow_schema(_parse_datatype_string(schema))
+    wanted = to_arrow_schema(schema if isinstance(schema, StructType) else _parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches):

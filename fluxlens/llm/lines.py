@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from fluxlens.llm.common import by_texts, shared_dir, texts_of, written
 
@@ -140,9 +141,8 @@ def drop_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, batch
     too.  An empty table gives no rows.
     """
     outputs = ("n_lines", "n_dropped", "kept_sha256")
-    docs = docs.drop(*[c for c in docs.columns if c in (*outputs, "__row", "__keys")])
-    names = [c for c in docs.columns if c != text_col]
-    # Alike for equal rows only; so copies of one text spread over the tasks.
+    others = [c for c in docs.columns if c != text_col and c not in outputs]
+    rest = F.struct(*[F.col(f"`{c}`") for c in others], F.lit(None).cast("int").alias("_"))
     # Rows that share a hash by chance only look for each other's frequent keys too.
     row_key = F.xxhash64(*[F.col(c) for c in docs.columns if c == "doc_id"], F.coalesce(F.col(text_col), F.lit("")))
     keys = written(line_keys(docs, row_key, min_chars=min_chars, text_col=text_col), "lines")
@@ -154,12 +154,11 @@ def drop_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, batch
     if keep_first:
         first = written(hits.groupBy("key").agg(F.min("row").alias("first")), "first")
         hits = keys.join(first, "key").where("row <> first")
-    found = hits.groupBy("row").agg(F.collect_set("key").alias("__keys"))
-    joined = docs.withColumn("__row", row_key).join(found.withColumnRenamed("row", "__row"), "__row", "left")
+    found = hits.groupBy("row").agg(F.collect_set("key").alias("keys"))
+    joined = docs.select(row_key.alias("row"), F.col(text_col).alias("text"), rest.alias("rest")).join(found, "row", "left")
 
     def drop(batch) -> dict:
-        out = {c: batch.column(2 + k) for k, c in enumerate(names)} | {c: [] for c in outputs}
-        kept_texts = []
+        out = {"rest": batch.column(2), "text": []} | {c: [] for c in outputs}
         for text, frequent_keys in zip(texts_of(batch), batch.column(0).to_pylist()):
             raw = text.encode()
             lines = raw.split(b"\n")
@@ -171,9 +170,24 @@ def drop_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, batch
             out["n_lines"].append(len(lines))
             out["n_dropped"].append(len(lines) - len(kept))
             out["kept_sha256"].append(hashlib.sha256(joined).hexdigest())
-            if keep_text:
-                kept_texts.append(joined.decode())
-        return out | ({text_col: kept_texts} if keep_text else {})
+            out["text"].append(joined.decode() if keep_text else None)
+        return out
 
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names] + ["n_lines long", "n_dropped long", "kept_sha256 string"] + [f"`{text_col}` string"] * keep_text
-    return by_texts(joined, ["__keys", text_col, *[F.col(f"`{c}`") for c in names]], drop, ", ".join(fields))
+    schema = StructType([StructField("rest", docs.select(rest).schema[0].dataType), StructField("text", StringType()), *[StructField(c, LongType()) for c in outputs[:2]], StructField(outputs[2], StringType())])
+    done = by_texts(joined, ["keys", "text", "rest"], drop, schema)
+    return done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns if c in others or (c == text_col and keep_text)], *outputs)
+
+
+def without_repeated_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, batches: int = 4) -> DataFrame:
+    """The rows without lines of ``min_docs`` documents or more, but for one document of each such line.
+
+    Rows of which no line is left go.  All columns stay, of whatever name and
+    type; n_chars, where it is one, is counted again where lines went.
+    """
+    box = docs.select("text", *(["doc_id"] if "doc_id" in docs.columns else []), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.lit(None).cast("int").alias("_")).alias("box"))
+    kept = drop_lines(box, min_docs=min_docs, min_chars=min_chars, batches=batches, keep_first=True, keep_text=True).where("n_dropped < n_lines")
+    out = [F.col("text") if c == "text" else F.col(f"box.`{c}`").alias(c) for c in docs.columns]
+    if "n_chars" in docs.columns:
+        counted = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("box.n_chars"))
+        out[docs.columns.index("n_chars")] = counted.alias("n_chars")
+    return kept.select(*out)

@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 
 from fluxlens.llm.common import by_texts, texts_of, written
 from fluxlens.llm.graph import components
+from fluxlens.llm.words import chained, word_codes
 
 #: Bands and rows of a band.  Of pairs at similarity 0.8 all but 5 in 10^8 share a band.
 BANDS, ROWS = 32, 4
 #: Low bits kept of each of the BANDS * ROWS minima.
 BITS = 2
 #: Members of a bucket or family that make up a cell, and their shingles; a task compares two cells at a time.
-CELL = 2048
+CELL = 512
 CELL_SHINGLES = 4_000_000
 #: Size up to which the sets of two cells are compared as rows of bits.
 MATRIX_BYTES = 64 << 20
@@ -27,22 +28,20 @@ MATRIX_BYTES = 64 << 20
 _rng = np.random.default_rng(20240229)
 _TIMES = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _AGAIN = _rng.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingle_set(text: str, words: int) -> np.ndarray:
-    """64-bit hashes of the distinct shingles of so many words, sorted; A-Z lower-cased."""
-    found = [xxhash.xxh3_64_intdigest(w) for w in text.encode().lower().split()]
-    if not found:
-        return np.empty(0, np.uint64)
-    own = np.array(found, np.uint64)
-    n = min(words, len(own))
-    last = len(own) - n + 1
-    code = np.full(last, n, np.uint64)
-    for k in range(n):
-        code = (code ^ own[k : k + last]) * _ODD
-        code ^= code >> np.uint64(29)
-    return np.unique(code)
+def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
+    """64-bit hashes of the distinct shingles of so many words of each text, sorted; A-Z lower-cased."""
+    codes, first = word_codes(texts)
+    padded = np.append(codes, np.zeros(words, np.uint64))
+    chains = chained([np.full(len(codes), words, np.uint64), *[padded[k : k + len(codes)] for k in range(words)]])
+    out = []
+    for a, b in zip(first.tolist(), first[1:].tolist()):
+        if b - a >= words:
+            out.append(np.unique(chains[a : b - words + 1]))
+        else:  # all words are one shingle
+            out.append(chained([np.array([b - a], np.uint64), *[codes[k : k + 1] for k in range(a, b)]]) if b > a else np.empty(0, np.uint64))
+    return out
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
@@ -195,18 +194,18 @@ def _linked(sets: list[np.ndarray], bits: np.ndarray, percent: int, least: float
 class NearDuplicates:
     """Classes of equal sets, links between them, components: see :func:`near_duplicates`."""
 
-    def __init__(self, docs: DataFrame, words: int, percent: int, *, id_col: str = "doc_id", text_col: str = "text", sets: Callable[[str], np.ndarray] | None = None):
+    def __init__(self, docs: DataFrame, words: int, percent: int, *, id_col: str = "doc_id", text_col: str = "text", sets: Callable[[list[str]], list[np.ndarray]] | None = None):
         self.percent, self.least = percent, cutoff(percent / 100)
-        make = sets or (lambda text: shingle_set(text, words))
+        make = sets or (lambda texts: shingle_sets(texts, words))
         text = F.coalesce(F.col(text_col), F.lit(""))
-        self.row = F.xxhash64(F.col(id_col), text)
+        # 128 bits stand for id and text, so that no two rows share them by chance.
+        self.row = F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit("\n"), text)))
         self.docs, self.id_col, self.text, self.make = docs, id_col, text, make
         kind = docs.schema[id_col].dataType.simpleString()
 
         def describe(batch) -> dict:
             out = {"id": batch.column(2), "row": batch.column(0), "class": [], "n": [], "bits": [], "bands": []}
-            for x in texts_of(batch):
-                own = make(x)
+            for own in make(texts_of(batch)):
                 out["n"].append(len(own))
                 if not len(own):
                     for c in ("class", "bits", "bands"):
@@ -218,7 +217,7 @@ class NearDuplicates:
                 out["bands"].append([xxhash.xxh3_64_intdigest(low[k : k + ROWS].tobytes(), k) - (1 << 63) for k in range(0, BANDS * ROWS, ROWS)])
             return out
 
-        self.members = written(by_texts(docs, [self.row.alias("row"), text.alias("text"), F.col(id_col).alias("id")], describe, f"id {kind}, row long, class binary, n long, bits binary, bands array<long>"), "members")
+        self.members = written(by_texts(docs, [self.row.alias("row"), text.alias("text"), F.col(id_col).alias("id")], describe, f"id {kind}, row binary, class binary, n long, bits binary, bands array<long>"), "members")
         self.classes = written(
             self.members.where("class is not null").groupBy("class")
             .agg(F.min("id").alias("least_id"), F.min("row").alias("row"), F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("bands").alias("bands")), "classes")
@@ -257,7 +256,7 @@ class NearDuplicates:
         texts = self.docs.select(self.row.alias("row"), self.text.alias("text")).join(wanted.join(sizes, "label"), "row")
 
         def sets(batch) -> dict:
-            return {"family": batch.column(2), "class": batch.column(3), "n": batch.column(4), "bits": batch.column(5), "cells": batch.column(6), "shingles": [make(x).tobytes() for x in texts_of(batch)]}
+            return {"family": batch.column(2), "class": batch.column(3), "n": batch.column(4), "bits": batch.column(5), "cells": batch.column(6), "shingles": [x.tobytes() for x in make(texts_of(batch))]}
 
         columns = ["row", "text", "label", "node", "n", "bits", "cells"]
         found = by_texts(texts, columns, sets, "family binary, class binary, n long, bits binary, cells long, shingles binary")
@@ -327,6 +326,7 @@ def one_of_each(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: s
     alike = NearDuplicates(docs, words, percent, id_col=id_col, text_col=text_col)
     found = alike.result()
     first = F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")
-    keepers = found.where("label is not null").groupBy("label").agg(first).select(F.col("first.row").alias("__row"))
-    keepers = written(keepers.unionAll(found.where("label is null").select(F.col("row").alias("__row"))).distinct(), "keepers")
-    return docs.withColumn("__row", alike.row).join(keepers, "__row", "left_semi").dropDuplicates(["__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keepers = found.where("label is not null").groupBy("label").agg(first).select("first.row")
+    keepers = written(keepers.unionAll(found.where("label is null").select("row")).distinct(), "keepers")
+    boxed = docs.select(alike.row.alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("box"))
+    return boxed.join(keepers, "row", "left_semi").dropDuplicates(["row"]).select(*[F.col(f"box.`{c}`").alias(c) for c in docs.columns])

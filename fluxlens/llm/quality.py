@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxlens.llm.common import by_texts, crc_of_id, texts_of
+from fluxlens.llm.common import by_texts, crc_of_id, sliced, small_batches, texts_of, written
 
 #: Buckets (a power of two) that n-grams are hashed to.
 BUCKETS = 1 << 18
@@ -44,7 +46,6 @@ class Features:
         self._seen[found] = order
         return found[self._seen[found] == order]
 
-
     @staticmethod
     def _repeats(words: list[bytes]) -> np.ndarray:
         shares = [sum(map(bytes.__eq__, words[k:], words)) / max(1, len(words) - k) for k in (1, 2, 3)]
@@ -134,12 +135,13 @@ def train(rows: list[np.ndarray], label: np.ndarray, *, cost: float = 1.0, epoch
     return Model(fit(order).astype(np.float32), slope, offset)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 4000, held_out_part: int = 1, parts: int = 3) -> Model:
-    """Fits on at most ``fit_rows`` labelled documents, taken in the order of a hash of their id.
+def fit_quality(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 4000, fit_bytes: int = 256 << 20, held_out_part: int = 1, parts: int = 3) -> Model:
+    """Fits on at most ``fit_rows`` labelled documents, taken in the order of a hash of their id,
+    and of these on as many as have ``fit_bytes`` of features.
 
     Rows whose crc32 of the id, modulo ``parts``, is ``held_out_part`` are
     never used, nor are rows without id or label; of several labels of an id
-    the larger counts.
+    the larger counts, of several texts of an id the one of the smallest hash.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (crc_of_id() % parts != held_out_part))
@@ -147,32 +149,49 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 4000, hel
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     )
     # fit_rows pairs of numbers at most: small enough to be sent everywhere.
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text", "doc_id")
+    joined = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    once = joined.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("least"), F.max("label").alias("label")).select("label", "least.text", "doc_id")
 
     def extract(batch) -> dict:
         features = Features()
         return {"doc_id": batch.column(2), "label": batch.column(0), "features": [features(t).astype("<i4").tobytes() for t in texts_of(batch)]}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = by_texts(joined, ["label", "text", "doc_id"], extract, f"doc_id {kind}, label int, features binary").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["features"]))
+    made = written(by_texts(once, ["label", "text", "doc_id"], extract, f"doc_id {kind}, label int, features binary").withColumn("h", F.xxhash64("doc_id")), "features")
+    sizes = made.select("h", "doc_id", F.octet_length("features").alias("bytes")).orderBy("h", "doc_id").collect()
+    held = np.cumsum([r["bytes"] for r in sizes])
+    if len(held) and held[-1] > fit_bytes:
+        last = sizes[max(0, int(np.searchsorted(held, fit_bytes, side="right")) - 1)]
+        made = made.where(F.struct("h", "doc_id") <= F.struct(F.lit(last["h"]), F.lit(last["doc_id"])))
+    found = made.orderBy("h", "doc_id").collect()
     return train([np.frombuffer(r["features"], "<i4") for r in found], np.array([int(r["label"] > 0) for r in found], np.int64))
 
 
-def score_quality(docs: DataFrame, model: Model, *, keep: tuple[str, ...] = ()) -> DataFrame:
+def score_quality(docs: DataFrame, model: Model) -> DataFrame:
     """Scores whole texts between 0 and 1, higher where label 1 is likelier.
 
-    Returns doc_id, score, predicted, and the columns of ``keep`` (of other names).  Null and
-    empty texts get the score of a text without n-grams; every row gets its
-    own row, whatever its id; an empty table gives none.
+    Returns doc_id, score, predicted.  Null and empty texts get the score of a
+    text without n-grams; every row gets its own row, whatever its id; other
+    columns play no part; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def score(batch) -> dict:
         features, own = Features(), shared.value
         found = [own.score(features(t)) for t in texts_of(batch)]
-        return {"doc_id": batch.column(0), "score": found, "predicted": [int(x >= 0.5) for x in found]} | {c: batch.column(columns.index(c)) for c in keep}
+        return {"doc_id": batch.column(0), "score": found, "predicted": [int(x >= 0.5) for x in found]}
+
+    return by_texts(docs, ["doc_id", "text"], score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+
+
+def good_documents(docs: DataFrame, model: Model, *, least: float = 0.5) -> DataFrame:
+    """The rows whose text scores at least so much, as they are, with all their columns, of whatever name and type."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features()
+        for batch in sliced(batches, text=at):
+            yield batch.filter(pa.array([shared.value.score(features(t)) >= least for t in texts_of(batch, at)], pa.bool_()))
 
-    columns = ["doc_id", "text", *[c for c in keep if c != "text"]]
-    return by_texts(docs, columns, score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int" + (", " + kinds) * bool(kinds))
+    return small_batches(docs).mapInArrow(keep, docs.schema)

@@ -108,22 +108,23 @@ def test_adpcm_equals_a_plain_decoder():
     assert media.decode_adpcm(blocks).tolist() == [plain_adpcm([int(x) for x in b]) for b in blocks]
 
 
-def test_targets_are_filled_up_to_twice_the_size():
-    sizes = np.array([10, 100, 1000])
-    found = mixing.targets_of(sizes, mixing.weights_of(3))
-    assert found.sum() == pytest.approx(1665) and (found <= 2 * sizes + 1e-9).all() and found[0] == 20 and found[1] == 200
-
-
 @pytest.mark.parametrize("size", [1, 2, 7, 100, 1000])
 def test_permutation(size):
     assert sorted(mixing.permuted(np.arange(size), size, 12345).tolist()) == list(range(size))
 
 
-def test_draw_takes_no_more_than_there_is():
+def test_draws_are_dealt_whole():
     rng = np.random.default_rng(0)
-    left = np.array([5, 0, 100])
-    assert mixing.draw(left, 105, rng).tolist() == [5, 0, 100]
-    assert mixing.draw(left, 50, rng).sum() == 50
+    for count, parts in ((0, 3), (2, 50), (1000, 7), (5, 5)):
+        found, counts = mixing.dealt(count, parts, rng)
+        assert counts.sum() == count and (counts > 0).all() and len(set(found.tolist())) == len(found) and (found < parts).all()
+
+
+def test_shingle_sets_of_a_batch():
+    texts = ["", "a", "a b", "A b\nc", "a b a b a b", "x y z a b c"]
+    sets = neardup.shingle_sets(texts, 2)
+    assert [len(x) for x in sets] == [0, 1, 1, 2, 2, 5] and sets[2][0] in sets[3] and sets[1][0] not in sets[2]
+    assert [x.tolist() for x in sets] == [neardup.shingle_sets([t], 2)[0].tolist() for t in texts]
 
 
 def test_estimate_follows_the_similarity():

@@ -245,26 +245,68 @@ def test_grown_and_merged():
     assert passages.merged([(0, 30, 1, None), (20, 60, 4, None), (90, 100, 1, None)], 80, 25) == [(0, 30, 1), (30, 60, 4)]
 
 
+def plain_targets(sizes, share=1.5, most=2):
+    """Water-filling source by source."""
+    weights = [(5, 2, 1)[k % 3] for k in range(len(sizes))]
+    full = set()
+    while True:
+        rest = share * sum(sizes) - sum(most * sizes[k] for k in full)
+        held = sum(w for k, w in enumerate(weights) if k not in full)
+        more = {k for k in range(len(sizes)) if k not in full and rest * weights[k] / held > most * sizes[k]}
+        if not more:
+            return [most * n if k in full else rest * weights[k] / held for k, n in enumerate(sizes)]
+        full |= more
+
+
 def test_mixing(docs, empty):
     found = mixing.taken_words(mixing.mix(docs, block_words=8)).collect()
     assert len(found) == len(rows()) and all(0 <= r["taken"] <= 2 * r["size"] for r in found)
-    sizes, taken, target = collections.Counter(), collections.Counter(), {}
+    size, target, taken = collections.Counter(), {}, collections.Counter()
+    for r in rows():
+        size[r[3]] += len((r[1] or "").encode().split())
+    names = sorted(size, key=lambda x: (x is None, x or ""))
+    want = dict(zip(names, plain_targets([size[x] for x in names])))
+    by_doc = {(r[0], len((r[1] or "").encode().split())): r[3] for r in rows()}
     for r in found:
-        key = (r["source_size"], r["target"])
-        sizes[key] += r["size"]
-        taken[key] += r["taken"]
-        target[key] = r["target"]
-    assert sum(r["size"] for r in found) == sum(len((r[1] or "").encode().split()) for r in rows())
-    assert all(abs(taken[k] - target[k]) <= max(8, 0.05 * target[k]) for k in taken)
+        source = by_doc[(r["doc_id"], r["size"])]
+        assert r["source_size"] == size[source] and r["target"] == pytest.approx(want[source])
+        taken[source] += r["taken"]
+    assert all(abs(taken[x] - want[x]) <= max(2, 0.05 * want[x]) for x in want)
     again = mixing.taken_words(mixing.mix(docs.repartition(7), block_words=8)).collect()
     key = lambda r: tuple((x is not None, x) for x in r)
     assert sorted(again, key=key) == sorted(found, key=key)
     assert mixing.taken_words(mixing.mix(empty)).count() == 0
 
 
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_mixing_of_many_small_sources(spark, monkeypatch, sent):
+    monkeypatch.setattr(mixing, "SENT_SOURCES", sent)
+    data = [(k, prose(k, 2 + k % 9), f"s{k % 60:02}") for k in range(180)] + [(1000 + k, prose(k, 300), "huge") for k in range(20)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    sizes = collections.Counter()
+    for _, text, source in data:
+        sizes[source] += len(text.split())
+    names = sorted(sizes)
+    want = dict(zip(names, plain_targets([sizes[x] for x in names])))
+    mixed = mixing.mix(df, block_words=16, shard_slots=40)
+    found = mixing.taken_words(mixed).collect()
+    taken, source_of = collections.Counter(), {d: s for d, _, s in data}
+    for r in found:
+        assert r["taken"] <= 2 * r["size"]
+        taken[source_of[r["doc_id"]]] += r["taken"]
+    assert all(abs(taken[x] - want[x]) <= max(1, 0.03 * want[x]) for x in names)
+    # Every slot is in one shard; shards hold about as many slots as asked for, and all sources' shares.
+    slots = mixed.slots.groupBy("shard").count().collect()
+    assert sum(r["count"] for r in slots) == mixed.slots.select("sid", "block", "epoch").distinct().count() and max(r["count"] for r in slots) < 120
+    by_source = mixed.slots.groupBy("sid", "block", "epoch").count().where("count > 1").count()
+    assert by_source == 0
+
+
 def test_mixed_documents(docs):
     mixed = mixing.mixed_documents(docs, block_words=8)
-    assert mixed.columns == docs.columns
+    assert mixed.schema == docs.schema or mixed.columns == docs.columns
+    sizes = {(r["doc_id"], r["text"]): 0 for r in docs.collect()}
+    assert sum(len(r["text"].split()) for r in mixed.collect()) == mixing.taken_words(mixing.mix(docs, block_words=8)).agg(F.sum("taken")).first()[0] and sizes
     whole = {r[1] for r in rows()}
     for r in mixed.collect():
         assert r["text"] in whole or set(r["text"].split()) <= {w for t in whole if t for w in t.split()}
