@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from fluxlens.llm import lines, mixing, neardup, packing, quality
 from fluxlens.llm.common import written
@@ -20,17 +19,12 @@ ORACLE_SQL = None
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score_quality(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return scored.where("predicted = 1").select(*docs.columns)
+    return quality.good_documents(docs, model)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more stay in one of them; documents of which no line is left go."""
-    found = lines.drop_lines(docs, min_docs=10, min_chars=1, keep_first=True, keep_text=True)
-    kept = found.where("n_dropped < n_lines")
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return kept.select(*docs.columns)
+    return lines.without_repeated_lines(docs, min_docs=10, min_chars=1)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
