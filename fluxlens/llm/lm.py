@@ -21,6 +21,8 @@ LISTED = 1 << 18
 #: Components of a vector; bytes of parameters that are added up together.
 SIZE = 24
 BLOCK = 1 << 16
+#: Tasks whose parameters are added up together.
+PARTS = 32
 #: Contexts whose normalisers are worked out together.
 CONTEXTS = 512
 
@@ -242,7 +244,7 @@ def _parts(flat: np.ndarray, weight: int, part: int) -> Iterator[pa.RecordBatch]
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds up the rows of each (block, part); rows arrive sorted, one sum is held."""
-    at, weight, total = None, 0, None
+    at, weight, total = None, 0, np.zeros(0)
 
     def done() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([at[0]]), pa.array([at[1]]), pa.array([weight]), pa.array([total.astype("<f4").tobytes()], pa.binary())], names=["block", "part", "weight", "data"])
@@ -290,10 +292,12 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, *, first_tokens: int = 4_000_00
                 yield from _parts(own.flat(), weight, part)
 
         learned = written(small_batches(texts.select("text")).mapInArrow(learn, columns), f"learned-{name}")
-        # In two steps, so that a task adds up a bounded number of tasks' blocks.
-        groups = learned.withColumn("part", F.floor(F.col("part") / 256)).repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(_summed, columns)
-        groups = written(groups.withColumn("part", F.lit(0).cast("long")), f"summed-{name}")
-        rows = groups.repartition("block").sortWithinPartitions("block").mapInArrow(_summed, columns).toArrow().sort_by("block")
+        # In steps, so that a task adds up a bounded number of tasks' blocks.
+        parts = learned.agg(F.max("part")).first()[0] or 0
+        while parts:
+            groups = learned.withColumn("part", F.floor(F.col("part") / PARTS)).repartition("block", "part").sortWithinPartitions("block", "part")
+            learned, parts = written(groups.mapInArrow(_summed, columns), f"summed-{name}"), parts // PARTS
+        rows = learned.toArrow().sort_by("block")
         if rows.num_rows:  # none where no text's hash fell to the first task
             parameters = Parameters(vocabulary).filled(np.concatenate([np.frombuffer(d.as_py(), "<f4") / w.as_py() for w, d in zip(rows.column("weight"), rows.column("data"))]))
     return parameters

@@ -3,18 +3,27 @@
 from __future__ import annotations
 
 import heapq
+import io
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluxlens.llm.common import written
+
 #: Vectors of one tree, and queries that are searched in it together.
 SHARD_ROWS = 8192
-QUERY_ROWS = 4096
+QUERY_ROWS = 1024
 #: Entries of a leaf page, and of the pages above.
 LEAF, FANOUT = 64, 16
+#: Products up to which floating point is exact.
+EXACT = float(1 << 53)
+
+
+def _distance(points: np.ndarray, to: np.ndarray) -> np.ndarray:
+    away = points - to
+    return np.sqrt(np.einsum("ij,ij->i", away, away))
 
 
 class MTree:
@@ -29,40 +38,38 @@ class MTree:
     """
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray):
-        self.vectors, self.ids = vectors, ids
-        square = (vectors * vectors).sum(axis=1)
+        own = vectors.astype(np.float64)
+        square = (own * own).sum(axis=1)
         self.most = float(square.max(initial=0.0))
-        # Slack for what floating point loses in distances; scores themselves are exact.
-        self.slack = 1e-6 * (1.0 + np.sqrt(self.most))
-        points = np.column_stack((vectors, np.sqrt(np.maximum(self.most - square, 0.0))))
+        points = np.column_stack((own, np.sqrt(np.maximum(self.most - square, 0.0))))
         order, todo, leaves = np.arange(len(points)), [(0, len(points))], []
         while todo:  # halves by the distance to two far vectors, cut at a page's end
             a, b = todo.pop()
             if b - a <= LEAF:
                 leaves.append((a, b))
                 continue
-            own = points[order[a:b]]
-            far = own[self._from(own, own[0]).argmax()]
-            other = own[self._from(own, far).argmax()]
+            part = points[order[a:b]]
+            far = part[_distance(part, part[0]).argmax()]
+            other = part[_distance(part, far).argmax()]
             half = -(-(b - a) // (2 * LEAF)) * LEAF
-            by = np.argpartition(self._from(own, far) - self._from(own, other), half - 1)
+            by = np.argpartition(_distance(part, far) - _distance(part, other), half - 1)
             order[a:b] = order[a:b][by]
             todo += [(a + half, b), (a, a + half)]
         self.vectors, self.ids, points = vectors[order], ids[order], points[order]
         # Pages by number: span of entries (of vectors, or of the level below), router, radius, entries' parent distances.
-        self.levels: list[dict] = []
+        self.levels: list[dict[str, np.ndarray]] = []
         spans = covers = leaves
         below: np.ndarray | None = None
         while True:
             routers, radii, parents = [], [], []
             for (a, b), (low, high) in zip(spans, covers):
-                own = points[low:high]
-                entries = own if below is None else below[a:b]
-                router = entries[self._from(entries, own.mean(axis=0)).argmin()]
+                part = points[low:high]
+                entries = part if below is None else below[a:b]
+                router = entries[_distance(entries, part.mean(axis=0)).argmin()] if len(part) else np.zeros(points.shape[1])
                 routers.append(router)
-                radii.append(self._from(own, router).max(initial=0.0))
-                parents.append(self._from(entries, router))
-            self.levels.append({"span": spans, "router": np.array(routers), "radius": np.array(radii), "parent": parents})
+                radii.append(_distance(part, router).max(initial=0.0))
+                parents.append(_distance(entries, router))
+            self.levels.append({"span": np.array(spans), "router": np.array(routers), "radius": np.array(radii), "parent": np.concatenate(parents)})
             if len(spans) <= 1:
                 break
             below = np.array(routers)
@@ -71,85 +78,126 @@ class MTree:
             spans = groups
         self.computed = 0
 
+    def packed(self) -> bytes:
+        """The pages as bytes."""
+        out = io.BytesIO()
+        arrays = {"vectors": self.vectors, "ids": self.ids, "most": np.array(self.most), "height": np.array(len(self.levels))}
+        np.savez(out, **arrays, **{f"{name}{k}": x for k, level in enumerate(self.levels) for name, x in level.items()})
+        return out.getvalue()
+
     @staticmethod
-    def _from(points: np.ndarray, to: np.ndarray) -> np.ndarray:
-        away = points - to
-        return np.sqrt(np.einsum("ij,ij->i", away, away))
-
-    def search(self, query: np.ndarray, own_id: int, k: int) -> list[tuple[int, int]]:
-        """The k (score, id) of the largest scores, ties to smaller ids, without ``own_id``."""
-        if not len(self.ids):
-            return []
-        base = float(query @ query) + self.most
-        best: list[tuple[float, int]] = []  # (score, -id), the worst first
-        reach = np.inf  # distance of the k-th best so far
-
-        def distances(points: np.ndarray) -> np.ndarray:
-            self.computed += len(points)
-            return np.sqrt(np.maximum(base - 2.0 * (points[:, :-1] @ query), 0.0))
-
-        top = len(self.levels) - 1
-        root = float(distances(self.levels[top]["router"])[0])
-        heap = [(max(0.0, root - self.levels[top]["radius"][0]), top, 0, root)]
+    def unpacked(data: bytes) -> MTree:
+        held, tree = np.load(io.BytesIO(data)), MTree.__new__(MTree)
+        tree.vectors, tree.ids, tree.most, tree.computed = held["vectors"], held["ids"], float(held["most"]), 0
+        tree.levels = [{name: held[f"{name}{k}"] for name in ("span", "router", "radius", "parent")} for k in range(int(held["height"]))]
+        return tree
+
+    def search(self, queries: np.ndarray, own_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores and ids (queries x k) of the largest scores, ties to smaller ids, without each query's own id; how many there are.
+
+        Best first for all queries together: the page that may be nearest to
+        one of them comes next, with the queries it is still in reach of.
+        Stored parent distances leave out entries that no such query can
+        reach; what is left is computed for all of them in a matrix product.
+        """
+        count = len(queries)
+        least = np.iinfo(np.int64).min
+        scores, found = np.full((count, k), least), np.full((count, k), np.iinfo(np.int64).max)
+        if not len(self.ids) or not count:
+            return scores, found, np.zeros(count, np.int64)
+        asked = queries.astype(np.float64)
+        square = (asked * asked).sum(axis=1)
+        base = square + self.most
+        # Products of up to the norms' product are whole numbers in floating point.
+        exact = np.sqrt(square.max() * self.most) < EXACT
+        vectors, asking = (self.vectors.astype(np.float64), asked) if exact else (self.vectors, queries)
+        # Slack for what floating point loses in distances; scores themselves are exact.
+        slack = 1e-6 * (1.0 + np.sqrt(self.most + square.max()))
+        reach = np.full(count, np.inf)  # distance of the k-th best so far
+
+        def distances(points: np.ndarray, which: np.ndarray) -> np.ndarray:
+            self.computed += len(points) * len(which)
+            return np.sqrt(np.maximum(base[which, None] - 2.0 * (asked[which] @ points[:, :-1].T), 0.0))
+
+        top, every = len(self.levels) - 1, np.arange(count)
+        root = distances(self.levels[top]["router"], every)[:, 0]
+        bound = np.maximum(root - self.levels[top]["radius"][0], 0.0)
+        heap, pushed = [(float(bound.min()), 0, top, 0, every, root, bound)], 1
         while heap:
-            least, level, page, to_router = heapq.heappop(heap)
-            if least > reach + self.slack:
-                break
+            _, _, level, page, which, to_router, bound = heapq.heappop(heap)
+            near = bound <= reach[which] + slack
+            which, to_router = which[near], to_router[near]
+            if not len(which):
+                continue
             pages = self.levels[level]
             a, b = pages["span"][page]
-            gap = np.abs(to_router - pages["parent"][page])  # no distance is below this
+            gap = np.abs(to_router[:, None] - pages["parent"][None, a:b])  # no distance is below this
+            limit = (reach[which] + slack)[:, None]
             if level:
                 under = self.levels[level - 1]
-                near = a + np.flatnonzero(gap - under["radius"][a:b] <= reach + self.slack)
-                if len(near):
-                    to = distances(under["router"][near])
-                    least_of = np.maximum(to - under["radius"][near], least)
-                    for at in np.flatnonzero(least_of <= reach + self.slack).tolist():
-                        heapq.heappush(heap, (float(least_of[at]), level - 1, int(near[at]), float(to[at])))
+                entries = a + np.flatnonzero((gap - under["radius"][None, a:b] <= limit).any(axis=0))
+                if not len(entries):
+                    continue
+                to = distances(under["router"][entries], which)
+                bounds = np.maximum(np.maximum(to - under["radius"][None, entries], bound[near][:, None]), 0.0)
+                for at, entry in enumerate(entries.tolist()):
+                    own = np.flatnonzero(bounds[:, at] <= limit[:, 0])
+                    if len(own):
+                        heapq.heappush(heap, (float(bounds[own, at].min()), pushed, level - 1, entry, which[own], to[own, at], bounds[own, at]))
+                        pushed += 1
                 continue
-            near = a + np.flatnonzero(gap <= reach + self.slack)
-            if not len(near):
+            entries = a + np.flatnonzero((gap <= limit).any(axis=0))
+            if not len(entries):
                 continue
-            self.computed += len(near)
-            scores = self.vectors[near] @ query
-            if len(best) == k:
-                keep = scores >= best[0][0]
-                near, scores = near[keep], scores[keep]
-            for score, vec in zip(scores.tolist(), self.ids[near].tolist()):
-                if vec == own_id:
-                    continue
-                if len(best) < k:
-                    heapq.heappush(best, (score, -vec))
-                elif (score, -vec) > best[0]:
-                    heapq.heapreplace(best, (score, -vec))
-            if len(best) == k:
-                reach = np.sqrt(max(base - 2.0 * best[0][0], 0.0))
-        return [(int(s), -v) for s, v in sorted(best, reverse=True)]
+            self.computed += len(entries) * len(which)
+            got = (asking[which] @ vectors[entries].T).astype(np.int64)
+            ids = self.ids[entries]
+            # Queries that the page has something for: better than the k-th, or as good with a smaller id.
+            better = (got > scores[which, -1:]) | ((got == scores[which, -1:]) & (ids[None, :] < found[which, -1:]))
+            better &= ids[None, :] != own_ids[which, None]
+            rows = np.flatnonzero(better.any(axis=1))
+            if not len(rows):
+                continue
+            them = which[rows]
+            all_scores = np.concatenate((scores[them], np.where(better[rows], got[rows], least)), axis=1)
+            all_ids = np.concatenate((found[them], np.where(better[rows], ids[None, :], np.iinfo(np.int64).max)), axis=1)
+            order = np.lexsort((all_ids, -(all_scores.astype(np.float64)) if exact else ~all_scores), axis=1)[:, :k]
+            scores[them], found[them] = np.take_along_axis(all_scores, order, axis=1), np.take_along_axis(all_ids, order, axis=1)
+            full = found[them, -1] != np.iinfo(np.int64).max
+            reach[them[full]] = np.sqrt(np.maximum(base[them[full]] - 2.0 * scores[them[full], -1].astype(np.float64), 0.0))
+        return scores, found, (found != np.iinfo(np.int64).max).sum(axis=1)
 
 
 def _rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Ids and vectors of a group; repeated rows once."""
     ids = table.column("vec_id").to_numpy()
     flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    vectors = flat.reshape(len(ids), -1) if len(ids) else np.zeros((0, 1), np.int64)
-    both = np.unique(np.column_stack((ids, vectors)), axis=0)
-    return both[:, 0], both[:, 1:].astype(np.float64)
+    both = np.unique(np.column_stack((ids, flat.reshape(len(ids), -1))), axis=0)
+    return both[:, 0], both[:, 1:]
+
+
+def _packed(ids: np.ndarray, vectors: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, ids=ids, vectors=vectors)
+    return out.getvalue()
 
 
 def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: float = 256.0) -> DataFrame:
     """For each query row the ``k`` other rows of the largest integer inner product.
 
     ``vectors`` has vec_id and embedding; components become floor(scale * x).
-    The rows are dealt by a hash of vec_id to trees of about ``SHARD_ROWS``
-    vectors; the stated queries meet every tree, in blocks of about
-    ``QUERY_ROWS``, so no task holds more than one tree and one block.  Each
-    search is exact, and so is the best of all trees' answers.
+    The rows are dealt by a hash of vec_id and vector to trees of about ``SHARD_ROWS``
+    vectors, and the stated queries to blocks of about ``QUERY_ROWS``; each
+    tree is built once and each block packed once.  Every block meets every
+    tree, one such pair at a time.  Each search is exact, and so is the best
+    of all trees' answers.
 
     Returns query_id, rank (from 1), vec_id, score.  Rows without vec_id, and
     vectors that are null, empty or hold null or non-finite components, take no
     part; vectors of different lengths don't meet; equal rows count once; a
     query with fewer than k candidates gets those; ties go to smaller vec_id.
-    Products must stay below 2^53.  Other columns play no part.
+    Products that floating point can't hold are computed in 64-bit integers.
+    Other columns play no part.
     """
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     whole = (
@@ -158,29 +206,41 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: float = 25
                 F.transform("embedding", lambda x: F.floor(x.cast("double") * scale)).alias("vector"))
     )
     sizes = whole.groupBy("length").agg(F.count("*").alias("rows"), F.count_if("asks").alias("queries"))
-    parts = sizes.select("length", F.ceil(F.col("rows") / SHARD_ROWS).alias("shards"), F.greatest(F.ceil(F.col("queries") / QUERY_ROWS), F.lit(1)).alias("blocks"))
+    parts = written(sizes.where("queries > 0").select("length", F.ceil(F.col("rows") / SHARD_ROWS).alias("shards"), F.ceil(F.col("queries") / QUERY_ROWS).alias("blocks")), "parts")
     # A row for each length of vector.
-    dealt = whole.join(F.broadcast(parts), "length")
-    own = F.xxhash64("vec_id")
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    indexed = dealt.select("length", F.pmod(own, "shards").alias("shard"), each("blocks").alias("block"), "vec_id", "vector", F.lit(False).alias("asks"))
-    asked = dealt.where("asks").select("length", each("shards").alias("shard"), F.pmod(own, "blocks").alias("block"), "vec_id", "vector", "asks")
-
-    def search(group: pa.Table) -> pa.Table:
-        out = {"query_id": [], "query": [], "vec_id": [], "score": []}
-        asks = group.column("asks").combine_chunks()
-        asking, queries = _rows(group.filter(asks))
-        if len(asking):
-            ids, found = _rows(group.filter(pa.compute.invert(asks)))
-            tree = MTree(found, ids)
-            for query_id, query in zip(asking.tolist(), queries):
-                for score, vec in tree.search(query, query_id, k):
-                    out["query_id"].append(query_id)
-                    out["query"].append(hash(tuple(query.tolist())))
-                    out["vec_id"].append(vec)
-                    out["score"].append(score)
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
-
-    found = indexed.unionByName(asked).groupBy("length", "shard", "block").applyInArrow(search, "query_id long, query long, vec_id long, score long")
+    dealt = whole.join(F.broadcast(parts), "length").withColumn("own", F.xxhash64("vec_id", "vector"))
+
+    def build(group: pa.Table) -> pa.Table:
+        ids, own = _rows(group)
+        first = group.slice(0, 1)
+        return pa.table({"length": first.column("length"), "shard": first.column("shard"), "pages": pa.array([MTree(own, ids).packed()], pa.binary())})
+
+    def pack(group: pa.Table) -> pa.Table:
+        first = group.slice(0, 1)
+        return pa.table({"length": first.column("length"), "block": first.column("block"), "queries": pa.array([_packed(*_rows(group))], pa.binary())})
+
+    trees = dealt.select("length", F.pmod("own", "shards").alias("shard"), "vec_id", "vector").groupBy("length", "shard").applyInArrow(build, "length int, shard long, pages binary")
+    asked = dealt.where("asks").select("length", F.pmod("own", "blocks").alias("block"), "vec_id", "vector").groupBy("length", "block").applyInArrow(pack, "length int, block long, queries binary")
+    trees, asked = written(trees, "trees"), written(asked, "blocks")
+
+    def each(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    numbers = F.broadcast(parts)
+    shown = asked.join(numbers, "length").select("length", each("shards").alias("shard"), "block", "queries")
+    pairs = trees.join(numbers, "length").select("length", "shard", each("blocks").alias("block"), "pages").hint("merge").join(shown.hint("merge"), ["length", "shard", "block"])
+
+    def search(batches):
+        for batch in batches:
+            for pages, queries in zip(batch.column(0), batch.column(1)):
+                tree, block = MTree.unpacked(pages.as_py()), np.load(io.BytesIO(queries.as_py()))
+                ids, own = block["ids"], block["vectors"]
+                scores, found, count = tree.search(own, ids, k)
+                at = np.flatnonzero(np.arange(k) < count[:, None])
+                # Queries of one id and several vectors are told apart by their vectors.
+                names = np.array([hash(tuple(v)) for v in own.tolist()], np.int64)
+                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(ids, k)[at], "query": np.repeat(names, k)[at], "vec_id": found.ravel()[at], "score": scores.ravel()[at]})
+
+    found = pairs.select("pages", "queries").mapInArrow(search, "query_id long, query long, vec_id long, score long")
     order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

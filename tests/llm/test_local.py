@@ -57,24 +57,26 @@ def brute_top(vectors, ids, query, own, k):
     return [(-s, i) for s, i in scores[:k]]
 
 
-@pytest.mark.parametrize("n", [1, 3, 64, 65, 1500])
-def test_m_tree_is_exact(n):
+@pytest.mark.parametrize("n,scale", [(1, 1), (3, 1), (64, 1), (65, 1), (1500, 1), (500, 1 << 22)])
+def test_m_tree_is_exact(n, scale):
     rng = np.random.default_rng(n)
-    centers = rng.integers(-200, 200, (8, 16))
-    vectors = (centers[rng.integers(0, 8, n)] + rng.integers(-15, 15, (n, 16))).astype(float)
+    centers = rng.integers(-200, 200, (8, 16)) * scale
+    vectors = centers[rng.integers(0, 8, n)] + rng.integers(-15, 15, (n, 16))
     vectors[: n // 3] = vectors[0]  # many ties
-    tree = mtree.MTree(vectors, np.arange(n))
-    for q in range(0, n, max(1, n // 20)):
-        assert tree.search(vectors[q], q, 5) == brute_top(vectors, range(n), vectors[q], q, 5)
+    tree = mtree.MTree.unpacked(mtree.MTree(vectors, np.arange(n)).packed())
+    asks = np.arange(0, n, max(1, n // 20))
+    scores, ids, count = tree.search(vectors[asks], asks, 5)
+    for row, q in enumerate(asks.tolist()):
+        assert list(zip(scores[row].tolist(), ids[row].tolist()))[: count[row]] == brute_top(vectors, range(n), vectors[q], q, 5)
 
 
 def test_m_tree_avoids_computations():
     rng = np.random.default_rng(1)
     centers = rng.normal(0, 1000, (40, 8)).round()
-    vectors = centers[rng.integers(0, 40, 4000)] + rng.integers(-5, 5, (4000, 8))
+    vectors = (centers[rng.integers(0, 40, 4000)] + rng.integers(-5, 5, (4000, 8))).astype(np.int64)
     tree = mtree.MTree(vectors, np.arange(4000))
-    tree.search(vectors[0], 0, 5)
-    assert tree.computed < 2000
+    tree.search(vectors[:20], np.arange(20), 5)
+    assert tree.computed < 20 * 2000
 
 
 def test_wave_files_round_trip():
