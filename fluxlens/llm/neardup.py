@@ -19,7 +19,9 @@ from fluxlens.llm.words import chained, word_codes
 BANDS, ROWS = 32, 4
 #: Low bits kept of each of the BANDS * ROWS minima.
 BITS = 2
-#: Members of a bucket or family that make up a cell, and their shingles; a task compares two cells at a time.
+#: Members of a bucket, and of a family with their sets, that make up a cell, and shingles of such; a task compares two cells at a time.
+#: Buckets hold a few bytes of each member; smaller cells would hand on more edges of their forests.
+BUCKET_CELL = 2048
 CELL = 512
 CELL_SHINGLES = 4_000_000
 #: Size up to which the sets of two cells are compared as rows of bits.
@@ -230,7 +232,7 @@ class NearDuplicates:
         A large bucket is worked on in pairs of its cells, so that every two
         members meet in some task and none holds the whole bucket."""
         rows = written(self.classes.select(F.explode("bands").alias("bucket"), "class", "n", "bits"), "bands")
-        full = written(rows.groupBy("bucket").count().where("count > 1").select("bucket", F.ceil(F.col("count") / CELL).alias("cells")), "full")
+        full = written(rows.groupBy("bucket").count().where("count > 1").select("bucket", F.ceil(F.col("count") / BUCKET_CELL).alias("cells")), "full")
         return _in_cells(rows.join(full, "bucket"), "bucket", ["class", "n", "bits"])
 
     def _candidates(self, buckets: DataFrame) -> DataFrame:

@@ -167,6 +167,7 @@ def test_near_duplicates_across_cells(spark, monkeypatch):
             own[at] = f"w{k}x{at}"
         data.append((k, " ".join(own)))
     monkeypatch.setattr(neardup, "CELL", 8)
+    monkeypatch.setattr(neardup, "BUCKET_CELL", 8)
     df = spark.createDataFrame(data, "doc_id long, text string")
     found = neardup.near_duplicates(df, words=2).collect()
     assert collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == brute_components(data, 2)
