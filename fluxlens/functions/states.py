@@ -59,6 +59,51 @@ def confidence(state_a: Column, eligible_a: Column, state_b: Column, eligible_b:
     )
 
 
+def confidence_of_three(first_quality: Column, models: list[tuple[Column, Column]]) -> Column:
+    """Confidence in the first of several (state, eligible) models, given the others that can be used."""
+    usable = [F.coalesce((state != "unavailable") & eligible, F.lit(False)) for state, eligible in models]
+
+    def distinct(of) -> Column:
+        return F.size(F.array_distinct(F.array_compact(F.array(*[F.when(u, of(state)) for u, (state, _) in zip(usable, models)]))))
+
+    extreme = lambda state: F.when(state.isin("extreme_fear", "extreme_greed"), state).otherwise("none")
+    return (
+        F.when(models[0][0] == "unavailable", "unavailable")
+        .when(first_quality != "ok", "low_model_fit")
+        .when(sum((u.cast("int") for u in usable), F.lit(0)) < 2, "scaled_only")
+        .when(distinct(direction) > 1, "mixed")
+        .when(distinct(extreme) > 1, "mixed_trigger")
+        .otherwise("high")
+    )
+
+
+def effective_status(state: Column, official: Column, fresh: Column, expected: Column, data_as_of: Column, last_success: Column, now: Column, allowed_days: Column) -> Column:
+    """Status of published data: stale where an official check failed, the expected day isn't there or its age is above what is allowed.
+
+    The age counts whole days from the last success, or without one from the data's day.
+    """
+    age = F.floor((F.unix_timestamp(now) - F.unix_timestamp(F.coalesce(last_success, data_as_of.cast("timestamp")))) / 86_400)
+    return (
+        F.when(state == "unavailable", "unavailable")
+        .when(official & ~F.coalesce(fresh, F.lit(True)), "stale")
+        .when(expected.isNotNull() & (expected != data_as_of), "stale")
+        .when(age > allowed_days, "stale")
+        .otherwise(state)
+    )
+
+
+def tone(interval_low: Column, total_returns: list[Column], sharpes: list[Column]) -> Column:
+    """Supportive where the event's interval lies above 0 and every strategy gained with a positive ratio; mixed without events or strategy."""
+    gains = [F.coalesce((r > 0) & (s > 0), F.lit(False)) for r, s in zip(total_returns, sharpes)]
+    good = F.coalesce(interval_low > 0, F.lit(False))
+    for g in gains:
+        good = good & g
+    missing = interval_low.isNull()
+    for r in total_returns:
+        missing = missing | r.isNull()
+    return F.when(good, "supportive").when(missing, "mixed").otherwise("caution")
+
+
 def minimum_observations(lookback: int) -> int:
     """Fewest observations of a window that a fit may rest on."""
     return min(lookback, max(40, min(200, ceil(0.8 * lookback))))
@@ -72,3 +117,24 @@ def public_number(value: Column, digits: int = 10) -> Column:
 def parse_number(text: Column) -> Column:
     """A number written with thousands separators, or null."""
     return F.nullif(F.replace(F.trim(text), F.lit(",")), F.lit("")).try_cast("double")
+
+
+def fixed(value: Column, digits: int) -> Column:
+    """The number written with so many decimals, rounded from its exact binary value, halves to even.
+
+    The engine's own formatting rounds the shortest decimal that stands for
+    the number, which now and then gives another last digit.
+    """
+    size = F.abs(value)
+    whole = F.floor(size)
+    parts = ((size - whole) * float(1 << 52)).cast("bigint").cast("decimal(38,0)") * F.lit(10**digits).cast("decimal(20,0)")
+    unit = F.lit(1 << 52).cast("decimal(20,0)")
+    return F.get(F.transform(F.array(parts), lambda p: F.get(F.transform(F.array(F.floor(p / unit).cast("decimal(20,0)")), lambda q: _written(value, whole, q, (p - q * unit) * 2, unit, digits)), F.lit(0))), F.lit(0))
+
+
+def _written(value: Column, whole: Column, q: Column, twice: Column, unit: Column, digits: int) -> Column:
+    up = (twice > unit) | ((twice == unit) & (q % 2 == 1))
+    last = q + F.when(up, 1).otherwise(0)
+    carried = last >= 10**digits
+    text = F.concat((whole + F.when(carried, 1).otherwise(0)).cast("string"), F.lit("."), F.lpad(F.when(carried, F.lit(0)).otherwise(last).cast("bigint").cast("string"), digits, "0"))
+    return F.when(value < 0, F.concat(F.lit("-"), text)).otherwise(text)

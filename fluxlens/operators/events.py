@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,50 +37,88 @@ def forward_returns(prices: DataFrame, horizons: tuple[int, ...] = HORIZONS) ->
     return once.select("ticker", "date", *[leg.alias(f"leg{k}") for k, leg in enumerate(legs)]).select("ticker", "date", F.explode(F.array(*[f"leg{k}" for k in range(len(legs))])).alias("leg")).select("ticker", "date", "leg.horizon", "leg.value")
 
 
-def summarize(events: DataFrame, returns: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
-    """Count, mean, median and share of gains by state and horizon, rows without events kept; against the unconditional mean."""
-    spark = events.sparkSession
-    grid = spark.createDataFrame([(s, h) for s in ("extreme_fear", "extreme_greed") for h in horizons], "state string, horizon int")
-    found = events.select("date", "state").join(returns.where(F.col("value").isNotNull()), "date").groupBy("state", "horizon").agg(
-        F.count("*").alias("n"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.avg((F.col("value") > 0).cast("double")).alias("positive_rate"))
-    usual = returns.where(F.col("value").isNotNull()).groupBy("horizon").agg(F.avg("value").alias("benchmark"))
-    # A grid of eight rows.
-    return (
-        grid.join(found, ["state", "horizon"], "left").join(F.broadcast(usual), "horizon", "left")
-        .select("state", "horizon", F.coalesce("n", F.lit(0)).alias("n"), "mean", "median", "positive_rate", "benchmark",
-                (F.col("mean") - F.col("benchmark")).alias("excess"), (F.coalesce("n", F.lit(0)) < 20).alias("small_sample"))
-    )
+def unconditional(returns: DataFrame, *keys: str) -> DataFrame:
+    """Mean return over all sessions by horizon."""
+    known = returns.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") != float("inf")))
+    return known.groupBy(*keys, "horizon").agg(F.avg("value").alias("usual"))
 
 
-def bootstrap_interval(values: np.ndarray, rng: np.random.Generator, *, samples: int = 10_000, method: str = "moving_block", block: int | None = None) -> tuple[float, float]:
-    """95 % interval of the mean: single draws (``iid``), or circular blocks of near-root length."""
-    n = len(values)
-    if n == 1:
-        return float(values[0]), float(values[0])
-    if method == "iid":
-        means = values[rng.integers(0, n, (samples, n))].mean(axis=1)
+def summarize(events: DataFrame, returns: DataFrame, *, usual: DataFrame | None = None, paired: DataFrame | None = None, keys: tuple[str, ...] = (), horizons: tuple[int, ...] = HORIZONS, samples: int = 0) -> DataFrame:
+    """Count, mean, median and share of gains by state and horizon, rows without events kept.
+
+    Gains are held against ``usual``, a mean by horizon, where there is one;
+    else against ``paired``, another asset's returns after the same days,
+    where every event has one; else against nothing, as ``treatment`` tells.
+    With ``samples`` there are 95 % intervals of both means (see
+    :func:`bootstrap`).  ``keys`` are columns of both tables that tell studies
+    apart, such as the asset.
+    """
+    spark = events.sparkSession
+    grid = spark.createDataFrame([(s, h) for s in ("extreme_fear", "extreme_greed") for h in horizons], "state string, horizon int")
+    on_events, on_returns = [k for k in keys if k in events.columns], [k for k in keys if k in returns.columns]
+    both = [k for k in on_events if k in on_returns]
+    values = events.select(*on_events, "date", "state").join(returns.where(F.col("value").isNotNull()).select(*on_returns, "date", "horizon", "value"), ["date", *both])
+    if paired is not None:
+        values = values.join(paired.select("date", "horizon", F.col("value").alias("pair")), ["date", "horizon"], "left")
+    else:
+        values = values.withColumn("pair", F.lit(None).cast("double"))
+    if usual is not None:
+        usual_keys = [k for k in keys if k in usual.columns]
+        values = values.join(F.broadcast(usual), ["horizon", *usual_keys], "left")  # a row for each key and horizon
     else:
-        length = min(n, block or max(2, round(np.sqrt(n))))
-        starts = rng.integers(0, n, (samples, -(-n // length)))
-        at = (starts[:, :, None] + np.arange(length)).reshape(samples, -1)[:, :n] % n
-        means = values[at].mean(axis=1)
-    low, high = np.quantile(means, (0.025, 0.975))
-    return float(low), float(high)
-
-
-def bootstrap(events: DataFrame, returns: DataFrame, *, samples: int = 10_000, seed: int = 20260716, method: str = "moving_block") -> DataFrame:
-    """Intervals of the mean return by state and horizon; one generator serves states, then horizons, in order."""
-    joined = events.select("date", "state").join(returns.where(F.col("value").isNotNull()), "date")
-
-    def intervals(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        df = pd.concat(list(frames))
-        rng, rows = np.random.default_rng(seed), []
-        for state in ("extreme_fear", "extreme_greed"):
-            for horizon in sorted(df["horizon"].unique()):
-                own = df[(df["state"] == state) & (df["horizon"] == horizon)].sort_values("date")["value"].to_numpy()
-                if len(own):
-                    rows.append((state, int(horizon), len(own), *bootstrap_interval(own, rng, samples=samples, method=method)))
-        yield pd.DataFrame(rows, columns=["state", "horizon", "n", "low", "high"])
-
-    # Events of one study: a few hundred rows.
-    return joined.coalesce(1).mapInPandas(intervals, "state string, horizon int, n int, low double, high double")
+        values = values.withColumn("usual", F.lit(None).cast("double"))
+    by = [*keys, "state", "horizon"]
+    found = values.groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg("value").alias("mean"), F.percentile("value", F.lit(0.5)).alias("median"), F.avg((F.col("value") > 0).cast("double")).alias("positive_rate"),
+        F.max("usual").alias("usual"), F.count("pair").alias("pairs"), F.avg("pair").alias("pair_mean"))
+    found = found.withColumn("treatment", F.when(F.col("usual").isNotNull(), "fixed_external_mean").when(F.col("pairs") == F.col("n"), "paired_event_returns").otherwise("unavailable"))
+    found = found.withColumn("benchmark", F.when(F.col("usual").isNotNull(), F.col("usual")).when(F.col("pairs") == F.col("n"), F.col("pair_mean")))
+    intervals = []
+    if samples:
+        whole = values.join(found.select(*by, "treatment"), by)
+        against = F.when(F.col("treatment") == "fixed_external_mean", F.col("usual")).when(F.col("treatment") == "paired_event_returns", F.col("pair"))
+        found = found.join(bootstrap(values, by, samples=samples), by, "left")
+        excess = bootstrap(whole.withColumn("value", F.col("value") - against).where("value is not null"), by, samples=samples)
+        found = found.join(excess.select(*by, F.col("low").alias("excess_low"), F.col("high").alias("excess_high")), by, "left")
+        intervals = ["low", "high", "excess_low", "excess_high"]
+    studies = events.select(*on_events).distinct().crossJoin(F.broadcast(returns.select(*[k for k in on_returns if k not in both]).distinct())) if keys else None
+    # Eight rows for each study; studies are named by hand.
+    whole_grid = grid if studies is None else studies.crossJoin(F.broadcast(grid))
+    return whole_grid.join(found, by, "left").select(
+        *by, F.coalesce("n", F.lit(0)).alias("n"), "mean", "median", "positive_rate", "benchmark", (F.col("mean") - F.col("benchmark")).alias("excess"),
+        F.coalesce("treatment", F.lit("unavailable")).alias("treatment"), (F.coalesce("n", F.lit(0)) < 20).alias("small_sample"), *intervals)
+
+
+def one_treatment(summary: DataFrame, *keys: str) -> DataFrame:
+    """The treatment that a study's rows share, those without events aside; 'mixed' is for the caller to refuse."""
+    told = F.collect_set(F.when(F.col("treatment") != "unavailable", F.col("treatment")))
+    return summary.groupBy(*keys).agg(F.when(F.size(told) > 1, "mixed").otherwise(F.coalesce(F.get(told, F.lit(0)), F.lit("unavailable"))).alias("treatment"))
+
+
+def bootstrap(values: DataFrame, keys: list[str], *, samples: int = 10_000, seed: int = 20260715, method: str = "moving_block", block: int | None = None) -> DataFrame:
+    """95 % intervals of the mean value by key: samples of single values (``iid``), or of blocks of the values in a circle.
+
+    Values stand in the order of their dates; blocks are about the root of
+    their number long, and the last of a sample is cut so that it has as many
+    values.  Where a block starts is the hash of seed, keys, sample and block,
+    so every engine and every rerun draws alike.  Sums of blocks are
+    differences of running sums.  A study's events are few hundreds.
+    """
+    if method not in ("iid", "moving_block"):
+        raise ValueError("method is 'iid' or 'moving_block'")
+    n = F.size("v")
+    length = F.lit(1) if method == "iid" else F.least(n, F.lit(block) if block else F.greatest(F.lit(2), F.round(F.sqrt(n)).cast("int")))
+    rows = values.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("date", "value"))), lambda x: x["value"]).alias("v"))
+    running = F.aggregate(F.concat("v", "v"), F.array(F.lit(0.0)), lambda sums, x: F.array_append(sums, F.element_at(sums, -1) + x))
+    rows = rows.select(*keys, n.alias("n"), length.alias("length"), running.alias("sums")).withColumn("blocks", F.ceil(F.col("n") / F.col("length")).cast("int"))
+    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    name = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("draw").cast("string"))
+
+    def total(k):
+        start = F.pmod(F.conv(F.substring(F.md5(F.concat(name, F.lit(":"), k.cast("string"))), 1, 8), 16, 10).cast("bigint"), F.col("n")).cast("int")
+        here = F.least(F.col("length"), F.col("n") - k * F.col("length"))
+        return F.get(F.transform(F.array(start), lambda at: F.get("sums", at + here) - F.get("sums", at)), F.lit(0))
+
+    mean = F.aggregate(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), total), F.lit(0.0), lambda a, b: a + b) / F.col("n")
+    found = drawn.withColumn("m", mean).groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+    return found

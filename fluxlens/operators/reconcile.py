@@ -19,16 +19,36 @@ def latest_close(primary: DataFrame, secondary: DataFrame, *, tolerance: float =
     )
 
 
-def anchors(primary: DataFrame, secondary: DataFrame, *, count: int = 4, least: int = 3, tolerance: float = 0.005) -> DataFrame:
-    """By ticker: agreement on evenly spaced common days (halves are rounded to even places)."""
-    common = primary.select("ticker", "date", F.col("close").alias("a")).join(secondary.select("ticker", "date", F.col("close").alias("b")), ["ticker", "date"])
-    line = Window.partitionBy("ticker").orderBy("date")
-    placed = common.withColumn("place", F.row_number().over(line) - 1).withColumn("n", F.count("*").over(Window.partitionBy("ticker")))
-    spots = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.bround(k * (F.col("n") - 1) / (count - 1), 0).cast("int"))
-    chosen = placed.where(F.array_contains(spots, F.col("place")))
-    gap = F.abs(F.col("a") - F.col("b")) / F.nullif(F.abs("a"), F.lit(0.0))
-    return chosen.groupBy("ticker").agg(F.count("*").alias("anchors"), F.count_if(gap > tolerance).alias("mismatches"), F.max(gap).alias("widest")).withColumn(
-        "state", F.when(F.col("anchors") < least, "unavailable").when(F.col("mismatches") > 0, "mismatch").otherwise("ok"))
+def anchors(primary: DataFrame, secondary: DataFrame, *, expected: str | None = None, count: int = 4, least: int = 3, tolerance: float = 0.005) -> DataFrame:
+    """By ticker: agreement on evenly spaced common days up to the expected one (halves are rounded to even places).
+
+    Unavailable, with the first reason that holds: duplicate_dates,
+    missing_prices, expected_date_not_common (it is not the last day of both),
+    insufficient_common_anchors, invalid_close.  Without an expected day it is
+    the primary's last.
+    """
+    sides = []
+    for name, prices in (("a", primary), ("b", secondary)):
+        days = prices.groupBy("ticker", "date").agg(F.count("*").alias("copies"))
+        sides.append(days.groupBy("ticker").agg(F.max("date").alias(f"last_{name}"), F.max("copies").alias(f"copies_{name}")))
+    known = sides[0].join(sides[1], "ticker", "full").withColumn("expected", F.lit(expected).cast("date") if expected else F.col("last_a"))
+    common = primary.select("ticker", "date", F.col("close").alias("a")).join(secondary.select("ticker", "date", F.col("close").alias("b")), ["ticker", "date"]).join(known.select("ticker", "expected"), "ticker").where("date <= expected").drop("expected")
+    whole = Window.partitionBy("ticker")
+    placed = common.withColumn("place", F.row_number().over(whole.orderBy("date")) - 1).withColumn("n", F.count("*").over(whole)).withColumn("steps", F.least(F.lit(count), F.col("n")) - 1)
+    spots = F.when(F.col("steps") < 1, F.array(F.col("n") - 1)).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.col("steps"), F.lit(1)).cast("int")), lambda k: F.bround(k * (F.col("n") - 1) / F.greatest(F.col("steps"), F.lit(1)), 0).cast("bigint")))
+    chosen = placed.where(F.array_contains(spots, F.col("place").cast("bigint")))
+    gap = F.abs(F.try_divide("a", "b") - 1)
+    found = chosen.groupBy("ticker").agg(F.count("*").alias("checked"), F.max("n").alias("common"), F.count_if(gap > tolerance).alias("over"), F.max(gap).alias("gap"), F.count_if(~((F.col("a") > 0) & (F.col("b") > 0))).alias("invalid"))
+    joined = known.join(found, "ticker", "left")
+    not_last = ~(F.col("last_a").eqNullSafe(F.col("expected")) & F.col("last_b").eqNullSafe(F.col("expected")))
+    reason = (
+        F.when((F.coalesce("copies_a", F.lit(0)) > 1) | (F.coalesce("copies_b", F.lit(0)) > 1), "duplicate_dates").when(F.col("last_a").isNull() | F.col("last_b").isNull(), "missing_prices")
+        .when(not_last, "expected_date_not_common").when(F.coalesce("common", F.lit(0)) < min(max(1, least), count), "insufficient_common_anchors").when(F.col("invalid") > 0, "invalid_close")
+    )
+    usable = reason.isNull()
+    return joined.select(
+        "ticker", F.when(usable, F.col("checked")).otherwise(0).alias("anchors"), F.when(usable, F.col("over")).otherwise(0).alias("mismatches"), F.when(usable, F.col("gap")).alias("widest"),
+        F.when(~usable, "unavailable").when(F.col("over") > 0, "mismatch").otherwise("ok").alias("state"), F.coalesce(reason, F.when(F.col("over") > 0, "historical_anchor_difference_exceeded")).alias("reason"))
 
 
 def repair_gaps(official: DataFrame, adjusted: DataFrame, *, tolerance: float = 0.005) -> DataFrame:

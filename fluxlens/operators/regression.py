@@ -84,6 +84,7 @@ def grade(scored: DataFrame, least: int, minimum_fit: float, tail: int) -> DataF
     return scored.select(
         "channel", "date", "return_1d", "flow_share", "training_count",
         F.when(valid, F.col("a")).alias("alpha"), F.when(valid, F.col("b")).alias("beta"), F.when(valid, F.col("fit")).alias("rolling_r2"),
+        *([F.when(valid, F.col("weighted_fit")).alias("fit_score")] if "weighted_fit" in scored.columns else []),
         F.when(valid, F.col("residual")).alias("residual"),
         F.when(valid, (F.col("residual") - F.col("center")) / (1.4826 * F.col("mad"))).alias("residual_z"),
         percentile.alias("percentile"), classify(percentile, tail).alias("state"), quality.alias("quality"), (valid & good).alias("trade_eligible"), "residuals",
@@ -93,16 +94,17 @@ def grade(scored: DataFrame, least: int, minimum_fit: float, tail: int) -> DataF
 def huber_line(x: np.ndarray, y: np.ndarray, *, bend: float = 1.345, rounds: int = 50, tolerance: float = 1e-10) -> tuple[float, float, np.ndarray]:
     """Intercept, slope and the last weights of Huber's line by reweighted least squares.
 
-    The scale is 1.4826 times the median absolute deviation from the median
-    residual; where it is zero the line stays as it is."""
+    Residuals are measured from their median, in units of 1.4826 times their
+    median absolute deviation from it; where that is zero the line stays as it is."""
     weights = np.ones(len(x))
     a, b = _weighted(x, y, weights)
     for _ in range(rounds):
         residual = y - (a + b * x)
-        scale = 1.4826 * np.median(np.abs(residual - np.median(residual)))
+        away = np.abs(residual - np.median(residual))
+        scale = 1.4826 * np.median(away)
         if not np.isfinite(scale) or scale <= 0:
             break
-        size = np.abs(residual) / (bend * scale)
+        size = away / (bend * scale)
         weights = np.where(size <= 1, 1.0, 1.0 / np.maximum(size, 1e-300))
         new_a, new_b = _weighted(x, y, weights)
         moved = max(abs(new_a - a), abs(new_b - b))

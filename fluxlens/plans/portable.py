@@ -59,7 +59,7 @@ def dialect(sql: str, which: int) -> str:
 
 
 BASE = """
-with market as (
+with @@RECURSIVE@@ market as (
   select cast(o_orderdate as date) as date, 
          cast(sum(cast(round(o_totalprice * 100) as bigint)) as bigint) / (1e2 * count(*)) as close,
          (min(o_totalprice) + max(o_totalprice)) / 2e0 as open,
@@ -88,37 +88,45 @@ with market as (
 """
 
 #: The signals of ``fluxlens.operators.regression.rolling_signals`` in DuckDB's SQL; the engine has them as a view.
-SIGNALS = """), framed as (
+SIGNALS = """), framed@@X as (
   select channel, date, return_1d, flow_share, count(return_1d) over w as training_count,
          regr_slope(flow_share, return_1d) over w as b, regr_intercept(flow_share, return_1d) over w as a,
          case when regr_syy(flow_share, return_1d) over w = 0 then 0e0 else regr_r2(flow_share, return_1d) over w end as fit,
          list({'x': return_1d, 'y': flow_share}) over w as past
-  from obs where return_1d is not null and flow_share is not null
-  window w as (partition by channel order by date rows between 252 preceding and 1 preceding)
-), residuals as (
+  from @@SOURCE where return_1d is not null and flow_share is not null
+  window w as (partition by channel order by date rows between @@WINDOW preceding and 1 preceding)
+), residuals@@X as (
   select *, flow_share - (a + b * return_1d) as own, list_transform(past, lambda p: p.y - (a + b * p.x)) as res
-  from framed
-), centred as (
-  select *, list_aggregate(res, 'median') as center from residuals
-), spread as (
-  select *, list_aggregate(list_transform(res, lambda r: abs(r - center)), 'median') as mad from centred
-), valid as (
-  select *, training_count >= 200 and b is not null and coalesce(mad > 0, false) as good from spread
-), scored as (
+  from framed@@X
+), centred@@X as (
+  select *, list_aggregate(res, 'median') as center from residuals@@X
+), spread@@X as (
+  select *, list_aggregate(list_transform(res, lambda r: abs(r - center)), 'median') as mad from centred@@X
+), valid@@X as (
+  select *, training_count >= @@LEAST and b is not null and coalesce(mad > 0, false) as good from spread@@X
+), scored@@X as (
   select channel, date, return_1d, flow_share, cast(training_count as integer) as training_count,
          case when good then a end as alpha, case when good then b end as beta, case when good then fit end as rolling_r2,
          case when good then own end as residual, case when good then (own - center) / (14826e-4 * mad) end as residual_z,
          case when good then 1e2 * len(list_filter(res, lambda r: r <= own)) / len(res) end as percentile,
-         case when training_count < 200 then 'insufficient_history' when b is null then 'invalid_regression'
-              when not coalesce(mad > 0, false) then 'zero_mad' when not (b < 0 and fit >= 2e-1) then 'low_model_fit' else 'ok' end as quality,
-         good and b < 0 and fit >= 2e-1 as trade_eligible
-  from valid
-), signals as (
-  select *, case when percentile is null then 'unavailable' when percentile <= 5 then 'extreme_fear' when percentile <= 20 then 'fear'
-                 when percentile < 80 then 'neutral' when percentile < 95 then 'greed' else 'extreme_greed' end as state
-  from scored
+         case when training_count < @@LEAST then 'insufficient_history' when b is null then 'invalid_regression'
+              when not coalesce(mad > 0, false) then 'zero_mad' when not (b < 0 and fit >= @@FIT) then 'low_model_fit' else 'ok' end as quality,
+         good and b < 0 and fit >= @@FIT as trade_eligible
+  from valid@@X
+), signals@@X as (
+  select *, case when percentile is null then 'unavailable' when percentile <= @@TAIL then 'extreme_fear' when percentile <= 20 then 'fear'
+                 when percentile < 80 then 'neutral' when percentile < 100 - @@TAIL then 'greed' else 'extreme_greed' end as state
+  from scored@@X
 """
 
+
+def signals_sql(source: str = "obs", suffix: str = "", *, window: int = 252, least: int = 200, fit: str = "2e-1", tail: int = 5) -> str:
+    """The named queries up to ``signals<suffix>`` over observations of another table or with other settings."""
+    for name, value in (("SOURCE", source), ("X", suffix), ("WINDOW", window), ("LEAST", least), ("FIT", fit), ("TAIL", tail)):
+        sql = (SIGNALS if name == "SOURCE" else sql).replace(f"@@{name}", str(value))
+    return sql
+
+
 #: Queries on the market tables, by inventory id.
 QUERIES = {
     "a2_index_row_lookup": """select p_partkey, p_name from part where lower(replace(p_type, ' ', '')) in (select lower(replace(min(p_type), ' ', '')) from part)""",
@@ -146,11 +154,9 @@ QUERIES = {
         round(case when count(close) over w252 >= 20 then close / max(close) over w252 - 1 end, 8) as drawdown20
         from daily window w50 as (order by date rows between 49 preceding and current row), w252 as (order by date rows between 251 preceding and current row)""",
     "b4_override_coalesce": """select date, round(coalesce(case when ck % 4 = 0 then ck * 1e-6 end, return_1d), 8) as flow_share from daily""",
-    "b8_source_hash": """select date, substring(@sha(concat(cast(date as varchar(10)), '|', @text('%.10f', floor(close * 100 + 5e-1) / 1e2), '|', @text('%.4f', trading_value))), 1, 16) as source_hash from daily""",
     "b9_b11_states": """select channel, date, round(percentile, 6) as percentile, state, case when state in ('fear', 'extreme_fear') then 'fear' when state in ('greed', 'extreme_greed') then 'greed' else 'neutral' end as direction from states""",
     "b10_variable_tail": """select t.tail, case when percentile is null then 'unavailable' when percentile <= t.tail then 'extreme_fear' when percentile <= 20 then 'fear' when percentile < 80 then 'neutral' when percentile < 100 - t.tail then 'greed' else 'extreme_greed' end as state, count(*) as n
         from states cross join (select 1 as tail union all select 2 as tail union all select 5 as tail union all select 20 as tail) t group by 1, 2""",
-    "b16_sign_agreement": """select a.date, case when sign(a.residual) = sign(b.residual) then 'agree' else 'mixed' end as agreement from states a join states b on a.date = b.date and a.channel = 'main' and b.channel = 'noisy' where a.residual is not null and b.residual is not null""",
     "b19_public_rounding": """select l_orderkey, l_linenumber, round(l_extendedprice / nullif(l_quantity - 10, 0), 10) as value from lineitem""",
     "b20_finite_rows": """select date, round(return_1d, 8) as return_1d from daily where return_1d is not null and trading_value is not null and date <= date '1999-12-31'""",
     "b21_as_of_cutoff": """select ticker, date, round(close, 6) as close from funds where date <= date '1998-06-30'""",
@@ -164,7 +170,6 @@ QUERIES = {
     "b29_relative_return": """select ticker, round(max_by(close, date) / nullif(min_by(close, date), 0) - 1, 8) as relative_return from funds group by ticker""",
     "b30_failure_reason": """select event_id, case when @matches(event_type, '^[a-z]+_[a-z]+$') then event_type when lower(event_type) like '%click%' then 'interaction' when lower(event_type) like '%view%' then 'impression' else 'other' end as reason from events""",
     "b31_numeric_text": """select c_custkey, try_cast(replace(trim(t), ',', '') as double) as value from (select c_custkey, concat(' ', cast(c_custkey as varchar(20)), ',', '000 ') as t from customer) x""",
-    "b32_operational_status": """, latest as (select max(date) as d from market) select m.date, case when @days(m.date, l.d) <= 1 then 'current' when @days(m.date, l.d) <= 7 then 'delayed' else 'stale' end as status from market m cross join latest l""",
     "c1_core_join": """select m.date, round(m.close, 8) as close, round(s.price, 8) as price from market m join shipping s on s.date = m.date""",
     "c3_pair_bars": """select l.date, round(l.open, 6) as long_open, round(l.close, 6) as long_close, round(s.open, 6) as inverse_open, round(s.close, 6) as inverse_close from funds l join funds s on s.date = l.date where l.ticker = 'L1' and s.ticker = 'S1' and l.close > 0 and s.close > 0""",
     "c4_c5_signals_to_bars": """select f.ticker, f.date, coalesce(s.state, 'missing') as state from funds f left join states s on s.date = f.date and s.channel = 'main'""",
@@ -188,12 +193,8 @@ QUERIES = {
     "e5_input_quality": """, j as (select count(*) as common from market m join shipping s on s.date = m.date), a as (select count(*) as n, min(date) as first_date, max(date) as last_date, @countif(close is null or close <= 0) as invalid from market), b as (select count(*) as n from shipping)
         select a.n as index_rows, b.n as flow_rows, j.common, a.first_date, a.last_date, a.invalid, round(j.common * 1e0 / (a.n + b.n - j.common), 8) as jaccard, round(j.common * 1e0 / a.n, 8) as coverage from a cross join b cross join j""",
     "e8_scatter_counts": """, latest as (select channel, date, state, row_number() over (partition by channel order by date desc) as k from states) select channel, @countif(k = 1) as current_rows, @countif(k > 1 and state in ('extreme_fear', 'extreme_greed')) as extremes, @countif(k > 1) as history_rows from latest where k <= 253 group by channel""",
-    "e10_cost_break_even": """, costs as (select c.bps, 2e-2 - c.bps * 15e-4 as gain from (select 0 as bps union all select 5 as bps union all select 10 as bps union all select 20 as bps) c), n as (select bps, gain, lead(bps) over (order by bps) as next_bps, lead(gain) over (order by bps) as next_gain from costs)
-        select round(min(bps + (next_bps - bps) * gain / (gain - next_gain)), 8) as break_even from n where gain > 0 and next_gain <= 0""",
     "e11_quality_histogram": """select channel, quality, count(*) as n from states group by channel, quality""",
     "e12_e13_coverage": """select channel, count(flow_share) as n, min(case when flow_share is not null then date end) as first_date, max(date) as last_date, case when count(flow_share) >= 200 then 'active' when count(flow_share) > 0 then 'collecting' else 'planned' end as status from obs group by channel""",
-    "e14_output_signature": """select channel, @sha(@joined('|', concat(cast(date as varchar(10)), state))) as signature from states group by channel""",
-    "f3_rolling_quantile": """, d as (select date, 100 * close / avg(close) over (order by date rows between 49 preceding and current row) as disparity from daily) select date, round(case when count(disparity) over w = 756 then @quantile(disparity, 1e-1) over w end, 6) as threshold from d window w as (order by date rows between 756 preceding and 1 preceding)""",
     "f4_lead_ratios": """select ticker, date, round(lead(close, 1) over w / close - 1, 8) as r1, round(lead(close, 20) over w / close - 1, 8) as r20 from funds window w as (partition by ticker order by date)""",
     "f5_running_drawdown": """select ticker, date, round(close / max(close) over (partition by ticker order by date rows between unbounded preceding and current row) - 1, 8) as drawdown from funds""",
     "f6_cumulative_product": """select date, round(sum(ln(1 + coalesce(return_1d, 0) * 5e-1)) over (order by date rows between unbounded preceding and current row), 8) as log_path from daily""",
@@ -215,31 +216,19 @@ QUERIES = {
     "i1_extreme_entries": """select channel, date, state, cast(position as bigint) as position from entries""",
     "i3_event_returns": """, p as (select date, close, lead(close, 1) over (order by date) as c1, lead(close, 5) over (order by date) as c5, lead(close, 10) over (order by date) as c10, lead(close, 20) over (order by date) as c20 from daily)
         select e.channel, e.date, e.state, round(c1 / p.close - 1, 8) as r1, round(c5 / p.close - 1, 8) as r5, round(c10 / p.close - 1, 8) as r10, round(c20 / p.close - 1, 8) as r20 from entries e join p on p.date = e.date""",
-    "i4_event_summary": """, p as (select date, lead(close, 5) over (order by date) / close - 1 as r from daily), g as (select 'extreme_fear' as state union all select 'extreme_greed' as state)
-        select g.state, count(p.r) as n, round(avg(p.r), 8) as mean, round(@quantile(p.r, 5e-1), 8) as median, round(avg(case when p.r > 0 then 1e0 when p.r is not null then 0e0 end), 8) as positive_rate, count(p.r) < 20 as small_sample
-        from g left join entries e on e.state = g.state and e.channel = 'main' left join p on p.date = e.date group by g.state""",
-    "i7_windowed_events": """select channel, state, count(*) as n from entries where date between date '1996-01-01' and date '1998-12-31' group by channel, state""",
-    "j10_disparity_filter": """, d as (select date, 100 * close / avg(close) over (order by date rows between 49 preceding and current row) as disparity from daily), q as (select date, disparity, case when count(disparity) over w = 252 then @quantile(disparity, 1e-1) over w end as threshold from d window w as (order by date rows between 252 preceding and 1 preceding))
-        select s.channel, s.date, s.state, s.trade_eligible and (s.state <> 'extreme_fear' or coalesce(q.disparity <= q.threshold, false)) as eligible from states s join q on q.date = s.date""",
     "j15_bar_selection": """select l.date, round(l.close, 6) as close from funds l where l.ticker = 'L1' and l.date in (select date from funds where ticker = 'S1' and date >= date '1997-01-01')""",
     "j16_interval_snapshot": """select a.ticker, round(b.close / nullif(a.close, 0) - 1, 8) as change from funds a join funds b on b.ticker = a.ticker where a.date = (select min(date) from market) and b.date = (select max(date) from market)""",
     "k1_latest_close": """, l as (select ticker, max(date) as d from funds group by ticker) select f.ticker, f.date, case when abs(f.close - g.close) / f.close <= 5e-3 then 'ok' when g.close is null then 'unavailable' else 'mismatch' end as state from funds f join l on l.ticker = f.ticker and l.d = f.date left join (select ticker, date, close * case when ticker = 'S1' then 102e-2 else 1e0 end as close from funds) g on g.ticker = f.ticker and g.date = f.date""",
     "k7_common_latest": """, c as (select least((select max(date) from market), (select max(date) from shipping)) as cut) select m.date, round(m.close, 8) as close from market m cross join c where m.date <= c.cut""",
-    "k8_incremental_seed": """, k as (select date, row_number() over (order by date desc) as back, count(*) over () as whole from daily) select @countif(back > 5) as frozen, @countif(back <= 5) as mutable, @countif(back > 5) >= 247 and max(whole) >= 252 as is_enough from k""",
     "k10_frozen_equality": """select coalesce(a.date, b.date) as date, round(a.close, 8) as was, round(b.close, 8) as now from daily a full outer join (select date, close + case when pos % 400 = 0 then 1 else 0 end as close from daily where pos <> 17) b on a.date = b.date where a.close is null or b.close is null or abs(a.close - b.close) > 1e-6""",
-    "k11_scale_stability": """, c as (select a.date, abs(a.close - b.close) / a.close as gap, row_number() over (order by a.date desc) as k from daily a join daily b on b.date = a.date where a.date < date '1999-01-01') select count(*) as anchors, round(max(gap), 8) as widest, max(gap) <= 5e-3 as is_stable from c where k <= 6""",
     "k13_date_regression": """select a.d as published, b.d as candidate, b.d < a.d as is_regression from (select max(date) as d from market) a cross join (select max(date) as d from shipping) b""",
     "k15_contract_checks": """select 'duplicate_dates' as rule, count(*) as violations from (select date from market group by date having count(*) > 1) x union all select 'positive_prices', count(*) from market where not close > 0 union all select 'percentile_range', count(*) from states where percentile < 0 or percentile > 100""",
-    "l2_history_rows": """select d.date, round(d.close, 8) as close, round(d.return_1d, 8) as return_1d, s.state, s.trade_eligible, round(f.close, 6) as l1_close from daily d left join states s on s.date = d.date and s.channel = 'main' left join funds f on f.date = d.date and f.ticker = 'L1'""",
     "l3_scatter": """select channel, date, round(return_1d, 8) as x, round(flow_share, 8) as y, case when k = 1 then 'current' when state in ('extreme_fear', 'extreme_greed') then 'extreme' else 'training' end as role from (select *, row_number() over (partition by channel order by date desc) as k from states) z where k <= 253""",
-    "l8_conclusion_tone": """select channel, case when avg(case when trade_eligible then 1e0 else 0e0 end) > 6e-1 then 'supportive' when avg(case when trade_eligible then 1e0 else 0e0 end) > 3e-1 then 'mixed' else 'caution' end as tone from states group by channel""",
     "m5_confirmed_supersedes": """, both_rows as (select date, close, 1 as phase from daily union all select date, close * 101e-2, 0 as phase from daily where pos % 2 = 0) select date, round(max_by(close, phase), 4) as close, cast(max(phase) as int) as phase from both_rows group by date""",
     "a7_range_scan": """select cast(o_orderdate as date) as date, o_orderkey, try_cast(o_totalprice as double) as price from orders where cast(o_orderdate as date) between date '1996-01-01' and date '1996-12-31' and o_totalprice is not null""",
     "a9_individual_flow": """select date, round(-8e-1 * return_1d * trading_value, 2) as individual_net_purchase from daily where return_1d is not null""",
     "a13_stock_fallback": """select p.p_partkey, coalesce(a.price, p.p_retailprice) as price, case when a.price is null then 'fallback' else 'history' end as source from part p left join (select l_partkey, round(max(l_extendedprice / nullif(l_quantity, 0)), 10) as price from lineitem where l_returnflag = 'R' group by l_partkey) a on a.l_partkey = p.p_partkey""",
     "a15_iso_records": """select cast(date as varchar(10)) as date, round(close, 8) as close from daily""",
-    "b17_b18_snapshot": """, k as (select *, row_number() over (partition by channel order by date desc) as back from states)
-        select max(date) as date, max(case when channel = 'main' then state end) as main_state, max(case when channel = 'noisy' then state end) as noisy_state, max(case when channel = 'main' then training_count end) as main_training_count, max(case when channel = 'noisy' then quality end) as noisy_quality from k where back = 1""",
     "c11_c12_paired_returns": """, p as (select ticker, date, close, lead(close, 5) over (partition by ticker order by date) as later from funds)
         select e.channel, e.date, e.state, round(a.later / a.close - 1, 8) as own_return, round(b.later / b.close - 1, 8) as benchmark_return from entries e join p a on a.date = e.date and a.ticker = 'S1' left join p b on b.date = e.date and b.ticker = 'IDX'""",
     "c16_ledger_hydration": """select f.date, f.ticker, coalesce(s.state, 'none') as state, coalesce(f.close, 0) as close from (select date, ticker, round(close, 8) as close from funds) f left join (select date, state from states where channel = 'noisy' and trade_eligible) s on s.date = f.date""",
@@ -248,11 +237,8 @@ QUERIES = {
     "f7_regression_frame": """select channel, date, count(return_1d) over w as n, round(regr_slope(flow_share, return_1d) over w, 8) as beta from obs where return_1d is not null window w as (partition by channel order by date rows between 252 preceding and 1 preceding)""",
     "g1_sort_by_date": """select date, cast(row_number() over (order by date) as bigint) as place, round(close, 8) as close from daily""",
     "j6_entry_dates": """select date, state from entries where channel = 'main'""",
-    "j11_exit_thresholds": """select t.exit_at, count(*) as sessions from states cross join (select 50e0 as exit_at union all select 80e0 as exit_at) t where channel = 'main' and percentile >= t.exit_at group by t.exit_at""",
-    "k14_freshness": """, l as (select max(date) as d from market), s as (select max(date) as d from shipping) select case when l.d = s.d then 'current' when @days(s.d, l.d) < 0 then 'stale' else 'degraded' end as status, l.d as index_date, s.d as flow_date from l cross join s""",
     "l4_relative_diagnostics": """, a as (select i.date, i.close as own, f.close as other, row_number() over (order by i.date) as k, count(*) over () as n from funds i join funds f on f.date = i.date and f.ticker = 'S1' where i.ticker = 'IDX'), b as (select *, 100 * own / first_value(own) over (order by date) as own_100, 100 * other / first_value(other) over (order by date) as other_100 from a)
         select date, round(own_100 - other_100, 6) as spread, round(ln(own_100 / other_100), 8) as log_relative from b where (n - k) < 756 and ((n - k) % 5 = 0)""",
-    "l5_summary": """, l as (select max(date) as d from market) select l.d as data_as_of, (select count(*) from market) as sessions, (select count(*) from states where trade_eligible) as eligible, (select count(*) from entries) as entries from l""",
     "q_daily_by_nation": """select n_name, cast(o_orderdate as date) as date, count(*) as orders_placed, round(sum(o_totalprice), 2) as trading_value from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey group by n_name, cast(o_orderdate as date)""",
 }
 VIEWS = ("orders", "lineitem", "customer", "nation", "part", "supplier", "events")
@@ -265,7 +251,7 @@ def text_of(name: str, which: int) -> str:
 def with_adapters(body: str, which: int) -> str:
     """A query, or further named queries and it after a comma, behind the adapters."""
     body = body.strip()
-    return dialect(BASE.rstrip().replace("@@SIGNALS@@", SIGNALS if which else "") + (body if body.startswith(",") else "\n" + body), which)
+    return dialect(BASE.rstrip().replace("@@RECURSIVE@@", "recursive" if which else "").replace("@@SIGNALS@@", signals_sql() if which else "") + (body if body.startswith(",") else "\n" + body), which)
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluxlens.functions import states
-from fluxlens.operators import asof, events, metrics, reconcile, regression, simulate
-from fluxlens.sources import market
+from fluxlens.operators import asof, events, reconcile, regression
+from fluxlens.sources import landing, market
 from fluxlens.streaming import live
 
 
@@ -35,7 +34,8 @@ def latest_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last twenty sessions of each channel, scored against their past."""
     found = _signals(spark, sf_dir).drop("residuals")
     last = F.row_number().over(Window.partitionBy("channel").orderBy(F.desc("date")))
-    return found.withColumn("back", last).where("back <= 20").drop("back")
+    rounded = [F.round(f.name, 8).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in found.schema.fields]
+    return found.withColumn("back", last).where("back <= 20").select(*rounded)
 
 
 def c2_strict_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,16 +52,6 @@ def c9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("date", F.round("before.close", 8).alias("close_before"), F.round("after.close", 8).alias("close_after"))
 
 
-def d2_d8_huber_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regression.rolling_huber_signals(market.observations(_daily(spark, sf_dir))).drop("residuals")
-
-
-def d15_d17_parameter_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lookback = 60
-    found = _signals(spark, sf_dir, window=lookback, least=states.minimum_observations(lookback), minimum_fit=0.4, tail=2)
-    return found.select("channel", "date", F.round("percentile", 8).alias("percentile"), "state", "quality")
-
-
 def e9_state_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order statistics of the last training residuals at the bounds of the states."""
     n = F.size("residuals")
@@ -86,58 +76,6 @@ def i2_non_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("channel", "date", "state", F.col("position").cast("bigint").alias("position"))
 
 
-def i5_event_study(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = events.extreme_entries(_signals(spark, sf_dir).drop("residuals")).where("channel = 'main'")
-    prices = market.prices(_daily(spark, sf_dir)).where("ticker = 'L1'")
-    found = events.summarize(chosen, events.forward_returns(prices))
-    return found.select("state", "horizon", "n", *[F.round(c, 8).alias(c) for c in ("mean", "median", "positive_rate", "benchmark", "excess")], "small_sample")
-
-
-def e4_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = events.extreme_entries(_signals(spark, sf_dir).drop("residuals")).where("channel = 'main'")
-    return events.bootstrap(chosen, events.forward_returns(market.prices(_daily(spark, sf_dir)).where("ticker = 'IDX'")))
-
-
-GRID = [
-    {"scenario_id": f"{policy}-{cost}-{exit_}", "policy": policy, "cost_bps": float(cost), "long_exit": float(exit_), "short_exit": float(100 - exit_), "max_holding": 20}
-    for policy in simulate.POLICIES for cost in (0, 5, 10, 20) for exit_ in (50, 80)
-]
-
-
-def _ledger(spark: SparkSession, sf_dir: str, grid: list[dict] = GRID) -> DataFrame:
-    daily = _daily(spark, sf_dir)
-    signals = _signals(spark, sf_dir).where("channel = 'main'").drop("residuals")
-    entries = events.extreme_entries(signals).select("date", F.col("state").alias("entry"))
-    prices = market.prices(daily)
-    long, other = (prices.where(F.col("ticker") == t).select("date", F.col("open").alias(f"{p}open"), F.col("close").alias(f"{p}close")) for t, p in (("L1", ""), ("S1", "other_")))
-    days = long.join(other, "date").join(signals.select("date", "percentile"), "date", "left").join(entries, "date", "left")
-    return simulate.run_scenarios(days, grid)
-
-
-def j1_j5_simulated_ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ledger(spark, sf_dir)
-
-
-def j12_common_period(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simulate.rebased(_ledger(spark, sf_dir), "1996-01-01", "1999-12-31")
-
-
-def e6_e7_path_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.path_metrics(_ledger(spark, sf_dir))
-
-
-def f9_ledger_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.holding_segments(_ledger(spark, sf_dir))
-
-
-def j8_exposure_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.exposure_matched(_ledger(spark, sf_dir))
-
-
-def j9_risk_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.risk_matched(_ledger(spark, sf_dir))
-
-
 def _two_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Official prices, and an adjusted history that lacks a session in nineteen."""
     official = market.prices(_daily(spark, sf_dir)).where("ticker in ('L1', 'S1')")
@@ -146,12 +84,6 @@ def _two_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return official, adjusted
 
 
-def k2_anchor_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    official, adjusted = _two_sources(spark, sf_dir)
-    found = reconcile.anchors(official, adjusted.withColumn("close", F.col("close") * 2))
-    return found.select("ticker", "anchors", "mismatches", F.round("widest", 8).alias("widest"), "state")
-
-
 def k3_k4_latest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     official, adjusted = _two_sources(spark, sf_dir)
     found = reconcile.latest_close(official, adjusted)
@@ -179,30 +111,39 @@ def a16_a17_columnar_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def m1_m4_live_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Provisional rows of the last sessions, streamed from files against the last fit before them."""
-    scored = _signals(spark, sf_dir)
-    daily = _daily(spark, sf_dir)
+    """Provisional rows of the last sessions, streamed from files against the fit of the history before them."""
     cut = "2001-07-01"
-    past = scored.where((F.col("date") < cut) & F.col("percentile").isNotNull())
-    fits = past.groupBy("channel").agg(F.max("date").alias("last_date"), F.max_by("alpha", "date").alias("alpha"), F.max_by("beta", "date").alias("beta"), F.max_by("residuals", "date").alias("residuals"))
-    close = daily.where(F.col("date") < cut).agg(F.max_by("close", "date").alias("last_close"))
-    rows = market.observations(daily).where(F.col("date") >= cut).select("channel", "date", F.to_timestamp(F.concat(F.col("date").cast("string"), F.lit(" 06:45:00"))).alias("observed_at"), "close", "return_1d", "flow_share")
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="fluxlens-live-")
-    base = f"{base}/live-{uuid.uuid4().hex}"
+    daily = _daily(spark, sf_dir)
+    whole = Window.partitionBy(F.lit(1)).orderBy("date")
+    observed = market.observations(daily)
+    history = observed.where(F.col("date") < cut)
+    # The fit that a next session would be scored with.
+    after = history.select("channel").distinct().select("channel", F.lit(cut).cast("date").alias("date"), F.lit(0.0).alias("return_1d"), F.lit(0.0).alias("flow_share"))
+    fitted = regression.rolling_signals(history.select("channel", "date", "return_1d", "flow_share").unionByName(after)).where(F.col("date") == cut).select("channel", "alpha", "beta", "residuals")
+    closes = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("date", "close"))), lambda x: x["close"]), -251, 251)
+    past = daily.where(F.col("date") < cut).agg(F.max("date").alias("last_date"), closes.alias("closes"))
+    before = daily.select("date", F.lag("date").over(whole).alias("previous_date"), F.lag("close").over(whole).alias("previous_close"))
+    rows = observed.where(F.col("date") >= cut).join(before, "date").select("channel", "date", F.to_timestamp(F.concat(F.col("date").cast("string"), F.lit(" 06:45:00"))).alias("observed_at"), "close", "previous_date", "previous_close", "flow_share")
+    base = f"{landing.shared_folder(spark)}/live-{uuid.uuid4().hex}"
     rows.write.parquet(f"{base}/in")
-    query = live.stream_scores(spark, f"{base}/in", fits.crossJoin(F.broadcast(close)), f"{base}/out", f"{base}/state")
+    query = live.stream_scores(spark, f"{base}/in", fitted.crossJoin(F.broadcast(past)), f"{base}/out", f"{base}/state")  # one row
     query.awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("channel", "date", "phase", F.round("percentile", 6).alias("percentile"))
+    return spark.read.parquet(f"{base}/out").select("channel", "date", "phase", *[F.round(c, 6).alias(c) for c in ("return_1d", "percentile", "disparity50", "mdd252")])
 
 
 QUERIES = {f.__name__: f for f in (
-    latest_signals, c2_strict_as_of, c9_neighbours, d2_d8_huber_signals, d15_d17_parameter_signals, e9_state_boundaries, b13_b15_agreement, i2_non_overlapping,
-    i5_event_study, e4_bootstrap, j1_j5_simulated_ledgers, j12_common_period, e6_e7_path_metrics, f9_ledger_segments, j8_exposure_matched, j9_risk_matched,
-    k2_anchor_check, k3_k4_latest_check, k5_gap_repair, k9_k12_upsert, a16_a17_columnar_history, m1_m4_live_scores,
+    latest_signals, c2_strict_as_of, c9_neighbours, e9_state_boundaries, b13_b15_agreement, i2_non_overlapping, k3_k4_latest_check, k5_gap_repair, k9_k12_upsert, a16_a17_columnar_history, m1_m4_live_scores,
 )}
 
 #: SQL of those that SQL expresses, to follow the portable adapters.
 SQL = {
+    "m1_m4_live_scores": """, l as (select max(date) as d from daily where date < date '2001-07-01'), f as (select min(date) as d from daily where date >= date '2001-07-01'),
+        c as (select date, close, return_1d, 1e2 * close / avg(close) over (order by date rows between 49 preceding and current row) as disparity50, close / max(close) over (order by date rows between 251 preceding and current row) - 1 as mdd252 from daily)
+        select s.channel, s.date, case when s.date = f.d then 'provisional' else 'session_gap' end as phase, round(case when s.date = f.d then c.return_1d end, 6) as return_1d, round(case when s.date = f.d then s.percentile end, 6) as percentile,
+        round(case when s.date = f.d then disparity50 end, 6) as disparity50, round(case when s.date = f.d then mdd252 end, 6) as mdd252 from states s join c on c.date = s.date cross join f where s.date >= f.d""",
+    "latest_signals": """, l as (select *, row_number() over (partition by channel order by date desc) as back from states)
+        select channel, date, round(return_1d, 8) as return_1d, round(flow_share, 8) as flow_share, training_count, round(alpha, 8) as alpha, round(beta, 8) as beta, round(rolling_r2, 8) as rolling_r2, round(residual, 8) as residual,
+        round(residual_z, 8) as residual_z, round(percentile, 8) as percentile, state, quality, trade_eligible from l where back <= 20""",
     "c2_strict_as_of": """select m.date, s.date as price_date, round(s.price, 8) as price from market m asof left join shipping s on m.date > s.date""",
     "c9_neighbours": """, lone as (select date from shipping where date not in (select date from market))
         select l.date, round(b.close, 8) as close_before, round(a.close, 8) as close_after from lone l asof left join market b on l.date > b.date asof left join market a on l.date < a.date""",
@@ -222,13 +163,6 @@ SQL = {
         walk as (select channel, list(position order by position) as ps from e group by channel),
         kept as (select channel, unnest(list_reduce(list_prepend(cast([] as bigint[]), list_transform(ps, lambda p: [cast(p as bigint)])), lambda acc, p: case when len(acc) = 0 or p[1] >= acc[-1] + 21 then list_concat(acc, p) else acc end)) as position from walk)
         select e.channel, e.date, e.state, e.position from e join kept k on k.channel = e.channel and k.position = e.position""",
-    "i5_event_study": """, p as (select date, lead(close, 1) over w / close - 1 as r1, lead(close, 5) over w / close - 1 as r5, lead(close, 10) over w / close - 1 as r10, lead(close, 20) over w / close - 1 as r20 from funds where ticker = 'L1' window w as (order by date)),
-        r as (select date, 1 as horizon, r1 as value from p union all select date, 5, r5 from p union all select date, 10, r10 from p union all select date, 20, r20 from p),
-        u as (select horizon, avg(value) as benchmark from r where value is not null group by horizon),
-        g as (select s.state, u.horizon, u.benchmark from u cross join (select 'extreme_fear' as state union all select 'extreme_greed' as state) s)
-        select g.state, cast(g.horizon as integer) as horizon, count(r.value) as n, round(avg(r.value), 8) as mean, round(quantile_cont(r.value, 5e-1), 8) as median,
-          round(avg(case when r.value > 0 then 1e0 when r.value is not null then 0e0 end), 8) as positive_rate, round(g.benchmark, 8) as benchmark, round(avg(r.value) - g.benchmark, 8) as excess, count(r.value) < 20 as small_sample
-        from g left join entries e on e.state = g.state and e.channel = 'main' left join r on r.date = e.date and r.horizon = g.horizon group by g.state, g.horizon, g.benchmark""",
     "k5_gap_repair": """, official as (select * from funds where ticker in ('L1', 'S1')), adj as (select ticker, date, open * 5e-1 as open, close * 5e-1 as close from official where date_diff('day', date '1995-01-01', date) % 19 <> 7 or date < date '1995-02-01'),
         common as (select o.ticker, o.date, a.close / o.close as factor from official o join adj a on a.ticker = o.ticker and a.date = o.date),
         gaps as (select o.* from official o where not exists (select 1 from adj a where a.ticker = o.ticker and a.date = o.date)),

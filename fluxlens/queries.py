@@ -7,14 +7,14 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxlens.plans import portable, research
+from fluxlens.plans import history, history_sql, portable, research, trading
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return research.QUERIES | {name: partial(portable.run, name) for name in portable.QUERIES}
+    return research.QUERIES | trading.QUERIES | history.QUERIES | {name: partial(portable.run, name) for name in portable.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: portable.with_adapters(sql, 1) for name, sql in research.SQL.items()} | {name: portable.text_of(name, 1) for name in portable.QUERIES}
+    return {name: portable.with_adapters(sql, 1) for name, sql in (research.SQL | trading.SQL | history_sql.SQL).items()} | {name: portable.text_of(name, 1) for name in portable.QUERIES}

@@ -10,6 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own_folders: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, ``spark.checkpoint.dir``; one of our own in local mode only."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return _own_folders.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="fluxlens-"))
+
+
 def read_day_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of the ``OutBlock_1`` arrays of JSON day files; entries that are no objects are dropped."""
     files = spark.read.option("multiLine", True).schema(f"OutBlock_1 array<struct<{schema}>>").json(path)
@@ -26,7 +39,9 @@ def write_day_cache(df: DataFrame, path: str, boundary: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """All fields quoted, quotes doubled, with a header."""
+    """All fields quoted, quotes doubled, with a header, and a byte order mark before it in each file."""
+    if df.columns:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
@@ -42,6 +57,43 @@ def write_json_whole(document: dict, path: str) -> int:
     return len(text.encode())
 
 
+def write_documents_whole(documents: dict[str, dict]) -> dict[str, int]:
+    """Writes several documents (by path) beside their places, and moves them there only when all are written; returns their bytes.
+
+    If one can't be written, none is moved.
+    """
+    texts = {path: json.dumps(d, ensure_ascii=False, allow_nan=False, sort_keys=True, separators=(",", ":")).encode() for path, d in documents.items()}
+    waiting = {}
+    try:
+        for path, text in texts.items():
+            handle, waiting[path] = tempfile.mkstemp(dir=os.path.dirname(path) or ".")
+            with os.fdopen(handle, "wb") as f:
+                f.write(text)
+                f.flush()
+                os.fsync(f.fileno())
+        for path in texts:
+            os.replace(waiting.pop(path), path)
+    finally:
+        for name in waiting.values():
+            os.unlink(name)
+    return {path: len(text) for path, text in texts.items()}
+
+
+def encode_columns(df: DataFrame, preferred: list[str], digits: int = 8) -> tuple[list[str], DataFrame]:
+    """Column names, the preferred ones first and the others sorted, and (row,) arrays of their values as text; numbers rounded."""
+    names = [c for c in preferred if c in df.columns] + sorted(c for c in df.columns if c not in preferred)
+    kinds = dict(df.dtypes)
+    return names, df.select(F.array(*[(F.round(c, digits) if kinds[c] == "double" else F.col(c)).cast("string") for c in names]).alias("row"))
+
+
+def decode_columns(rows: DataFrame, names: list[str], types: dict[str, str]) -> DataFrame:
+    """Rows of arrays as columns again; refuses repeated names, and fails on rows of another width."""
+    if not names or len(set(names)) != len(names):
+        raise ValueError("column names must be there, and differ")
+    sound = F.when(F.size("row") == len(names), F.col("row")).otherwise(F.raise_error(F.lit("a row of another width")).cast("array<string>"))
+    return rows.select(sound.alias("row")).select(*[F.get("row", F.lit(k)).try_cast(types.get(c, "string")).alias(c) for k, c in enumerate(names)])
+
+
 def within_limits(sizes: dict[str, int], limits: dict[str, int]) -> list[str]:
     """Names of outputs that are larger than they may be."""
     return sorted(n for n, size in sizes.items() if size > limits.get(n, size))

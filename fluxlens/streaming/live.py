@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-LIVE = "channel string, date date, observed_at timestamp, close double, return_1d double, flow_share double"
+LIVE = "channel string, date date, observed_at timestamp, close double, previous_date date, previous_close double, flow_share double"
 
 
 def in_capture_window(observed: Column, day: Column, zone: str = "Asia/Seoul") -> Column:
@@ -20,22 +20,30 @@ def in_capture_window(observed: Column, day: Column, zone: str = "Asia/Seoul") -
 
 
 def score_live(rows: DataFrame, fits: DataFrame, *, continuity: float = 0.005) -> DataFrame:
-    """Scores provisional rows with the last fit of their channel; the history is never changed.
-
-    ``fits``: channel, last_date, last_close, alpha, beta, residuals, a row for
-    each channel.  Rows of a day that the history has are superseded; a close
-    that doesn't continue the last one within the row's own return is refused.
+    """Scores provisional rows with a fit of the history of their channel; the history is never changed.
+
+    ``fits``: channel, last_date, closes (of the last 251 sessions, in order),
+    alpha, beta, residuals of the fit to the last complete sessions; a row for
+    each channel.  Rows tell the session that their source has before them.
+    The first that holds is a row's phase: superseded (the history has the
+    day), outside_window, session_gap (the session before isn't the history's
+    last), discontinuous (its close there is another), provisional.
     """
-    residual = F.col("flow_share") - (F.col("alpha") + F.col("beta") * F.col("return_1d"))
-    expected = F.col("last_close") * (1 + F.col("return_1d"))
-    return (
-        rows.join(F.broadcast(fits), "channel")
-        .withColumn("phase", F.when(F.col("date") <= F.col("last_date"), "superseded").when(~in_capture_window(F.col("observed_at"), F.col("date")), "outside_window")
-                    .when(F.abs(F.col("close") / expected - 1) > continuity, "discontinuous").otherwise("provisional"))
-        .withColumn("residual", residual)
-        .withColumn("percentile", F.when(F.col("phase") == "provisional", 100.0 * F.size(F.filter("residuals", lambda r: r <= F.col("residual"))) / F.size("residuals")))
-        .drop("residuals")
+    last_close = F.element_at("closes", -1)
+    change = F.col("close") / F.nullif(last_close, F.lit(0.0)) - 1
+    residual = F.col("flow_share") - (F.col("alpha") + F.col("beta") * change)
+    recent, year = F.slice("closes", -F.least(F.size("closes"), F.lit(49)), 49), F.concat("closes", F.array("close"))
+    mean = (F.aggregate(recent, F.lit(0.0), lambda a, b: a + b) + F.col("close")) / (F.size(recent) + 1)
+    phase = (
+        F.when(F.col("date") <= F.col("last_date"), "superseded").when(~in_capture_window(F.col("observed_at"), F.col("date")), "outside_window")
+        .when(~F.col("previous_date").eqNullSafe(F.col("last_date")), "session_gap").when(F.abs(F.col("previous_close") / last_close - 1) > continuity, "discontinuous").otherwise("provisional")
     )
+    scored = rows.join(F.broadcast(fits), "channel").withColumn("phase", phase)
+    known = F.col("phase") == "provisional"
+    percentile = 100.0 * F.get(F.transform(F.array(residual), lambda own: F.size(F.filter("residuals", lambda r: r <= own))), F.lit(0)) / F.size("residuals")
+    return scored.select(
+        *rows.columns, "last_date", "phase", F.when(known, change).alias("return_1d"), F.when(known, residual).alias("residual"), F.when(known, percentile).alias("percentile"),
+        F.when(known, 100 * F.col("close") / mean).alias("disparity50"), F.when(known, F.col("close") / F.array_max(year) - 1).alias("mdd252"))
 
 
 def stream_scores(spark, source: str, fits: DataFrame, sink: str, checkpoint: str):
@@ -74,3 +82,21 @@ def stream_positions(rows: DataFrame) -> DataFrame:
     """Positions of long/cash scenarios over a stream of sessions (scenario_id, date, percentile, entry, long_exit, max_holding)."""
     return rows.groupBy("scenario_id").transformWithStateInPandas(
         statefulProcessor=PositionProcessor(), outputStructType="scenario_id string, date date, position string, pending string, held int", outputMode="Append", timeMode="None")
+
+
+POSITIONS = "scenario_id string, date date, percentile double, entry string, long_exit double, max_holding int"
+
+
+def run_positions(spark, source: str, sink: str, checkpoint: str) -> DataFrame:
+    """Reads sessions file by file as they come, carries positions from one to the next, and returns what was appended."""
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = spark.readStream.schema(POSITIONS).option("maxFilesPerTrigger", 1).parquet(source)
+        stream_positions(rows).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        if before is None:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.schema("scenario_id string, date date, position string, pending string, held int").parquet(sink)

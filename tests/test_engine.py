@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluxlens.functions import states
-from fluxlens.operators import asof, events, metrics, reconcile, regression, simulate
+from fluxlens.operators import asof, events, metrics, reconcile, refresh, regression, simulate
 
 DAY = dt.date(2020, 1, 1)
 
@@ -18,10 +18,11 @@ def day(k):
 
 
 def observed(n=260):
+    """Flows against the return, with a slow wave and a sawtooth around the line."""
     rows = []
     for i in range(n):
-        x = ((i % 23) - 11) / 1000
-        rows.append(("individual", day(i), x, -0.8 * x + ((i * 7) % 13 - 6) / 20000))
+        x = 0.012 * np.sin(1.7 * i) + 0.004 * np.cos(0.37 * i)
+        rows.append(("own", day(i), float(x), float(-0.55 * x + 0.0007 * np.sin(0.11 * i) + ((i * i) % 17 - 8) / 30000)))
     return rows
 
 
@@ -103,48 +104,156 @@ def test_entries_and_overlap(spark):
     assert sorted(r["position"] for r in events.non_overlapping(many, 20).collect()) == [0, 21, 42]
 
 
-def test_bootstrap_is_reproducible():
-    values = np.arange(30.0)
-    one = [events.bootstrap_interval(values, np.random.default_rng(5), samples=500) for _ in range(2)]
-    assert one[0] == one[1] and one[0][0] < 14.5 < one[0][1]
-    assert events.bootstrap_interval(np.array([3.0]), np.random.default_rng(1)) == (3.0, 3.0)
+def test_huber_weights_count_from_the_median():
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 0.02, 120)
+    y = 0.3 * x + rng.exponential(0.01, 120)  # skewed: the residuals' median isn't 0
+    a, b, w = regression.huber_line(x, y)
+
+    def line(w):
+        slope, at = np.polyfit(x, y, 1, w=np.sqrt(w))
+        return at, slope
+
+    own, weights = line(np.ones(120)), None
+    for _ in range(50):
+        r = y - own[0] - own[1] * x
+        d = abs(r - np.median(r)) / (1.4826 * np.median(abs(r - np.median(r))))
+        weights = np.minimum(1, 1.345 / np.maximum(d, 1e-12))
+        own = line(weights)
+    assert a == pytest.approx(own[0], rel=1e-6) and b == pytest.approx(own[1], rel=1e-6) and np.allclose(w, weights, atol=1e-5)
+
+
+def test_bootstrap(spark):
+    rows = [("s", day(k), float(k)) for k in range(30)] + [("one", day(0), 3.0)]
+    values = spark.createDataFrame(rows, "k string, date date, value double")
+    for method in ("iid", "moving_block"):
+        found = {r["k"]: (r["low"], r["high"]) for r in events.bootstrap(values, ["k"], samples=400, method=method).collect()}
+        again = {r["k"]: (r["low"], r["high"]) for r in events.bootstrap(values.repartition(3), ["k"], samples=400, method=method).collect()}
+        assert found == again and found["one"] == (3.0, 3.0) and found["s"][0] < 14.5 < found["s"][1] and found["s"][1] - found["s"][0] > 3
+    with pytest.raises(ValueError):
+        events.bootstrap(values, ["k"], method="other")
+
+
+def test_treatments_of_a_study(spark):
+    chosen = spark.createDataFrame([(day(0), "extreme_fear"), (day(2), "extreme_fear")], "date date, state string")
+    returns = spark.createDataFrame([(day(k), 1, 0.01 * k) for k in range(4)], "date date, horizon int, value double")
+    usual = events.unconditional(returns)
+    fixed = {r["state"]: r for r in events.summarize(chosen, returns, usual=usual, paired=returns, horizons=(1,)).collect()}
+    assert fixed["extreme_fear"]["treatment"] == "fixed_external_mean" and fixed["extreme_fear"]["excess"] == pytest.approx(0.01 - 0.015) and fixed["extreme_greed"]["n"] == 0
+    paired = {r["state"]: r for r in events.summarize(chosen, returns, paired=returns.withColumn("value", F.col("value") / 2), horizons=(1,)).collect()}
+    assert paired["extreme_fear"]["treatment"] == "paired_event_returns" and paired["extreme_fear"]["excess"] == pytest.approx(0.005)
+    short = {r["state"]: r for r in events.summarize(chosen, returns, paired=returns.where(F.col("date") == F.lit(day(0))), horizons=(1,)).collect()}
+    assert short["extreme_fear"]["treatment"] == "unavailable" and short["extreme_fear"]["benchmark"] is None
+    mixed = spark.createDataFrame([("fixed_external_mean",), ("paired_event_returns",), ("unavailable",)], "treatment string").withColumn("study", F.lit(1))
+    assert events.one_treatment(mixed, "study").first()["treatment"] == "mixed"
+
 
+def days_of(prices, percentiles, entries, other=100.0):
+    return pd.DataFrame({"date": [day(k) for k in range(len(prices))], "open": prices, "close": prices, "other_open": other, "other_close": other, "percentile": percentiles, "entry": entries})
 
-def days_of(prices, percentiles, entries):
-    return pd.DataFrame({"date": [day(k) for k in range(len(prices))], "open": prices, "close": prices, "other_open": 100.0, "other_close": 100.0, "percentile": percentiles, "entry": entries})
+
+RUN = {"policy": "long_cash", "cost_bps": 0.0, "long_exit": 80.0, "max_holding": 20}
 
 
 def test_entry_and_exit_at_the_next_open():
-    df = days_of([100.0, 110.0, 121.0, 133.1], [2.0, 50.0, 90.0, 50.0], ["extreme_fear", None, None, None])
-    out = simulate.simulate(df, policy="long_cash", cost_bps=0, long_exit=80, short_exit=20, max_holding=20)
+    out = simulate.simulate(days_of([50.0, 60.0, 66.0, 72.6], [1.0, 40.0, 85.0, 60.0], ["extreme_fear", None, None, None]), **RUN)
     assert out["action"].tolist() == [None, "enter", None, "exit"] and out["reason"].tolist()[3] == "recovery"
-    assert out["equity"].iloc[-1] == pytest.approx(1.21)
+    assert out["equity"].iloc[-1] == pytest.approx(1.21) and out["pending_action"].tolist() == ["enter_next_open", None, "exit_next_open", None]
+    assert out["signal_date"].tolist()[3] == day(2) and out["opening_position"].tolist()[3] == "long"
 
 
 def test_reversal_is_one_action_with_two_sides():
-    df = days_of([100.0, 101.0, 102.0, 102.0], [2.0, 98.0, 50.0, 50.0], ["extreme_fear", "extreme_greed", None, None])
-    out = simulate.simulate(df, policy="long_short_cash", cost_bps=10, long_exit=80, short_exit=20, max_holding=20)
-    assert out["action"].tolist()[:3] == [None, "enter", "reverse"] and out["sides"].tolist()[2] == 2 and out["position"].iloc[2] == "short"
+    df = days_of([40.0, 44.0, 42.0, 42.0], [1.0, 99.0, 60.0, 60.0], ["extreme_fear", "extreme_greed", None, None])
+    for policy, side in (("long_short_cash", "short"), ("long_inverse_cash", "inverse")):
+        out = simulate.simulate(df, **RUN | {"policy": policy, "cost_bps": 25.0})
+        assert out["action"].tolist()[:3] == [None, "enter", "reverse"] and out["sides"].tolist()[2] == 2 and out["position"].iloc[2] == side
+        assert out["pending_side"].iloc[1] == side and out["cost"].iloc[2] > 0
 
 
 def test_longest_holding_needs_no_signal():
-    df = days_of([100.0] * 6, [2.0, None, None, None, None, None], ["extreme_fear"] + [None] * 5)
-    out = simulate.simulate(df, policy="long_cash", cost_bps=0, long_exit=80, short_exit=20, max_holding=2)
-    assert out["reason"].dropna().tolist() == ["long_entry", "max_holding"]
+    out = simulate.simulate(days_of([70.0] * 6, [1.0, None, None, None, None, None], ["extreme_fear"] + [None] * 5), **RUN | {"max_holding": 2})
+    assert out["reason"].dropna().tolist() == ["extreme_fear_entry", "max_holding"]
+
+
+@pytest.mark.parametrize("change", [{"policy": "other"}, {"cost_bps": -1.0}, {"long_exit": 95.0}, {"long_exit": 60.5}, {"max_holding": 0}])
+def test_settings_that_are_refused(change):
+    with pytest.raises(ValueError):
+        simulate.simulate(days_of([70.0] * 3, [None] * 3, [None] * 3), **RUN | change)
+
+
+def test_failed_scenarios_are_unavailable(spark):
+    grid = [{"scenario_id": f"{p}-{k}", "pair": p, "policy": k, "cost_bps": 0.0, "long_exit": 80.0, "max_holding": 20} for p in ("rise", "twice") for k in ("long_cash", "long_short_cash")]
+    rise = days_of([90.0, 90.0, 500.0], [99.0, 50.0, 50.0], ["extreme_greed", None, None]).assign(pair="rise")
+    twice = pd.concat([rise, rise]).assign(pair="twice")
+    out = {}
+    for r in simulate.run_scenarios(spark.createDataFrame(pd.concat([rise, twice])), grid).collect():
+        out.setdefault(r["scenario_id"], []).append(r)
+    assert len(out["rise-long_cash"]) == 3 and all(len(out[s]) == 1 and out[s][0]["position"] == "unavailable" for s in ("rise-long_short_cash", "twice-long_cash", "twice-long_short_cash"))
+
+
+def plain_path(spark):
+    prices = [50.0, 50.0, 55.0, 60.0, 58.0, 54.0, 57.0, 61.0]
+    df = days_of(prices, [1.0, 40.0, 85.0, 50.0, 99.0, 40.0, 15.0, 50.0], ["extreme_fear", None, None, None, "extreme_greed", None, None, None]).assign(pair="p")
+    grid = [{"scenario_id": "s", "pair": "p", "policy": "long_short_cash", "cost_bps": 10.0, "long_exit": 80.0, "max_holding": 20}]
+    return simulate.run_scenarios(spark.createDataFrame(df), grid)
 
 
-def test_failed_scenario_is_unavailable(spark):
-    pdf = days_of([100.0, 100.0, 500.0], [98.0, 50.0, 50.0], ["extreme_greed", None, None])
-    grid = [{"scenario_id": "s", "policy": "long_short_cash", "cost_bps": 0.0, "long_exit": 80.0, "short_exit": 20.0, "max_holding": 20}]
-    out = simulate.run_scenarios(spark.createDataFrame(pdf), grid).collect()
-    assert len(out) == 1 and out[0]["position"] == "unavailable"
+def test_trades_slices_and_paths_without_costs(spark):
+    ledger = plain_path(spark).cache()
+    closed = simulate.trades(ledger).orderBy("entry_date").collect()
+    assert [(r["side"], r["entry_date"], r["exit_date"], r["holding_sessions"], r["exit_reason"]) for r in closed] == [("long", day(1), day(3), 2, "recovery"), ("short", day(5), day(7), 2, "recovery")]
+    assert closed[0]["net_return"] == pytest.approx(0.999 * 60 / 50 * 0.999 - 1) and closed[1]["gross_return"] == pytest.approx(-(61 / 54 - 1))
+    free = {r["date"]: r["matched"] for r in simulate.zero_cost(ledger).collect()}
+    assert free[day(2)] == pytest.approx(1.1) and free[day(4)] == pytest.approx(1.2) and free[day(6)] == pytest.approx(1.2 * (2 - 57 / 54)) and free[day(7)] == pytest.approx(1.2 * (2 - 61 / 54))
+    cut = simulate.sliced(ledger, str(day(3)), str(day(6))).orderBy("date").collect()
+    assert cut[0]["equity"] == 1 and cut[0]["action"] is None and cut[0]["sides"] == 0 and len(cut) == 4
+    assert [r["side"] for r in simulate.trades(simulate.sliced(ledger, str(day(3)), None)).collect()] == ["short"]
+    assert simulate.sliced(ledger, str(day(7)), None).count() == 0
+    stand = simulate.standing(ledger.where(F.col("date") <= F.lit(day(6)))).first()
+    assert stand["position"] == "short" and stand["pending_action"] == "exit_next_open" and stand["pending_reason"] == "recovery" and stand["entry_date"] == day(5)
 
 
 def test_path_metrics(spark):
-    rows = [("s", day(k), "long", e, e, 1.0, 0.0, 0, None, None) for k, e in enumerate((1.0, 1.1, 0.99, 1.2))]
-    found = metrics.path_metrics(spark.createDataFrame(rows, simulate.LEDGER)).first()
-    assert found["total_return"] == pytest.approx(0.2) and found["max_drawdown"] == pytest.approx(-0.1) and found["moved"] == 1.0
-    assert metrics.holding_segments(spark.createDataFrame(rows, simulate.LEDGER)).count() == 1
+    found = metrics.path_metrics(plain_path(spark)).first()
+    assert found["trades"] == 2 and found["win_rate"] == 0.5 and found["recovery"] == 2 and found["reversals"] == 0 and found["sessions"] == 8
+    assert found["long_exposure"] == 0.25 and found["short_exposure"] == 0.25 and found["buy_hold_return"] == pytest.approx(0.22)
+    assert metrics.holding_segments(plain_path(spark)).count() == 5
+
+
+def test_break_even(spark):
+    rows = [(f"{s}{c}", s, float(c)) for s in "abcd" for c in (0, 5, 10, 20)]
+    gains = {"a": (0.1, 0.05, -0.05, -0.1), "b": (0.0, -0.1, -0.2, -0.3), "c": (0.3, 0.2, 0.1, 0.05), "d": (0.2, 0.1, 0.0, -0.1)}
+    ledger = [(f"{s}{c}", day(1), "cash", 1 + g) for s, gs in gains.items() for c, g in zip((0, 5, 10, 20), gs)]
+    found = metrics.break_even(spark.createDataFrame(ledger, "scenario_id string, date date, position string, equity double"), spark.createDataFrame(rows, "scenario_id string, strategy string, cost_bps double"))
+    assert {r["strategy"]: r["break_even_bps"] for r in found.collect()} == {"a": 7.5, "b": 0.0, "c": None, "d": 10.0}
+
+
+def test_three_models(spark):
+    cases = [
+        (("unavailable", False), ("fear", True), ("fear", True), "ok", "unavailable"), (("fear", False), ("fear", True), ("fear", True), "low_model_fit", "low_model_fit"),
+        (("fear", True), ("fear", False), ("unavailable", False), "ok", "scaled_only"), (("fear", True), ("greed", True), ("fear", True), "ok", "mixed"),
+        (("extreme_fear", True), ("fear", True), ("fear", False), "ok", "mixed_trigger"), (("fear", True), ("fear", True), ("fear", True), "ok", "high"),
+    ]
+    df = spark.createDataFrame([(*a, *b, *c, q, want) for a, b, c, q, want in cases], "s1 string, e1 boolean, s2 string, e2 boolean, s3 string, e3 boolean, q string, want string")
+    got = states.confidence_of_three(F.col("q"), [(F.col(f"s{k}"), F.col(f"e{k}")) for k in (1, 2, 3)])
+    assert df.where(got != F.col("want")).count() == 0
+
+
+def test_fixed_points(spark):
+    values = [150000.12, 0.5, 2.5, 1234567.00005, -987654.32105, 99999.99999999999, 1e15, 3.0000000000499996, 123456.12345678905]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (4, 10):
+        assert [r["t"] for r in df.select(states.fixed(F.col("v"), digits).alias("t")).collect()] == [f"{v:.{digits}f}" for v in values]
+
+
+def test_scale_and_signature(spark):
+    old = spark.createDataFrame([(t, day(k), 10.0) for t in "ab" for k in range(9)] + [("c", day(0), 1.0)], "ticker string, date date, close double")
+    new = old.withColumn("close", F.when((F.col("ticker") == "b") & (F.col("date") == F.lit(day(7))), 10.2).otherwise(F.col("close")))
+    assert {r["ticker"]: r["state"] for r in refresh.scale_stability(old, new, str(day(8))).collect()} == {"a": "stable", "b": "drifted", "c": "insufficient"}
+    assert {r["ticker"]: r["state"] for r in refresh.scale_stability(old, new, str(day(7))).collect()} == {"a": "stable", "b": "stable", "c": "insufficient"}
+    one = old.where("ticker = 'a'")
+    assert refresh.signature(one, "date", ["close"]).first() == refresh.signature(one.repartition(3), "date", ["close"]).first() != refresh.signature(new.where("ticker = 'b'"), "date", ["close"]).first()
+    assert refresh.seed(one, str(day(8)), least=9).where("is_frozen").count() == 4 and refresh.seed(one, str(day(8)), least=10).count() == 0
 
 
 def test_gap_repair(spark):

@@ -1,5 +1,6 @@
 """Landing zones, sinks and settings."""
 
+import datetime
 import json
 
 import pytest
@@ -24,7 +25,7 @@ def test_day_cache_keeps_old_days(spark, tmp_path):
 def test_csv_quotes(spark, tmp_path):
     landing.write_csv(spark.createDataFrame([('a "b"', 1)], "t string, n int").coalesce(1), f"file://{tmp_path}/out")
     text = next((tmp_path / "out").glob("*.csv")).read_text()
-    assert text == '"t","n"\n"a ""b""","1"\n'
+    assert text == '"\ufefft","n"\n"a ""b""","1"\n'
 
 
 def test_json_is_whole_or_not_at_all(tmp_path):
@@ -36,8 +37,47 @@ def test_json_is_whole_or_not_at_all(tmp_path):
     assert landing.within_limits({"x": 5, "y": 1}, {"x": 4, "y": 4}) == ["x"]
 
 
+def test_documents_are_moved_together(tmp_path):
+    one, two = str(tmp_path / "1.json"), str(tmp_path / "2.json")
+    assert landing.write_documents_whole({one: {"a": 1}, two: {"b": [1, 2]}}) == {one: 7, two: 11}
+    with pytest.raises(ValueError):
+        landing.write_documents_whole({one: {"a": 2}, two: {"b": float("inf")}})
+    assert json.loads(open(one).read()) == {"a": 1} and len(list(tmp_path.iterdir())) == 2
+
+
+def test_columns_are_encoded_in_order_and_decoded(spark):
+    df = spark.createDataFrame([("x", 1.123456789, 7)], "zeta string, close double, alpha int")
+    names, rows = landing.encode_columns(df, ["close", "absent"])
+    assert names == ["close", "alpha", "zeta"] and rows.first()["row"] == ["1.12345679", "7", "x"]
+    assert landing.decode_columns(rows, names, {"close": "double", "alpha": "int"}).first().asDict() == {"close": 1.12345679, "alpha": 7, "zeta": "x"}
+    for bad in ([], ["a", "a", "b"]):
+        with pytest.raises(ValueError):
+            landing.decode_columns(rows, bad, {})
+    with pytest.raises(Exception, match="another width"):
+        landing.decode_columns(rows, ["a", "b"], {}).collect()
+
+
 def test_settings():
-    assert controls.identity({}) == controls.identity({"model": "raw"}) != controls.identity({"model": "scaled"})
-    for bad in ({"nope": 1}, {"model": "tukey"}, {"signal_extreme_tail": 0}, {"signal_lookback": True}):
+    whole = controls.DEFAULTS
+    assert controls.identity(whole) == controls.identity(dict(reversed(list(whole.items())))) != controls.identity(whole | {"model": "scaled"})
+    assert controls.normalized(whole | {"backtestCost": 5.0})["backtestCost"] == 5
+    bad = [{"nope": 1}, {"model": "tukey"}, {"signalExtremeTail": 0}, {"signalLookback": 757}, {"backtestCost": 7}, {"longExitPercentile": 95}, {"signalMinimumR2": 0.42}, {"signalMinimumR2": 0.85}, {"window": "custom"},
+           {"window": "custom", "historyStart": "2024-02-01", "historyEnd": "2024-01-01"}, {"historyEndMode": "fixed"}, {"historyStart": "2024-1-1"}, {"backtestCost": float("nan")}]
+    for change in bad:
         with pytest.raises(ValueError):
-            controls.normalized(bad)
+            controls.normalized(whole | change)
+    for change in ({"signalLookback": True}, {"signalMaxHolding": 2.0}, {"historyEnd": None}, {"signalMinimumR2": "0.4"}):
+        with pytest.raises(TypeError):
+            controls.normalized(whole | change)
+    with pytest.raises(ValueError):
+        controls.normalized({k: v for k, v in whole.items() if k != "window"})
+
+
+def test_bounds():
+    latest = datetime.date(2024, 3, 31)
+    at = lambda **change: controls.bounds(controls.DEFAULTS | change, latest)
+    assert at() == (datetime.date(2024, 1, 1), latest) and at(window="all") == (None, latest)
+    assert at(window="1m") == (datetime.date(2024, 2, 29), latest) and at(window="3y") == (datetime.date(2021, 3, 31), latest)
+    assert at(window="custom", historyStart="2023-01-05", historyEnd="2030-01-01") == (datetime.date(2023, 1, 5), latest)
+    assert at(window="6m", historyEndMode="fixed", historyEnd="2024-02-29") == (datetime.date(2023, 8, 29), datetime.date(2024, 2, 29))
+    assert at(window="1y", historyEndMode="fixed", historyEnd="2024-02-29")[0] == datetime.date(2023, 2, 28)
