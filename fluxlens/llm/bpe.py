@@ -85,6 +85,9 @@ class ByteBPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        cut = spec.get("pre_tokenizer") or {}
+        if spec["model"].get("type", "BPE") != "BPE" or spec.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+            raise ValueError("only byte-level BPE without normaliser and prefix space, cut by its own pattern, is counted")
         alphabet = _byte_alphabet()
         self.special = {x["content"]: x["id"] for x in spec.get("added_tokens", ())}
         self.ranks = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}

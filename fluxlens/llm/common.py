@@ -91,6 +91,11 @@ def texts_of(batch: pa.RecordBatch, at: int = 1) -> list[str]:
     return [x or "" for x in batch.column(at).to_pylist()]
 
 
+def quoted(name: str) -> str:
+    """A column's name, whatever characters it has, as column expressions take it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def crc_of_id(column: str = "doc_id"):
     """crc32 of an id written as text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from fluxlens.llm.common import by_texts, shared_dir, texts_of, written
+from fluxlens.llm.common import by_texts, quoted, shared_dir, texts_of, written
 
 BLANK = b" \t\n\x0b\x0c\r"
 
@@ -123,6 +123,11 @@ class LineRuns:
         return counts
 
 
+def _together(columns: list[str]):
+    """The columns in one, so that none clashes with an operator's own."""
+    return F.struct(*[F.col(quoted(c)) for c in columns]) if columns else F.struct(F.lit(0).alias("none"))
+
+
 def drop_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 2, keep_first: bool = False, keep_text: bool = False, text_col: str = "text") -> DataFrame:
     """Drops every line whose key is found in at least ``min_docs`` documents.
 
@@ -142,7 +147,7 @@ def drop_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, batch
     """
     outputs = ("n_lines", "n_dropped", "kept_sha256")
     others = [c for c in docs.columns if c != text_col and c not in outputs]
-    rest = F.struct(*[F.col(f"`{c}`") for c in others], F.lit(None).cast("int").alias("_"))
+    rest = _together(others)
     # Rows that share a hash by chance only look for each other's frequent keys too.
     row_key = F.xxhash64(*[F.col(c) for c in docs.columns if c == "doc_id"], F.coalesce(F.col(text_col), F.lit("")))
     keys = written(line_keys(docs, row_key, min_chars=min_chars, text_col=text_col), "lines")
@@ -175,7 +180,7 @@ def drop_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, batch
 
     schema = StructType([StructField("rest", docs.select(rest).schema[0].dataType), StructField("text", StringType()), *[StructField(c, LongType()) for c in outputs[:2]], StructField(outputs[2], StringType())])
     done = by_texts(joined, ["keys", "text", "rest"], drop, schema)
-    return done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns if c in others or (c == text_col and keep_text)], *outputs)
+    return done.select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.{quoted(c)}").alias(c) for c in docs.columns if c in others or (c == text_col and keep_text)], *outputs)
 
 
 def without_repeated_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, batches: int = 4) -> DataFrame:
@@ -184,9 +189,9 @@ def without_repeated_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: in
     Rows of which no line is left go.  All columns stay, of whatever name and
     type; n_chars, where it is one, is counted again where lines went.
     """
-    box = docs.select("text", *(["doc_id"] if "doc_id" in docs.columns else []), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.lit(None).cast("int").alias("_")).alias("box"))
+    box = docs.select("text", *(["doc_id"] if "doc_id" in docs.columns else []), _together([c for c in docs.columns if c != "text"]).alias("box"))
     kept = drop_lines(box, min_docs=min_docs, min_chars=min_chars, batches=batches, keep_first=True, keep_text=True).where("n_dropped < n_lines")
-    out = [F.col("text") if c == "text" else F.col(f"box.`{c}`").alias(c) for c in docs.columns]
+    out = [F.col("text") if c == "text" else F.col(f"box.{quoted(c)}").alias(c) for c in docs.columns]
     if "n_chars" in docs.columns:
         counted = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("box.n_chars"))
         out[docs.columns.index("n_chars")] = counted.alias("n_chars")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from fluxlens.llm.common import WORD, by_texts, texts_of, written
+from fluxlens.llm.common import WORD, by_texts, quoted, texts_of, written
 
 #: Sources up to which their table is sent to every task; beyond, it is joined by shuffles.
 SENT_SOURCES = 100_000
@@ -234,7 +234,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     stretches it takes are kept, each on lines of its own.  The other columns
     stay, of whatever name and type; n_chars, where it is one, is counted again.
     """
-    columns = [f"`{c}`" for c in docs.columns]
+    columns = [quoted(c) for c in docs.columns]
     mixed = mix(docs, box=F.struct(*columns), **options)
     spans = mixed.spans.groupBy("row", "epoch").agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("spans"))
     rows = mixed.docs.where("size > 0").select("row", "size", "box").join(spans.hint("merge"), "row")
@@ -252,10 +252,10 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
         return {"text": texts, "chars": [len(t) for t in texts], "rest": batch.column(3)}
 
     others = [c for c in docs.columns if c not in ("text", "n_chars")] or ["text"]
-    rest = F.struct(*[F.col(f"box.`{c}`") for c in others])
+    rest = F.struct(*[F.col(f"box.{quoted(c)}") for c in others])
     done = by_texts(rows, ["size", F.col("box.text").alias("text"), "spans", rest.alias("rest")], cut, StructType([StructField("text", StringType()), StructField("chars", LongType()), StructField("rest", rows.select(rest).schema[0].dataType)]))
     n_chars = {"n_chars": F.col("chars").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return done.select(*[F.col("text") if c == "text" else n_chars[c].alias(c) if c in n_chars else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
+    return done.select(*[F.col("text") if c == "text" else n_chars[c].alias(c) if c in n_chars else F.col(f"rest.{quoted(c)}").alias(c) for c in docs.columns])
 
 
 def _stretches(text: str, spans: list[list[int]]) -> str:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxlens.llm.common import by_texts, texts_of, written
+from fluxlens.llm.common import by_texts, quoted, texts_of, written
 from fluxlens.llm.graph import components
 from fluxlens.llm.words import chained, word_codes
 
@@ -330,5 +330,5 @@ def one_of_each(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col: s
     first = F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")
     keepers = found.where("label is not null").groupBy("label").agg(first).select("first.row")
     keepers = written(keepers.unionAll(found.where("label is null").select("row")).distinct(), "keepers")
-    boxed = docs.select(alike.row.alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("box"))
-    return boxed.join(keepers, "row", "left_semi").dropDuplicates(["row"]).select(*[F.col(f"box.`{c}`").alias(c) for c in docs.columns])
+    boxed = docs.select(alike.row.alias("row"), F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("box"))
+    return boxed.join(keepers, "row", "left_semi").dropDuplicates(["row"]).select(*[F.col(f"box.{quoted(c)}").alias(c) for c in docs.columns])

@@ -1,5 +1,6 @@
 """Parts that need no cluster: tokens, trees, packing, audio, drawing, shingles."""
 
+import json
 import random
 
 import numpy as np
@@ -27,6 +28,14 @@ def test_ids_and_prefix_counts_equal_the_library():
         assert own.prefix_counts(text).tolist() == want
 
 
+def test_other_kinds_of_tokenizers_are_refused(tmp_path):
+    spec = json.load(open(PATH, encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"type": "Unigram"}}):
+        (tmp_path / "t.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            bpe.ByteBPE(str(tmp_path / "t.json"))
+
+
 def test_longest_prefix():
     own = bpe.load(PATH)
     text = "the quick brown fox jumps over the lazy dog"
