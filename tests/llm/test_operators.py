@@ -82,6 +82,17 @@ def test_audio(docs, empty):
         data = media.read_wav(r["media"])[2]
         assert hashlib.sha256(data).hexdigest() == r["payload_sha256"] and zlib.crc32(data[-16:]) == r["tail_crc32"] and len(data) == r["payload_bytes"]
         assert len(media.read_wav(r["pcm"])[2]) == 4 * r["payload_bytes"]
+    texts = collections.defaultdict(set)
+    for r in rows():
+        texts[r[0]].add((r[1] or "").encode())
+    by_text = collections.defaultdict(set)
+    for r in found:
+        payloads = {len(raw): raw + b" " * (192 if not raw else -len(raw) % 192) for raw in texts[r["doc_id"]]}
+        payload = payloads[r["n_bytes"]]
+        assert r["payload_bytes"] == len(payload) and r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-16:])
+        assert r["media_bytes"] == len(r["media"]) and r["media_sha256"] == hashlib.sha256(r["media"]).hexdigest()
+        by_text[payload].add((r["media_sha256"], r["feature"]))
+    assert all(len(x) == 1 for x in by_text.values()) and len({next(iter(x)) for x in by_text.values()}) == len(by_text)
     assert media.audio_columns(empty).count() == 0
 
 
