@@ -224,7 +224,7 @@ QUERIES = {
     "k13_date_regression": """select a.d as published, b.d as candidate, b.d < a.d as is_regression from (select max(date) as d from market) a cross join (select max(date) as d from shipping) b""",
     "k15_contract_checks": """select 'duplicate_dates' as rule, count(*) as violations from (select date from market group by date having count(*) > 1) x union all select 'positive_prices', count(*) from market where not close > 0 union all select 'percentile_range', count(*) from states where percentile < 0 or percentile > 100""",
     "l3_scatter": """select channel, date, round(return_1d, 8) as x, round(flow_share, 8) as y, case when k = 1 then 'current' when state in ('extreme_fear', 'extreme_greed') then 'extreme' else 'training' end as role from (select *, row_number() over (partition by channel order by date desc) as k from states) z where k <= 253""",
-    "m5_confirmed_supersedes": """, both_rows as (select date, close, 1 as phase from daily union all select date, close * 101e-2, 0 as phase from daily where pos % 2 = 0) select date, round(max_by(close, phase), 3) as close, cast(max(phase) as int) as phase from both_rows group by date""",
+    "m5_confirmed_supersedes": """, both_rows as (select date, close, 1 as phase from daily union all select date, close * 101e-2, 0 as phase from daily where pos % 2 = 0) select date, round(max_by(close, phase), 8) as close, cast(max(phase) as int) as phase from both_rows group by date""",
     "a7_range_scan": """select cast(o_orderdate as date) as date, o_orderkey, try_cast(o_totalprice as double) as price from orders where cast(o_orderdate as date) between date '1996-01-01' and date '1996-12-31' and o_totalprice is not null""",
     "a9_individual_flow": """select date, round(-8e-1 * return_1d * trading_value, 2) as individual_net_purchase from daily where return_1d is not null""",
     "a13_stock_fallback": """select p.p_partkey, coalesce(a.price, p.p_retailprice) as price, case when a.price is null then 'fallback' else 'history' end as source from part p left join (select l_partkey, round(max(l_extendedprice / nullif(l_quantity, 0)), 10) as price from lineitem where l_returnflag = 'R' group by l_partkey) a on a.l_partkey = p.p_partkey""",
