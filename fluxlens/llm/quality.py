@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from fluxlens.llm.common import by_texts, crc_of_id, sliced, small_batches, texts_of, written
+from fluxlens.llm.common import by_texts, crc_of_id, quoted, sliced, small_batches, texts_of, written
 
 #: Buckets (a power of two) that n-grams are hashed to.
 BUCKETS = 1 << 18
@@ -162,7 +163,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, fit_rows: int = 4000, fit
     held = np.cumsum([r["bytes"] for r in sizes])
     if len(held) and held[-1] > fit_bytes:
         last = sizes[max(0, int(np.searchsorted(held, fit_bytes, side="right")) - 1)]
-        made = made.where(F.struct("h", "doc_id") <= F.struct(F.lit(last["h"]), F.lit(last["doc_id"])))
+        made = made.where(F.struct("h", "doc_id") <= F.struct(F.lit(last["h"]).cast("long").alias("h"), F.lit(last["doc_id"]).cast(kind).alias("doc_id")))
     found = made.orderBy("h", "doc_id").collect()
     return train([np.frombuffer(r["features"], "<i4") for r in found], np.array([int(r["label"] > 0) for r in found], np.int64))
 
@@ -187,11 +188,13 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
 def good_documents(docs: DataFrame, model: Model, *, least: float = 0.5) -> DataFrame:
     """The rows whose text scores at least so much, as they are, with all their columns, of whatever name and type."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    boxed = docs.select("text", F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("box"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
-        for batch in sliced(batches, text=at):
-            yield batch.filter(pa.array([shared.value.score(features(t)) >= least for t in texts_of(batch, at)], pa.bool_()))
+        for batch in sliced(batches, text=0):
+            good = batch.filter(pa.array([shared.value.score(features(t)) >= least for t in texts_of(batch, 0)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([good.column(1)], names=["box"])
 
-    return small_batches(docs).mapInArrow(keep, docs.schema)
+    kept = small_batches(boxed).mapInArrow(keep, StructType([boxed.schema["box"]]))
+    return kept.select(*[F.col(f"box.{quoted(c)}").alias(c) for c in docs.columns])

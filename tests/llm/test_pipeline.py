@@ -118,13 +118,13 @@ def odd(spark, sf_dir):
     copies = base.where("doc_id < 5")
     docs = base.unionByName(more).unionByName(copies).unionByName(copies)
     clashing = {c: F.lit(k) for k, c in enumerate(("score", "predicted", "label", "row", "__row", "keys", "box", "rest", "n_lines", "n_dropped", "kept_sha256", "size", "sid", "start", "length", "h", "epoch", "_"))}
-    return docs.withColumns(clashing).withColumn("tags", F.create_map(F.lit("a"), F.col("n_chars"))).withColumn("odd `name`, dear", F.lit("x")).cache()
+    return docs.withColumns(clashing).withColumn("tags", F.create_map(F.lit("a"), F.col("n_chars"))).withColumn("odd `name`, dear", F.lit("x")).withColumn("a.b", F.lit("y")).cache()
 
 
 @pytest.mark.parametrize("name", ["quality", "lines", "near_duplicates", "mixing"])
 def test_stages_keep_odd_columns(spark, sf_dir, odd, name):
     out = written(STAGES[name](spark, odd, sf_dir).withColumnRenamed("odd `name`, dear", "odd"), name)
-    assert out.columns == [c if c != "odd `name`, dear" else "odd" for c in odd.columns] and isinstance(out.schema["tags"].dataType, T.MapType)
+    assert out.columns == [c if c != "odd `name`, dear" else "odd" for c in odd.columns] and "a.b" in out.columns and isinstance(out.schema["tags"].dataType, T.MapType)
     rows = out.collect()
     assert rows and all(r["score"] == 0 and r["__row"] == 4 and r["odd"] == "x" and r["tags"]["a"] is not None for r in rows if r["doc_id"] is not None and r["doc_id"] < 60)
     if name == "near_duplicates":
@@ -132,10 +132,10 @@ def test_stages_keep_odd_columns(spark, sf_dir, odd, name):
 
 
 def test_packing_of_odd_columns(spark, sf_dir, odd):
-    found = STAGES["packing"](spark, odd.drop("odd `name`, dear"), sf_dir).collect()
+    found = STAGES["packing"](spark, odd.drop("odd `name`, dear", "a.b"), sf_dir).collect()
     assert sum(r["start"] == 0 for r in found) == odd.count()
 
 
 @pytest.mark.parametrize("name", list(STAGES))
 def test_empty_tables(spark, sf_dir, odd, name):
-    assert STAGES[name](spark, odd.drop("odd `name`, dear").limit(0), sf_dir).count() == 0
+    assert STAGES[name](spark, odd.drop("odd `name`, dear", "a.b").limit(0), sf_dir).count() == 0
