@@ -232,15 +232,15 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: float = 25
 
     def search(batches):
         for batch in batches:
-            for pages, queries in zip(batch.column(0), batch.column(1)):
+            for length, number, pages, queries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 tree, block = MTree.unpacked(pages.as_py()), np.load(io.BytesIO(queries.as_py()))
                 ids, own = block["ids"], block["vectors"]
                 scores, found, count = tree.search(own, ids, k)
                 at = np.flatnonzero(np.arange(k) < count[:, None])
-                # Queries of one id and several vectors are told apart by their vectors.
-                names = np.array([hash(tuple(v)) for v in own.tolist()], np.int64)
-                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(ids, k)[at], "query": np.repeat(names, k)[at], "vec_id": found.ravel()[at], "score": scores.ravel()[at]})
+                # Queries of one id and several vectors are told apart by their places in the blocks.
+                place = np.repeat(np.arange(len(ids)), k)[at]
+                yield pa.RecordBatch.from_pydict({"length": pa.array(np.full(len(at), length, np.int32)), "block": np.full(len(at), number, np.int64), "place": place, "query_id": np.repeat(ids, k)[at], "vec_id": found.ravel()[at], "score": scores.ravel()[at]})
 
-    found = pairs.select("pages", "queries").mapInArrow(search, "query_id long, query long, vec_id long, score long")
-    order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
+    found = pairs.select("length", "block", "pages", "queries").mapInArrow(search, "length int, block long, place long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("length", "block", "place").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
