@@ -274,7 +274,8 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, *, first_tokens: int = 4_000_00
     if not vocabulary.tokens:
         return parameters
     parts = max(1, vocabulary.tokens // first_tokens)
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0).coalesce(1)
+    # All tasks look for those texts; one then reads what they have found.
+    some = written(docs.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0).select("text"), "first-texts").coalesce(1)
     for name, texts, rate in (("first", some, rates[0]), ("all", docs, rates[1])):
         shared = spark.sparkContext.broadcast((vocabulary, parameters.flat()))
 
