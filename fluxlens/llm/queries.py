@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxlens.llm import lines, lm, media, mixing, mtree, neardup, packing, passages, quality, tokens
+from fluxlens.llm import fim, lines, lm, media, mixing, mtree, neardup, packing, passages, quality, tokens, toxicity, whitening
 from fluxlens.llm.common import crc_of_id
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -137,9 +137,52 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), capacity=2048, end_id=1)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.component_rows(vectors, whitening.fit_whitening(vectors, k=32, scale=64.0, shift=1_000_000))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fill_in_middle(table(spark, sf_dir, "documents"), seed="1", plain_percent=10, spm_percent=20).drop("runs")
+
+
+OP12_SQL = r"""
+with drawn as (
+  select doc_id, coalesce(text, '') as t, cast(length(coalesce(text, '')) as bigint) as n,
+         sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h
+  from documents
+), numbers as (
+  select *, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2,
+         cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4
+  from drawn
+), cut as (
+  select *, least(h1 % (n + 1), h2 % (n + 1)) as low, greatest(h1 % (n + 1), h2 % (n + 1)) as high,
+         case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain'
+              when h4 % 100 < 20 then 'spm' else 'psm' end as form
+  from numbers
+), parts as (
+  select *, substring(t, 1, low) as prefix, substring(t, low + 1, high - low) as middle, substring(t, high + 1) as suffix
+  from cut
+)
+select doc_id, n, form,
+       case when form <> 'plain' then cast(low as bigint) end as prefix_chars,
+       case when form <> 'plain' then cast(high - low as bigint) end as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+       sha256(t) as restored_sha256
+from parts
+"""
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), fit_rows=6000, held_out_part=1, parts=3)
+    return toxicity.score_toxicity(docs, model, least=0.7).select("doc_id", (crc_of_id() % 3 == 1).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_top_k, op2_mixing, op3_token_counts, op4_minhash, op5_substring_dedup, op6_media_columns, op7_line_dedup, op8_lm_scoring, op9_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_top_k, op2_mixing, op3_token_counts, op4_minhash, op5_substring_dedup, op6_media_columns, op7_line_dedup, op8_lm_scoring, op9_quality, op10_packing, op11_whitening, op12_fill_in_middle, op13_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_top_k": OP1_SQL, "op4_minhash": OP4_SQL, "op7_line_dedup": OP7_SQL}
+    return {"op1_top_k": OP1_SQL, "op4_minhash": OP4_SQL, "op7_line_dedup": OP7_SQL, "op12_fill_in_middle": OP12_SQL}

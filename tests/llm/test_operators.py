@@ -340,6 +340,14 @@ def test_top_k(spark):
     assert mtree.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_one_id_with_two_vectors(spark):
+    # Whole components of -1 and -2, which Python's hash takes for equal.
+    data = [(0, [-0.5 / 256, 0.5]), (0, [-1.5 / 256, 0.5]), *[(k, [k / 64, -k / 32]) for k in range(1, 9)]]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("length", F.lit("clash")).withColumn("block", F.lit(1))
+    found = mtree.top_k(df, F.col("vec_id") == 0).collect()
+    assert sorted((r["query_id"], r["rank"]) for r in found) == [(0, k) for k in (1, 1, 2, 2, 3, 3, 4, 4, 5, 5)]
+
+
 def test_quality(spark, docs, empty):
     rng = np.random.default_rng(5)
     good = [(k, prose(100 + k, 40)) for k in range(90)]
@@ -353,6 +361,7 @@ def test_quality(spark, docs, empty):
     turned = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("quality")).otherwise(F.col("quality")))
     assert {r["doc_id"]: r["score"] for r in quality.score_quality(df, quality.fit_quality(df, turned)).collect()} == {d: r["score"] for d, r in found.items()}
     assert quality.score_quality(empty, quality.fit_quality(empty, labels.limit(0))).count() == 0
+    assert quality.score_quality(df, quality.fit_quality(df, labels, fit_bytes=20_000)).count() == df.count()
     assert rng is not None
 
 
