@@ -181,9 +181,11 @@ class Scorer:
 def choose(rows: list[np.ndarray], label: np.ndarray, most: int, least: int = 3) -> np.ndarray:
     """The ``most`` features of the largest likelihood ratio between the classes, of those in ``least`` texts or more."""
     n = np.array([(label == y).sum() for y in (0, 1)], float)
-    count = [np.bincount(np.concatenate([x for x, own in zip(rows, label) if own == y]), minlength=2 * BUCKETS) for y in (0, 1)]
-    some = np.flatnonzero(count[0] + count[1] >= least)
-    c = np.stack([count[0][some], count[1][some]]).astype(float)
+    count = np.zeros((2, 2 * BUCKETS), np.int32)
+    for own, y in zip(rows, label):  # a row's features differ
+        count[y, own] += 1
+    some = np.flatnonzero(count.sum(axis=0) >= least)
+    c = count[:, some].astype(float)
     share = c.sum(axis=0) / n.sum()
 
     def told(k: np.ndarray, size: float) -> np.ndarray:
@@ -217,8 +219,12 @@ def train(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, swapped
     chosen = choose(rows, label, most)
     if not len(chosen):
         return Model(chosen, np.empty(0), offset)
-    x, d = _dense(rows, chosen), _dense(swapped, chosen, True)
-    x, d = np.column_stack([x, np.ones(len(x), np.float32)]), d[np.abs(d).sum(axis=1) > 0]
+    x, squares = np.ones((len(rows), len(chosen) + 1), np.float32), np.zeros((len(chosen), len(chosen)), np.float32)
+    for k in range(0, len(rows), 1000):
+        x[k : k + 1000, :-1] = _dense(rows[k : k + 1000], chosen)
+    for k in range(0, len(swapped), 1000):  # a swap changes few features: only their products are kept
+        d = _dense(swapped[k : k + 1000], chosen, True)
+        squares += d.T @ d
     share, sign = (weight / weight.sum()).astype(np.float32), np.where(label == 1, 1, -1).astype(np.float32)
     punish = fairness / max(1, len(swapped))
     at = np.zeros(x.shape[1], np.float32)
@@ -227,14 +233,14 @@ def train(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, swapped
     v = np.ones(x.shape[1], np.float32)
     for _ in range(20):
         u = x.T @ (share * (x @ v)) / 4
-        u[:-1] += punish * (d.T @ (d @ v[:-1])) + ridge * v[:-1]
+        u[:-1] += punish * (squares @ v[:-1]) + ridge * v[:-1]
         top = float(np.linalg.norm(u))
         v = u / max(top, 1e-30)
     step, ahead, t = 0.9 / max(top, 1e-12), at.copy(), 1.0
     for _ in range(steps):
         margin = sign * (x @ ahead)
         g = -(x.T @ (share * sign / (1 + np.exp(np.clip(margin, -60, 60)))))
-        g[:-1] += punish * (d.T @ (d @ ahead[:-1])) + ridge * ahead[:-1]
+        g[:-1] += punish * (squares @ ahead[:-1]) + ridge * ahead[:-1]
         new = ahead - step * g
         new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - step * sparse, 0)
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
