@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from fluxlens.operators import chains
+from fluxlens.sources.landing import stored
 
 HORIZONS = (1, 5, 10, 20)
 
@@ -19,13 +28,11 @@ def extreme_entries(signals: DataFrame) -> DataFrame:
 def non_overlapping(events: DataFrame, horizon: int = 20) -> DataFrame:
     """Greedily keeps events that start after the last kept one's horizon, by channel.
 
-    Whether an event is kept depends on the one kept before it, so positions
-    of a channel are folded in order; events are few."""
-    keep = F.aggregate(
-        F.array_sort(F.collect_list("position")), F.array().cast("array<int>"),
-        lambda kept, p: F.when((F.size(kept) == 0) | (p >= F.element_at(kept, -1) + horizon + 1), F.array_append(kept, p)).otherwise(kept),
-    )
-    chosen = events.groupBy("channel").agg(keep.alias("kept")).select("channel", F.explode("kept").alias("position"))
+    Whether an event is kept depends on the one kept before it; see
+    :mod:`fluxlens.operators.chains`.
+    """
+    events = stored(events, "events")
+    chosen = chains.greedy(events, ["channel"], "position", horizon + 1)
     return events.join(chosen, ["channel", "position"], "left_semi")
 
 
@@ -101,24 +108,34 @@ def bootstrap(values: DataFrame, keys: list[str], *, samples: int = 10_000, seed
     Values stand in the order of their dates; blocks are about the root of
     their number long, and the last of a sample is cut so that it has as many
     values.  Where a block starts is the hash of seed, keys, sample and block,
-    so every engine and every rerun draws alike.  Sums of blocks are
-    differences of running sums.  A study's events are few hundreds.
+    so every engine and every rerun draws alike.  A study's events are few
+    hundreds; their running sums are held once, and the draws are differences
+    of them.
     """
     if method not in ("iid", "moving_block"):
         raise ValueError("method is 'iid' or 'moving_block'")
-    n = F.size("v")
-    length = F.lit(1) if method == "iid" else F.least(n, F.lit(block) if block else F.greatest(F.lit(2), F.round(F.sqrt(n)).cast("int")))
-    rows = values.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("date", "value"))), lambda x: x["value"]).alias("v"))
-    running = F.aggregate(F.concat("v", "v"), F.array(F.lit(0.0)), lambda sums, x: F.array_append(sums, F.element_at(sums, -1) + x))
-    rows = rows.select(*keys, n.alias("n"), length.alias("length"), running.alias("sums")).withColumn("blocks", F.ceil(F.col("n") / F.col("length")).cast("int"))
-    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    name = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("draw").cast("string"))
-
-    def total(k):
-        start = F.pmod(F.conv(F.substring(F.md5(F.concat(name, F.lit(":"), k.cast("string"))), 1, 8), 16, 10).cast("bigint"), F.col("n")).cast("int")
-        here = F.least(F.col("length"), F.col("n") - k * F.col("length"))
-        return F.get(F.transform(F.array(start), lambda at: F.get("sums", at + here) - F.get("sums", at)), F.lit(0))
-
-    mean = F.aggregate(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), total), F.lit(0.0), lambda a, b: a + b) / F.col("n")
-    found = drawn.withColumn("m", mean).groupBy(*keys).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-    return found
+    name = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    rows = values.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("date", "value"))).getField("value").alias("v"), F.first(name).alias("name"))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [interval(np.array(v, float), n, samples, 1 if method == "iid" else block) for v, n in zip(batch.column("v").to_pylist(), batch.column("name").to_pylist())]
+            ends = [pa.array([x[k] for x in found], pa.float64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *ends], names=["of", "low", "high"])
+
+    boxed = rows.select(F.struct(*keys).alias("of"), "v", "name")
+    found = boxed.mapInArrow(draw, StructType([boxed.schema["of"], StructField("low", DoubleType()), StructField("high", DoubleType())]))
+    return found.select(*[F.col("of").getField(k).alias(k) for k in keys], "low", "high")
+
+
+def interval(values: np.ndarray, name: str, samples: int, block: int | None) -> tuple[float, float]:
+    """Bounds of the middle 95 % of the means of so many samples, each of blocks of the values in a circle."""
+    n = len(values)
+    length = min(n, block or max(2, int(np.floor(np.sqrt(n) + 0.5))))
+    blocks = -(-n // length)
+    sums = np.append(0.0, np.cumsum(np.concatenate([values, values])))
+    starts = np.array([[int(hashlib.md5(f"{name}:{d}:{k}".encode()).hexdigest()[:8], 16) % n for k in range(blocks)] for d in range(samples)])
+    here = np.minimum(length, n - np.arange(blocks) * length)
+    means = (sums[starts + here] - sums[starts]).sum(axis=1) / n
+    low, high = np.quantile(means, (0.025, 0.975))
+    return float(low), float(high)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxlens.functions import states
-from fluxlens.operators import regression
+from fluxlens.operators import regression, selection
 
 #: Fields of a signal that are put beside a day, in order.
 FIELDS = ("alpha", "beta", "rolling_r2", "residual", "residual_z", "percentile", "state", "quality", "training_count", "trade_eligible", "expected_flow", "fit_method", "fit_score")
@@ -59,7 +59,7 @@ def channel_signals(frame: DataFrame, value: str, *, method: str = "ols", **opti
     back as unavailable with quality 'missing'.
     """
     observed = frame.select(F.lit(value).alias("channel"), "date", "return_1d", F.col(value).alias("flow_share"))
-    run = {"ols": regression.rolling_signals, "huber": regression.rolling_huber_signals}[method]
+    run = {"ols": selection.rolling_signals, "huber": regression.rolling_huber_signals}[method]
     found = run(observed, **options).withColumn("expected_flow", F.col("flow_share") - F.col("residual")).withColumn("fit_method", F.lit(method))
     found = found.withColumn("fit_score", F.col("rolling_r2") if method == "ols" else F.col("fit_score"))
     filled = {"state": F.coalesce("state", F.lit("unavailable")), "quality": F.coalesce("quality", F.lit("missing")), "training_count": F.coalesce("training_count", F.lit(0)), "trade_eligible": F.coalesce("trade_eligible", F.lit(False)), "fit_method": F.lit(method)}
@@ -101,9 +101,7 @@ def disparity_filter(signals: DataFrame, frame: DataFrame, *, lookback: int = 75
     ``signals``: date, state, trade_eligible.  The quantile needs as many days
     with a disparity; other states pass as they are.
     """
-    past = _sessions().rowsBetween(-lookback, -1)
-    limit = F.when(F.count("disparity50").over(past) == lookback, F.percentile("disparity50", F.lit(quantile)).over(past))
-    limits = frame.select("date", "disparity50", limit.alias("disparity_limit"))
+    limits = selection.sliding_quantile(frame.select("date", "disparity50"), [], ["date"], "disparity50", "disparity_limit", lookback=lookback, quantile=quantile)
     allowed = F.coalesce(F.col("disparity50") <= F.col("disparity_limit"), F.lit(False))
     kept = F.col("trade_eligible") & ((F.col("state") != "extreme_fear") | allowed)
     return signals.join(limits, "date").withColumn("disparity_eligible", kept)

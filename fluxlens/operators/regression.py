@@ -75,7 +75,8 @@ def rolling_signals(obs: DataFrame, *, window: int = 252, least: int = 200, mini
 def grade(scored: DataFrame, least: int, minimum_fit: float, tail: int) -> DataFrame:
     """Quality, percentile, state and eligibility of scored rows."""
     valid = (F.col("training_count") >= least) & F.col("b").isNotNull() & (F.col("mad") > 0)
-    percentile = F.when(valid, 100.0 * bound(F.col("residual"), lambda own: F.size(F.filter("residuals", lambda r: r <= own))) / F.size("residuals"))
+    ranked = F.col("rank") if "rank" in scored.columns else 100.0 * bound(F.col("residual"), lambda own: F.size(F.filter("residuals", lambda r: r <= own))) / F.size("residuals")
+    percentile = F.when(valid, ranked)
     good = (F.col("b") < 0) & (F.col("fit") >= minimum_fit)
     quality = (
         F.when(F.col("training_count") < least, "insufficient_history").when(F.col("b").isNull(), "invalid_regression")
@@ -87,7 +88,7 @@ def grade(scored: DataFrame, least: int, minimum_fit: float, tail: int) -> DataF
         *([F.when(valid, F.col("weighted_fit")).alias("fit_score")] if "weighted_fit" in scored.columns else []),
         F.when(valid, F.col("residual")).alias("residual"),
         F.when(valid, (F.col("residual") - F.col("center")) / (1.4826 * F.col("mad"))).alias("residual_z"),
-        percentile.alias("percentile"), classify(percentile, tail).alias("state"), quality.alias("quality"), (valid & good).alias("trade_eligible"), "residuals",
+        percentile.alias("percentile"), classify(percentile, tail).alias("state"), quality.alias("quality"), (valid & good).alias("trade_eligible"), *(["residuals"] if "residuals" in scored.columns else []),
     )
 
 

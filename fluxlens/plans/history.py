@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluxlens.functions import states
-from fluxlens.operators import events, frame, metrics, reconcile, refresh, regression, simulate
+from fluxlens.operators import events, frame, metrics, reconcile, refresh, regression, selection, simulate
 from fluxlens.plans import trading
 from fluxlens.plans.trading import rounded
 from fluxlens.sources import landing, market
@@ -36,7 +36,7 @@ def _frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regression.rolling_signals(market.observations(_daily(spark, sf_dir))).drop("residuals")
+    return selection.rolling_signals(market.observations(_daily(spark, sf_dir)))
 
 
 def b8_source_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,13 +81,13 @@ def d11_d13_analysis_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def d15_d17_parameter_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     lookback = 60
-    found = regression.rolling_signals(market.observations(_daily(spark, sf_dir)), window=lookback, least=states.minimum_observations(lookback), minimum_fit=0.4, tail=2)
+    found = selection.rolling_signals(market.observations(_daily(spark, sf_dir)), window=lookback, least=states.minimum_observations(lookback), minimum_fit=0.4, tail=2)
     return rounded(found.select("channel", "date", "percentile", "state", "quality", "trade_eligible"))
 
 
 def _studies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Extreme entries, all of them and those that don't overlap, and the forward returns of each asset."""
-    entries = events.extreme_entries(_signals(spark, sf_dir)).where("channel = 'main'")
+    entries = landing.stored(events.extreme_entries(_signals(spark, sf_dir)).where("channel = 'main'"), "entries")
     both = entries.withColumn("sample", F.lit("all")).unionByName(events.non_overlapping(entries, 20).withColumn("sample", F.lit("non_overlapping")))
     prices = market.prices(_daily(spark, sf_dir)).where(F.col("ticker").isin(*ASSETS))
     return both.select("sample", "date", "state"), events.forward_returns(prices).withColumnRenamed("ticker", "asset")

@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxlens.operators import regression
+from fluxlens.operators import selection
 from fluxlens.sources import market
 
 FORMS = {
@@ -260,6 +260,5 @@ def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     session.conf.set("spark.sql.session.timeZone", "UTC")
     for v in VIEWS:
         session.read.parquet(f"{sf_dir}/{v}.parquet").createOrReplaceTempView(v)
-    signals = regression.rolling_signals(market.observations(market.market_daily(session.table("orders"))))
-    signals.drop("residuals").createOrReplaceTempView("signals")
+    selection.rolling_signals(market.observations(market.market_daily(session.table("orders")))).createOrReplaceTempView("signals")
     return session.sql(text_of(name, 0))

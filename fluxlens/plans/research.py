@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluxlens.functions import states
-from fluxlens.operators import asof, events, reconcile, regression
+from fluxlens.operators import asof, events, reconcile, regression, selection
 from fluxlens.sources import landing, market
 from fluxlens.streaming import live
 
@@ -27,28 +27,32 @@ def _shipping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _signals(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    return regression.rolling_signals(market.observations(_daily(spark, sf_dir)), **options)
+    return selection.rolling_signals(market.observations(_daily(spark, sf_dir)), **options)
 
 
 def latest_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last twenty sessions of each channel, scored against their past."""
-    found = _signals(spark, sf_dir).drop("residuals")
+    found = _signals(spark, sf_dir)
     last = F.row_number().over(Window.partitionBy("channel").orderBy(F.desc("date")))
     rounded = [F.round(f.name, 8).alias(f.name) if f.dataType.simpleString() == "double" else F.col(f.name) for f in found.schema.fields]
     return found.withColumn("back", last).where("back <= 20").select(*rounded)
 
 
+#: Sessions of a part of a daily line: few, so that these lines of some thousands have several.
+PART = 512
+
+
 def c2_strict_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = _daily(spark, sf_dir).select(F.lit(1).alias("m"), "date")
     right = _shipping(spark, sf_dir).select(F.lit(1).alias("m"), "date", "price")
-    found = asof.strictly_before(left, right, by=["m"], on="date", values=["price"], stamp="price_date")
+    found = asof.strictly_before(left, right, by=["m"], on="date", values=["price"], stamp="price_date", rows=PART)
     return found.select("date", "price_date", F.round("price", 8).alias("price"))
 
 
 def c9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     days, known = _shipping(spark, sf_dir), _daily(spark, sf_dir)
     lone = days.join(known, "date", "left_anti").select(F.lit(1).alias("m"), "date")
-    found = asof.neighbours(lone, known.select(F.lit(1).alias("m"), "date", "close"), by=["m"], on="date", values=["close"])
+    found = asof.neighbours(lone, known.select(F.lit(1).alias("m"), "date", "close"), by=["m"], on="date", values=["close"], rows=PART)
     return found.select("date", F.round("before.close", 8).alias("close_before"), F.round("after.close", 8).alias("close_after"))
 
 
@@ -58,7 +62,7 @@ def e9_state_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = F.array_sort("residuals")
     low = lambda p: F.get(ordered, F.least(n - 1, F.floor(n * p / 100).cast("int")))
     high = lambda p: F.get(ordered, F.greatest(F.lit(0), (F.ceil(n * p / 100) - 1).cast("int")))
-    last = _signals(spark, sf_dir).where("percentile is not null").groupBy("channel").agg(F.max_by("residuals", "date").alias("residuals"))
+    last = regression.rolling_signals(market.observations(_daily(spark, sf_dir))).where("percentile is not null").groupBy("channel").agg(F.max_by("residuals", "date").alias("residuals"))
     return last.select("channel", *[F.round(f(p), 8).alias(f"at_{p}") for f, p in ((low, 5), (low, 20), (high, 80), (high, 95))])
 
 
@@ -72,7 +76,7 @@ def b13_b15_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def i2_non_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = events.non_overlapping(events.extreme_entries(_signals(spark, sf_dir).drop("residuals")), 20)
+    found = events.non_overlapping(events.extreme_entries(_signals(spark, sf_dir)), 20)
     return found.select("channel", "date", "state", F.col("position").cast("bigint").alias("position"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxlens.operators import events, metrics, regression, simulate
+from fluxlens.operators import events, metrics, selection, simulate
 from fluxlens.sources import market
 
 #: Pairs of funds: the one that follows the index and the one that goes against it.
@@ -37,7 +37,7 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both funds' bars of each pair and session, with the day's percentile and extreme entry."""
     daily = market.market_daily(_orders(spark, sf_dir))
-    signals = regression.rolling_signals(market.observations(daily)).where("channel = 'main'").drop("residuals")
+    signals = selection.rolling_signals(market.observations(daily)).where("channel = 'main'")
     entries = events.extreme_entries(signals).select("date", F.col("state").alias("entry"))
     prices = market.prices(daily)
     bars = None

@@ -7,13 +7,13 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxlens.plans import history, history_sql, portable, research, trading
+from fluxlens.plans import history, history_sql, ordered, portable, research, trading
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return research.QUERIES | trading.QUERIES | history.QUERIES | {name: partial(portable.run, name) for name in portable.QUERIES}
+    return research.QUERIES | trading.QUERIES | history.QUERIES | {name: partial(portable.run, name) for name in portable.QUERIES} | ordered.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

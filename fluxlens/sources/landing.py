@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +19,18 @@ def shared_folder(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return _own_folders.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="fluxlens-"))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read from there: worked out once, and not lost with an executor."""
+    path = f"{shared_folder(df.sparkSession)}/fluxlens/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_day_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of the ``OutBlock_1`` arrays of JSON day files; entries that are no objects are dropped."""
     files = spark.read.option("multiLine", True).schema(f"OutBlock_1 array<struct<{schema}>>").json(path)
