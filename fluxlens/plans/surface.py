@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fluxlens.functions import sql
 from fluxlens.operators import calendars, contract, selection
 from fluxlens.plans import ordered
-from fluxlens.sources import dayfiles, landing, market, records
+from fluxlens.sources import dayfiles, landing, market, records, versions
 from fluxlens.streaming import supersede
 
 #: Sessions that a batch of the stream brings.
@@ -151,6 +151,28 @@ def i1_entries_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _in_sql(spark, sf_dir, "select * from extreme_entries(table (select channel, date, state, trade_eligible from states) partition by channel order by date)")
 
 
+def k8_k12_refresh_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incremental runs over one published history: first, the same again, new days, a corrected day, a rewritten past, and a source that ends early."""
+    history = versions.History(spark, f"{landing.shared_folder(spark)}/fluxlens/history-{uuid.uuid4().hex}")
+    daily = landing.stored(_daily(spark, sf_dir).select("date", F.round("close", 6).alias("close")), "closes")
+    cut = daily.where("date <= date'2001-03-31'")
+    corrected = F.when(F.col("date") == "2001-04-08", F.col("close") + 1).otherwise(F.col("close"))
+    until = daily.where("date <= date'2001-04-10'")
+    runs = [
+        ("first", cut), ("again", cut), ("new_days", until.where("date >= date'2001-03-29'")), ("corrected", until.where("date >= date'2001-04-07'").withColumn("close", corrected)),
+        ("rewritten", until.withColumn("close", F.when(F.col("date") == "1999-05-05", 0.0).otherwise(corrected))),
+    ]
+    told = []
+    for name, rows in runs:
+        told.append((name, versions.refreshed(history, rows)))
+    told.append(("ends_early", history.publish(cut)))
+    rows = [(k, name, o.status, o.version, len(o.rewritten), len(o.days)) for k, (name, o) in enumerate(told)]
+    found = spark.createDataFrame(rows, "step int, name string, status string, version int, months_written int, days_changed int")
+    # What each version holds, read back.
+    held = reduce(DataFrame.unionByName, [history.read(v).agg(F.lit(v).alias("version"), F.count("*").alias("rows_held"), F.round(F.sum("close"), 4).alias("sum_close")) for v in history.versions()])
+    return found.join(held, "version").select("step", "name", "status", "version", "months_written", "days_changed", "rows_held", "sum_close")
+
+
 def m5_m6_session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Provisional, repeated, late and confirming rows of two funds, batch by batch."""
     base = f"{landing.shared_folder(spark)}/fluxlens/sessions-{uuid.uuid4().hex}"
@@ -170,7 +192,7 @@ def m5_m6_session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     a7_a11_day_files, a14_accepted_records, a14_refused_values, k15_contract_rules, e5_input_report, h1_union_jaccard, h2_difference, c6_common_calendar, c7_all_tickers_calendar, c8_missing_and_extra, h2_calendar_coverage,
-    b9_b11_states, b10_variable_tail, b12_triggers, f9_segments_in_sql, i1_entries_in_sql, m5_m6_session_stream,
+    b9_b11_states, b10_variable_tail, b12_triggers, f9_segments_in_sql, i1_entries_in_sql, k8_k12_refresh_runs, m5_m6_session_stream,
 )}
 
 _FUNDS_SEEN = "select ticker || '|' || cast(date as varchar) as key, *, lag(close) over (partition by ticker order by date) as close_before, lag(date) over (partition by ticker order by date) as date_before from funds"
@@ -221,6 +243,14 @@ SQL = {
     "f9_segments_in_sql": """, c as (select *, case when lag(state) over (partition by channel order by date) = state then 0 else 1 end as changed from states), s as (select *, sum(changed) over (partition by channel order by date rows between unbounded preceding and current row) as segment from c)
         select channel, cast(segment as bigint) as segment, state, min(date) as first_date, max(date) as last_date, count(*) as sessions from s group by channel, segment, state""",
     "i1_entries_in_sql": """select channel, date, state, cast(position as bigint) as position from entries""",
+    "k8_k12_refresh_runs": """, c as (select date, round(close, 6) as close from daily), v as (
+          select 1 as version, count(*) as rows_held, round(sum(close), 4) as sum_close from c where date <= date '2001-03-31'
+          union all select 2, count(*), round(sum(close), 4) from c where date <= date '2001-04-10'
+          union all select 3, count(*), round(sum(close + case when date = date '2001-04-08' then 1 else 0 end), 4) from c where date <= date '2001-04-10'),
+        m as (select count(distinct strftime(date, '%Y-%m')) as months from c where date <= date '2001-03-31'), n as (select count(*) as days from c where date > date '2001-03-31' and date <= date '2001-04-10'),
+        s as (select 0 as step, 'first' as name, 'published' as status, 1 as version, months as months_written, 0 as days_changed from m union all select 1, 'again', 'unchanged', 1, 0, 0
+          union all select 2, 'new_days', 'published', 2, 1, days from n union all select 3, 'corrected', 'published', 3, 1, 1 union all select 4, 'rewritten', 'frozen_changed', 3, 0, 1 union all select 5, 'ends_early', 'date_regression', 3, 0, 0)
+        select step, name, status, s.version, cast(months_written as int) as months_written, cast(days_changed as int) as days_changed, rows_held, sum_close from s join v on v.version = s.version""",
     "m5_m6_session_stream": f""", p as (select ticker, date, close, row_number() over (partition by ticker order by date) - 1 as pos from funds where ticker <> 'IDX'),
         r as (select ticker, date, close * 101e-2 as close, 0 as phase, pos // {BATCH} as batch from p union all select ticker, date, close, 1, pos // {BATCH} + case when pos % 7 = 0 then 1 else 0 end from p where pos % 3 <> 0
           union all select ticker, date, close * 102e-2, 0, pos // {BATCH} + 1 from p where pos % 5 = 0),
