@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +73,19 @@ def attached(frame: DataFrame, signals: DataFrame, prefix: str) -> DataFrame:
     return frame.join(signals.select("date", *[F.col(c).alias(f"{prefix}_{c}") for c in FIELDS]), "date", "left")
 
 
+def participant_signals(frame: DataFrame, participants: tuple[str, ...], **options) -> DataFrame:
+    """Signals of other traders' net purchases as a share of the trading value: channel, date and fields.
+
+    Participants that the table has no column of are left out.
+    """
+    there = [n for n in participants if f"{n}_net_purchase" in frame.columns]
+    shares = [frame.withColumn("share", F.try_divide(F.col(f"{n}_net_purchase"), F.col("trading_value"))) for n in there]
+    found = [channel_signals(s, "share", **options).withColumn("channel", F.lit(n)) for n, s in zip(there, shares)]
+    if not found:
+        raise ValueError("none of the participants has a column")
+    return reduce(DataFrame.unionByName, found).select("channel", "date", *FIELDS)
+
+
 def analysis_frame(prices: DataFrame, flows: DataFrame, participants: tuple[str, ...] = (), **options) -> DataFrame:
     """Features with the robust, scaled and raw signals, their agreement and confidence.
 
@@ -83,8 +98,7 @@ def analysis_frame(prices: DataFrame, flows: DataFrame, participants: tuple[str,
         out = attached(out, channel_signals(frame, value, method=method, **options), prefix)
     for name in participants:
         if f"{name}_net_purchase" in frame.columns:
-            share = frame.withColumn("share", F.try_divide(F.col(f"{name}_net_purchase"), F.col("trading_value")))
-            out = attached(out, channel_signals(share, "share", **options), name)
+            out = attached(out, participant_signals(frame, (name,), **options), name)
     scaled, raw = [(F.col(f"{p}_state"), F.col(f"{p}_trade_eligible")) for p in ("scaled", "raw")]
     three = [(F.col(f"{p}_state"), F.col(f"{p}_trade_eligible")) for p in ("robust", "scaled", "raw")]
     return (

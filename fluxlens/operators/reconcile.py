@@ -51,6 +51,57 @@ def anchors(primary: DataFrame, secondary: DataFrame, *, expected: str | None =
         F.when(~usable, "unavailable").when(F.col("over") > 0, "mismatch").otherwise("ok").alias("state"), F.coalesce(reason, F.when(F.col("over") > 0, "historical_anchor_difference_exceeded")).alias("reason"))
 
 
+def combined(primary: DataFrame, secondary: DataFrame, *, expected: str, tolerance: float = 0.005, zone: str | None = None) -> DataFrame:
+    """By ticker: agreement on the latest close and on six anchors, both of what was known at the end of the expected day.
+
+    Times become days (in ``zone``, where they are instants) before anything
+    is compared.  The anchors are told beside the latest check, and never
+    change its state.
+    """
+    sides = [as_of(p, expected, zone=zone) for p in (primary, secondary)]
+    latest = latest_close(*sides, tolerance=tolerance)
+    # A last day before the expected one can't be checked.
+    on_day = F.when(F.col("date") == F.lit(expected).cast("date"), F.col("state")).otherwise("unavailable")
+    past = anchors(*sides, expected=expected, count=6, least=3, tolerance=tolerance)
+    told = past.select("ticker", "anchors", "mismatches", F.col("widest").alias("anchor_gap"), F.col("state").alias("anchor_state"), F.col("reason").alias("anchor_reason"))
+    return latest.select("ticker", "date", "gap", on_day.alias("state")).join(told, "ticker", "full")
+
+
+def as_of(prices: DataFrame, cutoff: str, *, zone: str | None = None, on: str = "date") -> DataFrame:
+    """Rows up to the cutoff day; instants become days of the zone first."""
+    day = F.to_date(F.from_utc_timestamp(on, zone)) if zone else F.to_date(on)
+    return prices.withColumn(on, day).where(F.col(on) <= F.lit(cutoff).cast("date"))
+
+
+def finite_rows(df: DataFrame, fields: list[str], *, end: str, on: str = "date") -> DataFrame:
+    """Rows up to the end day whose named fields are all finite numbers; a field that isn't numeric, truth values included, has none."""
+    kinds = dict(df.dtypes)
+    numeric = ("double", "float", "tinyint", "smallint", "int", "bigint")
+    met = F.col(on) <= F.lit(end).cast("date")
+    for c in fields:
+        value = F.col(c).cast("double") if kinds[c] in numeric or kinds[c].startswith("decimal") else F.lit(None).cast("double")
+        met = met & value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+    return df.where(met)
+
+
+def chosen_source(history: DataFrame, recent: DataFrame, expected: DataFrame, *, tolerance: float = 0.005) -> tuple[DataFrame, DataFrame]:
+    """Prices of one source a ticker, and why: (ticker, date, close, source), (ticker, source, reason).
+
+    The history, unless it has no row of the ticker, or disagrees with the
+    recent source on that one's last day; then the recent source, whole.
+    ``expected`` has the tickers; one that neither source has gets no prices
+    and the source 'none'.
+    """
+    there = lambda df, name: df.groupBy("ticker").agg(F.count("*").alias(name))
+    agrees = latest_close(recent, history, tolerance=tolerance).select("ticker", F.col("state").alias("check"))
+    known = expected.join(there(history, "old"), "ticker", "left").join(there(recent, "new"), "ticker", "left").join(agrees, "ticker", "left")
+    source = F.when(F.col("old").isNull() & F.col("new").isNull(), "none").when(F.col("old").isNull() | (F.col("check") != "ok"), "recent").otherwise("history")
+    reason = F.when(F.col("old").isNull(), "history_unavailable").when(F.col("check") != "ok", "provider_disagreement")
+    told = known.select("ticker", source.alias("source"), reason.alias("reason"))
+    both = history.select("ticker", "date", "close", F.lit("history").alias("source")).unionByName(recent.select("ticker", "date", "close", F.lit("recent").alias("source")))
+    return both.join(told.select("ticker", "source"), ["ticker", "source"], "left_semi"), told
+
+
 def repair_gaps(official: DataFrame, adjusted: DataFrame, *, tolerance: float = 0.005) -> DataFrame:
     """Fills official sessions that the adjusted history lacks.
 

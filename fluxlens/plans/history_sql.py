@@ -142,6 +142,11 @@ def _r(digits: int, *names: str) -> str:
     return ", ".join(f"round({n}, {digits}) as {n.split('.')[-1]}" for n in names)
 
 
+def _z(digits: int, **names: str) -> str:
+    """As ``_r`` under given names; a negative zero becomes zero."""
+    return ", ".join(f"round({v}, {digits}) + 0e0 as {n}" for n, v in names.items())
+
+
 _POSITION = trading.walk_sql(trading.scenarios(costs=(10,), exits=(80,), policies=("long_cash", "long_inverse_cash"), pairs=("1x",)))
 
 SQL = {
@@ -152,7 +157,15 @@ SQL = {
     "d2_d8_huber_signals": huber_sql("obs") + " select channel, date, training_count, state, quality, trade_eligible, " + _r(7, "return_1d", "flow_share", "alpha", "beta", "rolling_r2", "fit_score", "residual", "residual_z", "percentile") + " from hubers",
     "d11_d13_analysis_frame": _FRAME + " select date, " + _r(7, "close", "return_1d", "flow_share", "disparity50", "mdd252", "robust_percentile", "scaled_percentile", "raw_percentile", "robust_fit_score", "scaled_expected_flow") + ", "
         + ", ".join(f"{p}_{c}" for p in ("robust", "scaled", "raw") for c in ("state", "quality", "training_count", "trade_eligible")) + ", direction_agreement, trigger_agreement, model_confidence, primary_confidence from framed_days",
-    "b17_b18_snapshot": None,
+    "b17_b18_snapshot": _FEATURES + _CHANNELS + _ROBUST + ", told as (" + " union all ".join(
+        f"select date, {m} as model, alpha, beta, rolling_r2, residual, residual_z, percentile, state, quality, training_count, trade_eligible, flow_share - residual as expected_flow, '{f}' as fit_method, {s} as fit_score from {t}"
+        for m, f, s, t in (("'robust'", "huber", "fit_score", "hubers"), ("channel", "ols", "rolling_r2", "signals_f")))
+        + ") select date, model, state, quality, training_count, trade_eligible, fit_method, " + _z(6, **{c: c for c in ("alpha", "beta", "rolling_r2", "residual", "residual_z", "percentile", "expected_flow", "fit_score")}) + " from told where date = (select max(date) from featured)",
+    "l2_history_rows": _FRAME + _LIMITS + _POSITION + " select f.date, " + _z(6, close="f.close", return_1d="f.return_1d", flow_share="f.flow_share", disparity50="f.disparity50", mdd252="f.mdd252", expected="robust_expected_flow", residual="robust_residual",
+        residual_z="robust_residual_z", percentile="robust_percentile", rolling_r2="robust_rolling_r2", fit_score="robust_fit_score", scaled_percentile="scaled_percentile", raw_percentile="raw_percentile",
+        L1_open="x.o", L1_close="x.c", S1_open="x.oo", S1_close="x.oc", L2_open="y.o", L2_close="y.c", S2_open="y.oo", S2_close="y.oc") + """, robust_state as state, robust_quality as quality, robust_trade_eligible as trade_eligible, scaled_state, scaled_trade_eligible, raw_state, raw_trade_eligible,
+        raw_trade_eligible and not (raw_state = 'extreme_fear' and not coalesce(l.disparity50 <= l.disparity_limit, false)) as disparity_eligible, direction_agreement, trigger_agreement, source_hash, coalesce(p.position, 'unavailable') as position
+        from framed_days f join limited l on l.date = f.date left join path p on p.scenario_id = '1x-long_cash-10-80' and p.date = f.date left join bars x on x.pair = '1x' and x.date = f.date left join bars y on y.pair = '2x' and y.date = f.date""",
     "d15_d17_parameter_signals": ", chosen_obs as (select * from obs" + signals_sql("chosen_obs", "_p", window=60, least=48, fit="4e-1", tail=2) + ") select channel, date, round(percentile, 8) as percentile, state, quality, trade_eligible from signals_p",
     "e4_bootstrap": _STUDY + ", own as (select c.date, c.state, a.horizon, a.value from chosen c join ahead a on a.date = c.date and a.asset = 'IDX' where c.sample = 'all')" + _bootstrap("own", ("state", "horizon"), "mb") + _bootstrap("own", ("state", "horizon"), "ii", "iid")
         + " select state, horizon, " + _r(7, "low", "high") + ", 'moving_block' as method from mb union all select state, horizon, " + _r(7, "low", "high") + ", 'iid' from ii",

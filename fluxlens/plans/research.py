@@ -106,12 +106,12 @@ def k9_k12_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a16_a17_columnar_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows as arrays under hoisted column names, written as JSON text and decoded again."""
-    daily = _daily(spark, sf_dir)
-    encoded = daily.select(F.to_json(F.struct(F.array(F.lit("date"), F.lit("close"), F.lit("trading_value")).alias("seriesColumns"), F.array(F.col("date").cast("string"), F.round("close", 8).cast("string"), F.round("trading_value", 8).cast("string")).alias("row"))).alias("document"))
-    decoded = encoded.select(F.from_json("document", "seriesColumns array<string>, row array<string>").alias("d")).where("size(d.seriesColumns) = size(d.row)")
-    fields = F.map_from_arrays("d.seriesColumns", "d.row").alias("m")
-    return decoded.select(fields).select(F.to_date(F.col("m")["date"]).alias("date"), F.col("m")["close"].cast("double").alias("close"), F.col("m")["trading_value"].cast("double").alias("trading_value"))
+    """Rows as arrays under hoisted column names, written as JSON text, a document a month, and decoded again."""
+    names, rows = landing.encode_columns(_daily(spark, sf_dir).select("close", "trading_value", "date"), ["date", "close"])
+    columns = F.array(*[F.lit(n) for n in names]).alias("seriesColumns")
+    documents = rows.groupBy(F.substring(F.get("row", F.lit(0)), 1, 7).alias("month")).agg(F.to_json(F.struct(columns, F.collect_list("row").alias("rows"))).alias("document"))
+    read = documents.select(F.from_json("document", "seriesColumns array<string>, rows array<array<string>>").alias("d")).where(F.col("d.seriesColumns") == columns)
+    return landing.decode_columns(read.select(F.explode("d.rows").alias("row")), names, {"date": "date", "close": "double", "trading_value": "double"})
 
 
 def m1_m4_live_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

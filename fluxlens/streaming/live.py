@@ -22,6 +22,10 @@ def in_capture_window(observed: Column, day: Column, zone: str = "Asia/Seoul") -
 def score_live(rows: DataFrame, fits: DataFrame, *, continuity: float = 0.005) -> DataFrame:
     """Scores provisional rows with a fit of the history of their channel; the history is never changed.
 
+    A row is held against the fit of its channel or, where ``fits`` has a
+    ``date`` too, against that of its own day: then the history moves on from
+    session to session, as each day's confirmed row joins it.
+
     ``fits``: channel, last_date, closes (of the last 251 sessions, in order),
     alpha, beta, residuals of the fit to the last complete sessions; a row for
     each channel.  Rows tell the session that their source has before them.
@@ -38,7 +42,8 @@ def score_live(rows: DataFrame, fits: DataFrame, *, continuity: float = 0.005) -
         F.when(F.col("date") <= F.col("last_date"), "superseded").when(~in_capture_window(F.col("observed_at"), F.col("date")), "outside_window")
         .when(~F.col("previous_date").eqNullSafe(F.col("last_date")), "session_gap").when(F.abs(F.col("previous_close") / last_close - 1) > continuity, "discontinuous").otherwise("provisional")
     )
-    scored = rows.join(F.broadcast(fits), "channel").withColumn("phase", phase)
+    by_day = "date" in fits.columns
+    scored = rows.join(fits if by_day else F.broadcast(fits), ["channel", "date"] if by_day else "channel").withColumn("phase", phase)  # else a row a channel
     known = F.col("phase") == "provisional"
     percentile = 100.0 * F.get(F.transform(F.array(residual), lambda own: F.size(F.filter("residuals", lambda r: r <= own))), F.lit(0)) / F.size("residuals")
     return scored.select(
