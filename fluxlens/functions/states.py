@@ -138,3 +138,9 @@ def _written(value: Column, whole: Column, q: Column, twice: Column, unit: Colum
     carried = last >= 10**digits
     text = F.concat((whole + F.when(carried, 1).otherwise(0)).cast("string"), F.lit("."), F.lpad(F.when(carried, F.lit(0)).otherwise(last).cast("bigint").cast("string"), digits, "0"))
     return F.when(value < 0, F.concat(F.lit("-"), text)).otherwise(text)
+
+
+def iso_date(text: Column) -> Column:
+    """The day of a text of the form yyyy-mm-dd, ten characters of which eight are ASCII digits; null for others and for days that don't exist, the year 0 among them."""
+    sound = text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & (F.length(text) == 10) & ~F.startswith(text, F.lit("0000"))
+    return F.when(sound, text.try_cast("date"))

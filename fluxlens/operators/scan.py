@@ -101,13 +101,13 @@ def positions(df: DataFrame, by: Sequence[str], on: Sequence[str], name: str = "
 def blocks(df: DataFrame, by: Sequence[str], on: Sequence[str], *, preceding: int, following: int = 0, rows: int = ROWS) -> DataFrame:
     """The rows in blocks of equal length, each with the ``preceding`` rows before it and the ``following`` after it.
 
-    Adds ``__by``, ``__block``, ``position`` and ``__own``, which tells a
+    Adds ``__by``, ``__block``, ``__position`` and ``__own``, which tells a
     block's own rows from its neighbours'.  A row is copied twice at most.
     """
     size = max(rows, preceding, following, 1)
-    placed = positions(df, by, on, "position", rows=rows)
+    placed = positions(df, by, on, "__position", rows=rows)
     group = F.struct(*by) if by else F.struct(F.lit(0).alias("none"))
-    block, within = F.floor(F.col("position") / size), F.col("position") % size
+    block, within = F.floor(F.col("__position") / size), F.col("__position") % size
     goes = F.array_compact(F.array(F.lit(0), F.when(within >= size - preceding, 1), F.when((within < following) & (block > 0), -1)))
     return placed.withColumn("__step", F.explode(goes)).withColumns({"__by": group, "__block": block + F.col("__step"), "__own": F.col("__step") == 0}).drop("__step")
 
@@ -117,6 +117,6 @@ def framed(df: DataFrame, by: Sequence[str], on: Sequence[str], columns: dict[st
 
     Each column is a function of a window, in which it may set its own frame of rows.
     """
-    line = Window.partitionBy("__by", "__block").orderBy("position")
+    line = Window.partitionBy("__by", "__block").orderBy("__position")
     kept = blocks(df, by, on, preceding=preceding, following=following, rows=rows)
     return kept.withColumns({name: f(line) for name, f in columns.items()}).where("__own").select(*df.columns, *columns)

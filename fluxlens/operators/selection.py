@@ -77,10 +77,10 @@ def rolling_signals(obs: DataFrame, *, window: int = 252, least: int = 200, mini
     x, y = F.col("return_1d"), F.col("flow_share")
     complete = obs.where(x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)).select("channel", "date", "return_1d", "flow_share")
     placed = scan.blocks(complete, ["channel"], ["date"], preceding=window, rows=rows)
-    columns = ["channel", "date", "return_1d", "flow_share", "position"]
+    columns = ["channel", "date", "return_1d", "flow_share", "__position"]
 
     def score(group: pa.Table) -> pa.Table:
-        line = group.sort_by("position")
+        line = group.sort_by("__position")
         own = line.column("__own").to_numpy()
         found = fits_of_block(line.column("return_1d").to_numpy(), line.column("flow_share").to_numpy(), own, window, least)
         arrays = [pa.array(v, pa.float64(), from_pandas=True) for v in found.values()]
@@ -88,7 +88,7 @@ def rolling_signals(obs: DataFrame, *, window: int = 252, least: int = 200, mini
 
     kinds = ", ".join([f"{c} {placed.schema[c].dataType.simpleString()}" for c in columns] + [f"{c} double" for c in FIT])
     found = placed.groupBy("__by", "__block").applyInArrow(score, kinds)
-    return grade(found.withColumn("training_count", F.least("position", F.lit(window)).cast("int")), least, minimum_fit, tail)
+    return grade(found.withColumn("training_count", F.least("__position", F.lit(window)).cast("int")), least, minimum_fit, tail)
 
 
 class Ranks:
@@ -143,7 +143,7 @@ def sliding_quantile(df: DataFrame, by: Sequence[str], on: Sequence[str], column
     placed, kept = scan.blocks(df, by, on, preceding=lookback, rows=rows), df.columns
 
     def work(group: pa.Table) -> pa.Table:
-        line = group.sort_by("position")
+        line = group.sort_by("__position")
         found = quantiles_of_block(line.column(column).cast(pa.float64()).to_numpy(), line.column("__own").to_numpy(), lookback, quantile)
         return pa.table([*[line.column(c) for c in kept], pa.array(found, pa.float64(), from_pandas=True)], names=[*kept, name]).filter(line.column("__own"))
 

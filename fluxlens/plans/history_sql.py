@@ -211,6 +211,9 @@ SQL = {
         , months as (select month, sha256(string_agg(line, chr(10) order by date)) as hash from lines group by month) select sha256(string_agg(hash, chr(10) order by month)) as signature from months""",
     "h6_ordered_reasons": """ select date, array_to_string(list_filter([case when late = 1 then 'late' end, case when gap = 1 then 'gap' end, case when late = 2 then 'late' end, case when scale then 'scale' end, case when late = 3 then 'late' end], lambda v: v is not null), ',') as reasons
         from (select date, case when ck % 2 = 0 then 1 when ck % 5 = 0 then 2 when ck % 7 = 0 then 3 else 0 end as late, case when ck % 3 = 0 then 1 else 0 end as gap, ck % 4 = 0 as scale from daily) x""",
+    "l8_conclusion": _STUDY + _ALL + _bootstrap("excessive", _KEYS, "xi") + _POSITION + trading._METRICS + """, gains as (select bool_and(coalesce(total_return > 0 and sharpe > 0, false)) as good, count(total_return) as told from measured where scenario_id in ('1x-long_cash-10-80', '1x-long_inverse_cash-10-80'))
+        , lows as (select s.sample, m.asset, any_value(x.low) as low from (values ('all'), ('non_overlapping')) s(sample) cross join (select distinct asset from means) m left join xi x on x.sample = s.sample and x.asset = m.asset and x.state = 'extreme_fear' and x.horizon = 20 group by s.sample, m.asset)
+        select sample, asset, case when coalesce(low > 0, false) and good then 'supportive' when low is null or told < 2 then 'mixed' else 'caution' end as tone from lows cross join gains""",
     "l6_strategy_comparison": trading.walk_sql(trading.GRID) + """, gains as (select pair || '-' || policy || '-' || cast(cast(long_exit as integer) as varchar) as strategy, bps, arg_max(equity, k) - 1 as gain from path group by scenario_id, pair, policy, long_exit, bps)
         , wide as (select strategy, max(case when bps = 0 then gain end) as r0, max(case when bps = 5 then gain end) as r5, max(case when bps = 10 then gain end) as r10, max(case when bps = 20 then gain end) as r20 from gains group by strategy)
         select strategy, round(r0, 8) as return_0bp, round(r5, 8) as return_5bp, round(r10, 8) as return_10bp, round(r20, 8) as return_20bp,

@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +41,11 @@ def read_day_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def write_day_cache(df: DataFrame, path: str, boundary: str) -> None:
     """Writes days to a table partitioned by date; days from the boundary on are overwritten, older ones are left as they are."""
     fresh = df.where(F.col("date") >= F.lit(boundary).cast("date"))
-    exists = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-    system = exists.getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
-    target = fresh if system.exists(exists) else df
+    try:
+        there = bool(df.sparkSession.read.parquet(path).columns)
+    except AnalysisException:  # no table yet
+        there = False
+    target = fresh if there else df
     target.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
 
 

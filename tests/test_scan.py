@@ -49,6 +49,12 @@ def test_frames_equal_windows(lines):
         assert plain(scan.framed(lines, ["g"], ["t"], columns, preceding=40, following=3, rows=rows)) == want
 
 
+def test_columns_of_the_callers_names(lines):
+    clashing = lines.withColumns({c: F.lit(1) for c in ("position", "part", "block", "by", "own", "none")})
+    found = scan.framed(clashing, ["g"], ["t"], {"l": lambda w: F.lag("t").over(w)}, preceding=1, rows=100)
+    assert found.columns == [*clashing.columns, "l"] and found.count() == lines.count() and found.agg(F.sum("position")).first()[0] == lines.count()
+
+
 def test_positions_of_tied_and_null_times(spark):
     df = spark.createDataFrame([(None, 1), (3, 1), (3, 2), (None, 2), (7, 1)], "t int, u int")
     assert sorted((r["position"], r["t"]) for r in scan.positions(df, [], ["t", "u"], rows=2).collect()) == [(0, None), (1, None), (2, 3), (3, 3), (4, 7)]
