@@ -96,10 +96,11 @@ def summarize(events: DataFrame, returns: DataFrame, *, usual: DataFrame | None
         F.coalesce("treatment", F.lit("unavailable")).alias("treatment"), (F.coalesce("n", F.lit(0)) < 20).alias("small_sample"), *intervals)
 
 
-def one_treatment(summary: DataFrame, *keys: str) -> DataFrame:
-    """The treatment that a study's rows share, those without events aside; 'mixed' is for the caller to refuse."""
+def one_treatment(summary: DataFrame, *keys: str, strict: bool = False) -> DataFrame:
+    """The treatment that a study's rows share, those without events aside; 'mixed' is for the caller to refuse or, ``strict``, fails."""
     told = F.collect_set(F.when(F.col("treatment") != "unavailable", F.col("treatment")))
-    return summary.groupBy(*keys).agg(F.when(F.size(told) > 1, "mixed").otherwise(F.coalesce(F.get(told, F.lit(0)), F.lit("unavailable"))).alias("treatment"))
+    mixed = F.raise_error(F.lit("mixed treatments")).cast("string") if strict else F.lit("mixed")
+    return summary.groupBy(*keys).agg(F.when(F.size(told) > 1, mixed).otherwise(F.coalesce(F.get(told, F.lit(0)), F.lit("unavailable"))).alias("treatment"))
 
 
 def bootstrap(values: DataFrame, keys: list[str], *, samples: int = 10_000, seed: int = 20260715, method: str = "moving_block", block: int | None = None) -> DataFrame:

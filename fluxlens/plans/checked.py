@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxlens.operators import asof, frame, reconcile, regression, scan
+from fluxlens.functions import states
+from fluxlens.operators import asof, frame, reconcile, regression, scan, selection
 from fluxlens.plans import ordered
 from fluxlens.plans.portable import signals_sql
 from fluxlens.plans.trading import rounded
@@ -110,9 +112,57 @@ def m3_m4_moving_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out").select("channel", "date", "phase", *[F.round(c, 6).alias(c) for c in ("return_1d", "percentile", "disparity50", "mdd252")])
 
 
-QUERIES = {f.__name__: f for f in (a12_source_by_fund, k3_combined_check, b20_finite_fields, b21_cutoff_in_zone, d12_participant_signals, l4_relative_as_of, m3_m4_moving_history)}
+def b19_public_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published numbers: rounded to ten digits, null where they aren't finite."""
+    q, p = F.col("l_quantity"), F.col("l_extendedprice")
+    value = F.when(q % 10 == 0, float("nan")).when(q % 10 == 1, float("inf")).when(q % 10 == 2, float("-inf")).when(q % 10 != 3, p / (q * 64))
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", states.public_number(value).alias("value"))
+
+
+def c10_exposure_and_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of a fund on the days that have an exposure: the share of the twenty sessions before that were in fear."""
+    found = selection.rolling_signals(market.observations(_daily(spark, sf_dir))).where("channel = 'main' and percentile is not null")
+    held = F.col("state").isin("fear", "extreme_fear").cast("double")
+    share = {"exposure": lambda w: F.when(F.count("state").over(w.rowsBetween(-20, -1)) == 20, F.avg(held).over(w.rowsBetween(-20, -1)))}
+    exposure = scan.framed(found.select("date", "state"), [], ["date"], share, preceding=20, rows=PART).where("exposure is not null").select("date", "exposure")
+    bars = ordered._funds(spark, sf_dir).where("ticker = 'L1'").drop("ticker")
+    return bars.join(exposure, "date").select("date", F.round("open", 6).alias("open"), F.round("close", 6).alias("close"), F.round("exposure", 8).alias("exposure"))
+
+
+def d15_focus_and_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By channel, at a setting of its own: the fit of the last day up to a focus, and how often each quality occurs."""
+    lookback = 120
+    found = landing.stored(selection.rolling_signals(market.observations(_daily(spark, sf_dir)), window=lookback, least=states.minimum_observations(lookback), minimum_fit=0.4, tail=3), "signals")
+    names = ("alpha", "beta", "rolling_r2", "residual", "residual_z", "percentile", "training_count")
+    focus = found.where("date <= date'1999-06-30'").groupBy("channel").agg(F.max_by(F.struct(*names), "date").alias("f")).select("channel", F.lit("focus").alias("part"), F.explode(F.create_map(*[x for n in names for x in (F.lit(n), F.col(f"f.{n}").cast("double"))])).alias("name", "value"))
+    counts = found.groupBy("channel", "quality").agg(F.count("*").cast("double").alias("value")).select("channel", F.lit("quality").alias("part"), F.col("quality").alias("name"), "value")
+    return focus.unionByName(counts).withColumn("value", F.round("value", 7))
+
+
+def k9_rebuilt_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published rows as columns of text, a document a month, decoded and taken apart into frames again; a row for each frame."""
+    funds = ordered._funds(spark, sf_dir).where("ticker <> 'IDX' and (ticker = 'L1' or date >= date'1996-01-01')")
+    wide = funds.groupBy("date").agg(*[F.max(F.when(F.col("ticker") == t, F.col(c))).alias(f"p{t}{c.capitalize()}") for t in ("L1", "S1") for c in ("open", "close")])
+    rows = _daily(spark, sf_dir).select("date", "close", "trading_value", F.when(F.col("ck") % 9 != 0, (F.col("ck") % 13 - 6) / 200.0).alias("flow_share")).join(wide, "date", "left")
+    names, text = landing.encode_columns(rows, ["date", "close"])
+    history = landing.decode_columns(text, names, {n: "date" if n == "date" else "double" for n in names})
+    bars, flows, prices = landing.rebuilt(history, ["L1", "S1"])
+    total = lambda df, name, *columns: df.agg(F.lit(name).alias("frame"), F.count("*").alias("rows_held"), F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.round(sum((F.sum(c) for c in columns), F.lit(0.0)), 2).alias("total"))
+    kinds = [total(prices.where(F.col("ticker") == t), t, "open", "close") for t in ("L1", "S1")]
+    return reduce(DataFrame.unionByName, [total(bars, "bars", "close"), total(flows, "flows", "individual_net_purchase"), *kinds])
+
+
+QUERIES = {f.__name__: f for f in (a12_source_by_fund, k3_combined_check, b19_public_numbers, b20_finite_fields, b21_cutoff_in_zone, c10_exposure_and_bars, d12_participant_signals, d15_focus_and_histogram, k9_rebuilt_frames, l4_relative_as_of, m3_m4_moving_history)}
 
 SQL = {
+    "b19_public_numbers": """select l_orderkey, l_linenumber, case when l_quantity % 10 > 3 then round(l_extendedprice / (l_quantity * 64), 10) end as value from lineitem""",
+    "c10_exposure_and_bars": """, e as (select date, case when count(*) over w = 20 then avg(case when state in ('fear', 'extreme_fear') then 1e0 else 0e0 end) over w end as exposure from states where channel = 'main' and percentile is not null window w as (order by date rows between 20 preceding and 1 preceding))
+        select f.date, round(f.open, 6) as open, round(f.close, 6) as close, round(exposure, 8) as exposure from funds f join e on e.date = f.date where ticker = 'L1' and exposure is not null""",
+    "d15_focus_and_histogram": ", focus_obs as (select * from obs" + signals_sql("focus_obs", "_d", window=120, least=96, fit="4e-1", tail=3) + """), l as (select channel, max(date) as d from signals_d where date <= date '1999-06-30' group by channel), f as (select s.* from signals_d s join l on l.channel = s.channel and l.d = s.date)
+        """ + " union all ".join(f"select channel, 'focus' as part, '{n}' as name, round({n}, 7) as value from f" for n in ("alpha", "beta", "rolling_r2", "residual", "residual_z", "percentile", "training_count")) + " union all select channel, 'quality', quality, cast(count(*) as double) from signals_d group by channel, quality",
+    "k9_rebuilt_frames": """select 'bars' as frame, count(*) as rows_held, min(date) as first_date, max(date) as last_date, round(sum(round(close, 8)), 2) as total from daily
+        union all select 'flows', count(*), min(date), max(date), round(sum(round((ck % 13 - 6) / 2e2, 8) * round(trading_value, 8)), 2) from daily where ck % 9 <> 0
+        union all select ticker, count(*), min(date), max(date), round(sum(round(open, 8)) + sum(round(close, 8)), 2) from funds where ticker = 'L1' or (ticker = 'S1' and date >= date '1996-01-01') group by ticker""",
     "a12_source_by_fund": """select t as ticker, s as source, r as reason, n as sessions, round(c, 6) as last_close from (
         select 'IDX' as t, 'history' as s, cast(null as varchar) as r, count(*) as n, arg_max(close, date) as c from funds where ticker = 'IDX'
         union all select 'L1', 'history', null, count(*), arg_max(close, date) from funds where ticker = 'L1'

@@ -105,6 +105,21 @@ def decode_columns(rows: DataFrame, names: list[str], types: dict[str, str]) ->
     return rows.select(sound.alias("row")).select(*[F.get("row", F.lit(k)).try_cast(types.get(c, "string")).alias(c) for k, c in enumerate(names)])
 
 
+def rebuilt(history: DataFrame, tickers: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Frames out of published rows of a day each: bars (date, close, trading_value), flows (date, individual_net_purchase), and prices (ticker, date, open, close).
+
+    A ticker's open and close stand under ``p<ticker>Open`` and ``p<ticker>Close``;
+    days on which it has neither are left out, one with only one of them is
+    refused.  The net purchase is what its share and the trading value give.
+    """
+    bars = history.where("close is not null").select("date", "close", "trading_value")
+    flows = history.where("flow_share is not null and trading_value is not null").select("date", (F.col("flow_share") * F.col("trading_value")).alias("individual_net_purchase"))
+    legs = F.explode(F.array(*[F.struct(F.lit(t).alias("ticker"), F.col(f"p{t}Open").alias("open"), F.col(f"p{t}Close").alias("close")) for t in tickers])).alias("leg")
+    prices = history.select("date", legs).select("leg.ticker", "date", "leg.open", "leg.close").where("open is not null or close is not null")
+    whole = F.when(F.col("open").isNotNull() & F.col("close").isNotNull(), True).otherwise(F.raise_error(F.lit("half a bar")).cast("boolean"))
+    return bars, flows, prices.where(whole)
+
+
 def within_limits(sizes: dict[str, int], limits: dict[str, int]) -> list[str]:
     """Names of outputs that are larger than they may be."""
     return sorted(n for n, size in sizes.items() if size > limits.get(n, size))

@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluxlens.functions import states
-from fluxlens.operators import reconcile, status
-from fluxlens.sources import headers
+from fluxlens.operators import events, reconcile, status
+from fluxlens.sources import headers, landing
 
 DAY = dt.date(2020, 1, 1)
 
@@ -58,6 +58,22 @@ def test_reasons_and_statuses(spark):
     }
 
 
+def test_rebuilt_frames(spark):
+    rows = [(DAY, 1.0, 2.0, 0.5, 3.0, 4.0), (day(1), 1.5, None, 0.5, None, None), (day(2), None, 2.0, None, 5.0, 6.0)]
+    history = spark.createDataFrame(rows, "date date, close double, trading_value double, flow_share double, pXOpen double, pXClose double")
+    bars, flows, prices = landing.rebuilt(history, ["X"])
+    assert bars.count() == 2 and [tuple(r) for r in flows.collect()] == [(DAY, 1.0)] and [tuple(r) for r in prices.collect()] == [("X", DAY, 3.0, 4.0), ("X", day(2), 5.0, 6.0)]
+    with pytest.raises(Exception, match="half a bar"):
+        landing.rebuilt(history.withColumn("pXOpen", F.lit(None).cast("double")), ["X"])[2].collect()
+
+
+def test_mixed_treatments_fail(spark):
+    summary = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("b", "unavailable"), ("c", "unavailable")], "k string, treatment string")
+    assert {r["k"]: r["treatment"] for r in events.one_treatment(summary, "k").collect()} == {"a": "mixed", "b": "x", "c": "unavailable"}
+    with pytest.raises(Exception, match="mixed treatments"):
+        events.one_treatment(summary, "k", strict=True).collect()
+
+
 def test_filled_rows(spark):
     base = spark.createDataFrame([(DAY, "own", 1), (day(1), None, 2), (day(2), None, 3)], "date date, s string, k int")
     one, two = spark.createDataFrame([(DAY, None), (day(1), "one")], "date date, s string"), spark.createDataFrame([(DAY, "two"), (day(1), "two")], "date date, s string")
