@@ -241,6 +241,8 @@ QUERIES = {
         select date, round(own_100 - other_100, 6) as spread, round(ln(own_100 / other_100), 8) as log_relative from b where (n - k) < 756 and ((n - k) % 5 = 0)""",
     "q_daily_by_nation": """select n_name, cast(o_orderdate as date) as date, count(*) as orders_placed, round(sum(o_totalprice), 2) as trading_value from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey group by n_name, cast(o_orderdate as date)""",
 }
+#: Columns of the view of signals.
+SIGNAL_COLUMNS = "channel string, date date, return_1d double, flow_share double, training_count int, alpha double, beta double, rolling_r2 double, residual double, residual_z double, percentile double, state string, quality string, trade_eligible boolean"
 VIEWS = ("orders", "lineitem", "customer", "nation", "part", "supplier", "events")
 
 
@@ -258,7 +260,12 @@ def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query over the tables of a folder."""
     session = spark.newSession()
     session.conf.set("spark.sql.session.timeZone", "UTC")
+    session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     for v in VIEWS:
         session.read.parquet(f"{sf_dir}/{v}.parquet").createOrReplaceTempView(v)
-    selection.rolling_signals(market.observations(market.market_daily(session.table("orders")))).createOrReplaceTempView("signals")
+    if re.search(r"\b(signals|states|turns|entries)\b", QUERIES[name]):
+        signals = selection.rolling_signals(market.observations(market.market_daily(session.table("orders"))))
+    else:  # the adapters name the view, this query doesn't
+        signals = session.createDataFrame([], SIGNAL_COLUMNS)
+    signals.createOrReplaceTempView("signals")
     return session.sql(text_of(name, 0))
