@@ -197,6 +197,13 @@ def merged(claims: list[tuple], percent: int, min_words: int) -> list[tuple]:
     return out
 
 
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows: lists of structures are many times as large as Python objects."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def repeated_passages(docs: DataFrame, *, percent: int = 80, min_words: int = 25, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Finds passages that more than one document holds, wherever they stand in it.
 
@@ -327,7 +334,7 @@ def repeated_passages(docs: DataFrame, *, percent: int = 80, min_words: int = 25
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = ends_arrow
-        for batch in batches:
+        for batch in _few(batches):
             out = {c: [] for c in wanted.names}
 
             def add(*values) -> None:
@@ -398,7 +405,7 @@ def repeated_passages(docs: DataFrame, *, percent: int = 80, min_words: int = 25
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = out_arrow
-        for batch in batches:
+        for batch in _few(batches):
             found = []
             for i, claims in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found += [(i, a, b, b - a, who) for a, b, who in merged([(c["start"], c["end"], c["who"], c["partner"]) for c in claims], percent, min_words)]
