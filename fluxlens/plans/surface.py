@@ -156,11 +156,12 @@ def k8_k12_refresh_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = versions.History(spark, f"{landing.shared_folder(spark)}/fluxlens/history-{uuid.uuid4().hex}")
     daily = landing.stored(_daily(spark, sf_dir).select("date", F.round("close", 6).alias("close")), "closes")
     cut = daily.where("date <= date'2001-03-31'")
-    corrected = F.when(F.col("date") == "2001-04-08", F.col("close") + 1).otherwise(F.col("close"))
     until = daily.where("date <= date'2001-04-10'")
+    first, last = until.agg(F.min("date"), F.max("date")).first()
+    corrected = F.when(F.col("date") == F.lit(last), F.col("close") + 1).otherwise(F.col("close"))
     runs = [
-        ("first", cut), ("again", cut), ("new_days", until.where("date >= date'2001-03-29'")), ("corrected", until.where("date >= date'2001-04-07'").withColumn("close", corrected)),
-        ("rewritten", until.withColumn("close", F.when(F.col("date") == "1999-05-05", 0.0).otherwise(corrected))),
+        ("first", cut), ("again", cut), ("new_days", until.where("date >= date'2001-03-29'")), ("corrected", until.where("date >= date'2001-04-01'").withColumn("close", corrected)),
+        ("rewritten", until.withColumn("close", F.when(F.col("date") == F.lit(first), 0.0).otherwise(corrected))),
     ]
     told = []
     for name, rows in runs:
@@ -246,7 +247,7 @@ SQL = {
     "k8_k12_refresh_runs": """, c as (select date, round(close, 6) as close from daily), v as (
           select 1 as version, count(*) as rows_held, round(sum(close), 4) as sum_close from c where date <= date '2001-03-31'
           union all select 2, count(*), round(sum(close), 4) from c where date <= date '2001-04-10'
-          union all select 3, count(*), round(sum(close + case when date = date '2001-04-08' then 1 else 0 end), 4) from c where date <= date '2001-04-10'),
+          union all select 3, count(*), round(sum(close + case when date = (select max(date) from c where date <= date '2001-04-10') then 1 else 0 end), 4) from c where date <= date '2001-04-10'),
         m as (select count(distinct strftime(date, '%Y-%m')) as months from c where date <= date '2001-03-31'), n as (select count(*) as days from c where date > date '2001-03-31' and date <= date '2001-04-10'),
         s as (select 0 as step, 'first' as name, 'published' as status, 1 as version, months as months_written, 0 as days_changed from m union all select 1, 'again', 'unchanged', 1, 0, 0
           union all select 2, 'new_days', 'published', 2, 1, days from n union all select 3, 'corrected', 'published', 3, 1, 1 union all select 4, 'rewritten', 'frozen_changed', 3, 0, 1 union all select 5, 'ends_early', 'date_regression', 3, 0, 0)
