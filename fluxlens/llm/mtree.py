@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import heapq
 import io
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxlens.llm.common import written
+from fluxlens.llm.common import small_batches, written
 
 #: Vectors of one tree, and queries that are searched in it together.
 SHARD_ROWS = 8192
 QUERY_ROWS = 1024
+#: A tile: trees that one task searches in turn, and bytes of queries that it holds meanwhile.
+TILE_TREES = 16
+TILE_BYTES = 48 << 20
 #: Entries of a leaf page, and of the pages above.
 LEAF, FANOUT = 64, 16
 #: Products up to which floating point is exact.
@@ -92,9 +96,12 @@ class MTree:
         tree.levels = [{name: held[f"{name}{k}"] for name in ("span", "router", "radius", "parent")} for k in range(int(held["height"]))]
         return tree
 
-    def search(self, queries: np.ndarray, own_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, own_ids: np.ndarray, k: int, known: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores and ids (queries x k) of the largest scores, ties to smaller ids, without each query's own id; how many there are.
 
+        ``known`` are the scores and ids that other trees have given: what
+        can't be among the best with them isn't looked at.
+
         Best first for all queries together: the page that may be nearest to
         one of them comes next, with the queries it is still in reach of.
         Stored parent distances leave out entries that no such query can
@@ -102,9 +109,10 @@ class MTree:
         """
         count = len(queries)
         least = np.iinfo(np.int64).min
-        scores, found = np.full((count, k), least), np.full((count, k), np.iinfo(np.int64).max)
+        none = np.iinfo(np.int64).max
+        scores, found = (known[0].copy(), known[1].copy()) if known else (np.full((count, k), least), np.full((count, k), none))
         if not len(self.ids) or not count:
-            return scores, found, np.zeros(count, np.int64)
+            return scores, found, (found != none).sum(axis=1)
         asked = queries.astype(np.float64)
         square = (asked * asked).sum(axis=1)
         base = square + self.most
@@ -113,7 +121,7 @@ class MTree:
         vectors, asking = (self.vectors.astype(np.float64), asked) if exact else (self.vectors, queries)
         # Slack for what floating point loses in distances; scores themselves are exact.
         slack = 1e-6 * (1.0 + np.sqrt(self.most + square.max()))
-        reach = np.full(count, np.inf)  # distance of the k-th best so far
+        reach = np.where(found[:, -1] != none, np.sqrt(np.maximum(base - 2.0 * scores[:, -1].astype(np.float64), 0.0)), np.inf)  # distance of the k-th best so far
 
         def distances(points: np.ndarray, which: np.ndarray) -> np.ndarray:
             self.computed += len(points) * len(which)
@@ -160,12 +168,12 @@ class MTree:
                 continue
             them = which[rows]
             all_scores = np.concatenate((scores[them], np.where(better[rows], got[rows], least)), axis=1)
-            all_ids = np.concatenate((found[them], np.where(better[rows], ids[None, :], np.iinfo(np.int64).max)), axis=1)
-            order = np.lexsort((all_ids, -(all_scores.astype(np.float64)) if exact else ~all_scores), axis=1)[:, :k]
+            all_ids = np.concatenate((found[them], np.where(better[rows], ids[None, :], none)), axis=1)
+            order = np.lexsort((all_ids, ~all_scores), axis=1)[:, :k]
             scores[them], found[them] = np.take_along_axis(all_scores, order, axis=1), np.take_along_axis(all_ids, order, axis=1)
-            full = found[them, -1] != np.iinfo(np.int64).max
+            full = found[them, -1] != none
             reach[them[full]] = np.sqrt(np.maximum(base[them[full]] - 2.0 * scores[them[full], -1].astype(np.float64), 0.0))
-        return scores, found, (found != np.iinfo(np.int64).max).sum(axis=1)
+        return scores, found, (found != none).sum(axis=1)
 
 
 def _rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -189,8 +197,10 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: float = 25
     The rows are dealt by a hash of vec_id and vector to trees of about ``SHARD_ROWS``
     vectors, and the stated queries to blocks of about ``QUERY_ROWS``; each
     tree is built once and each block packed once.  Every block meets every
-    tree, one such pair at a time.  Each search is exact, and so is the best
-    of all trees' answers.
+    tree, in tiles of ``TILE_TREES`` trees and ``TILE_BYTES`` of queries: a
+    task holds a tile's queries and takes its trees one by one, and what a
+    tree gave bounds the search of the next.  Each search is exact, and so is
+    the best of all tiles' answers.
 
     Returns query_id, rank (from 1), vec_id, score.  Rows without vec_id, and
     vectors that are null, empty or hold null or non-finite components, take no
@@ -223,24 +233,48 @@ def top_k(vectors: DataFrame, is_query: Column, *, k: int = 5, scale: float = 25
     asked = dealt.where("asks").select("length", F.pmod("own", "blocks").alias("block"), "vec_id", "vector").groupBy("length", "block").applyInArrow(pack, "length int, block long, queries binary")
     trees, asked = written(trees, "trees"), written(asked, "blocks")
 
-    def each(n: str) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    # A tile is some neighbouring trees and blocks: a tree is copied once for each strip of blocks, a block for each strip of trees.
+    in_strip = F.greatest(F.lit(1), F.lit(TILE_BYTES) / (F.lit(8 * QUERY_ROWS) * F.col("length"))).cast("long")
+    strips = F.broadcast(parts.select("length", "shards", "blocks", in_strip.alias("in_strip")))
 
-    numbers = F.broadcast(parts)
-    shown = asked.join(numbers, "length").select("length", each("shards").alias("shard"), "block", "queries")
-    pairs = trees.join(numbers, "length").select("length", "shard", each("blocks").alias("block"), "pages").hint("merge").join(shown.hint("merge"), ["length", "shard", "block"])
+    def each(n: str, size: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / size)))
 
-    def search(batches):
-        for batch in batches:
-            for length, number, pages, queries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                tree, block = MTree.unpacked(pages.as_py()), np.load(io.BytesIO(queries.as_py()))
-                ids, own = block["ids"], block["vectors"]
-                scores, found, count = tree.search(own, ids, k)
-                at = np.flatnonzero(np.arange(k) < count[:, None])
+    of_trees = trees.join(strips, "length").select(
+        "length", F.floor(F.col("shard") / TILE_TREES).alias("trees"), each("blocks", F.col("in_strip")).alias("strip"), F.lit(1).alias("side"), F.col("shard").alias("number"), F.col("pages").alias("data"))
+    of_blocks = asked.join(strips, "length").select(
+        "length", each("shards", F.lit(TILE_TREES)).alias("trees"), F.floor(F.col("block") / F.col("in_strip")).alias("strip"), F.lit(0).alias("side"), F.col("block").alias("number"), F.col("queries").alias("data"))
+    tiles = of_trees.unionAll(of_blocks).repartition("length", "trees", "strip").sortWithinPartitions("length", "trees", "strip", "side", "number")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile: tuple | None = None
+        held: dict[int, dict[str, np.ndarray]] = {}
+
+        def answers() -> Iterator[pa.RecordBatch]:
+            for number, block in held.items():
+                at = np.flatnonzero(block["found"].ravel() != np.iinfo(np.int64).max)
                 # Queries of one id and several vectors are told apart by their places in the blocks.
-                place = np.repeat(np.arange(len(ids)), k)[at]
-                yield pa.RecordBatch.from_pydict({"length": pa.array(np.full(len(at), length, np.int32)), "block": np.full(len(at), number, np.int64), "place": place, "query_id": np.repeat(ids, k)[at], "vec_id": found.ravel()[at], "score": scores.ravel()[at]})
+                yield pa.RecordBatch.from_pydict({
+                    "length": pa.array(np.full(len(at), tile[0], np.int32)), "block": np.full(len(at), number, np.int64), "place": at // k,
+                    "query_id": block["ids"][at // k], "vec_id": block["found"].ravel()[at], "score": block["scores"].ravel()[at]})
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in range(5)]
+            for row, (*name, side, number) in enumerate(zip(*columns)):
+                if tile != tuple(name):
+                    yield from answers()
+                    tile, held = tuple(name), {}
+                data = batch.column(5)[row].as_py()
+                if not side:
+                    own = np.load(io.BytesIO(data))
+                    shape = (len(own["ids"]), k)
+                    held[number] = {"ids": own["ids"], "vectors": own["vectors"], "scores": np.full(shape, np.iinfo(np.int64).min), "found": np.full(shape, np.iinfo(np.int64).max)}
+                    continue
+                tree = MTree.unpacked(data)
+                for block in held.values():
+                    block["scores"], block["found"], _ = tree.search(block["vectors"], block["ids"], k, (block["scores"], block["found"]))
+        yield from answers()
 
-    found = pairs.select("length", "block", "pages", "queries").mapInArrow(search, "length int, block long, place long, query_id long, vec_id long, score long")
+    found = small_batches(tiles).mapInArrow(search, "length int, block long, place long, query_id long, vec_id long, score long")
     order = Window.partitionBy("length", "block", "place").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -79,6 +79,22 @@ def test_m_tree_is_exact(n, scale):
         assert list(zip(scores[row].tolist(), ids[row].tolist()))[: count[row]] == brute_top(vectors, range(n), vectors[q], q, 5)
 
 
+def test_trees_carry_what_others_gave():
+    rng = np.random.default_rng(7)
+    centers = rng.normal(0, 1000, (40, 8)).round()
+    vectors = (centers[rng.integers(0, 40, 3000)] + rng.integers(-5, 5, (3000, 8))).astype(np.int64)
+    vectors[2000:2100] = vectors[:100]  # ties across trees
+    trees = [mtree.MTree(vectors[k::3], np.arange(3000)[k::3]) for k in range(3)]
+    asks, known, alone = np.arange(0, 3000, 97), None, mtree.MTree(vectors[2::3], np.arange(3000)[2::3])
+    for tree in trees:
+        scores, ids, count = tree.search(vectors[asks], asks, 5, known)
+        known = scores, ids
+    for row, q in enumerate(asks.tolist()):
+        assert list(zip(scores[row].tolist(), ids[row].tolist())) == brute_top(vectors, range(3000), vectors[q], q, 5)
+    alone.search(vectors[asks], asks, 5)
+    assert trees[2].computed < alone.computed
+
+
 def test_m_tree_avoids_computations():
     rng = np.random.default_rng(1)
     centers = rng.normal(0, 1000, (40, 8)).round()

@@ -340,6 +340,19 @@ def test_top_k(spark):
     assert mtree.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_over_many_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    whole = rng.integers(-4, 5, (400, 6))  # few values, so ties within and across trees
+    df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(whole)], "vec_id long, embedding array<double>")
+    for name, value in {"SHARD_ROWS": 40, "QUERY_ROWS": 10, "TILE_TREES": 3, "TILE_BYTES": 8 * 10 * 6 * 4}.items():
+        monkeypatch.setattr(mtree, name, value)
+    found = collections.defaultdict(list)
+    for r in mtree.top_k(df, F.col("vec_id") % 3 == 0, scale=1.0).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((-r["score"], r["vec_id"]))
+    products = whole @ whole.T
+    assert len(found) == 134 and all(got == sorted((-int(products[q, d]), d) for d in range(400) if d != q)[:5] for q, got in found.items())
+
+
 def test_top_k_of_one_id_with_two_vectors(spark):
     # Whole components of -1 and -2, which Python's hash takes for equal.
     data = [(0, [-0.5 / 256, 0.5]), (0, [-1.5 / 256, 0.5]), *[(k, [k / 64, -k / 32]) for k in range(1, 9)]]
