@@ -7,22 +7,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from fluxlens.operators import chains
+from fluxlens.operators import chains, scan
 from fluxlens.sources.landing import stored
 
 HORIZONS = (1, 5, 10, 20)
 
 
-def extreme_entries(signals: DataFrame) -> DataFrame:
-    """Rows where an eligible signal turns extreme: its state differs from that of the eligible row before."""
-    line = Window.partitionBy("channel").orderBy("date")
-    placed = signals.withColumn("position", F.row_number().over(line) - 1)
-    eligible = placed.where("trade_eligible").withColumn("previous", F.lag("state").over(line))
-    return eligible.where(F.col("state").isin("extreme_fear", "extreme_greed") & ~F.col("state").eqNullSafe(F.col("previous"))).drop("previous")
+def extreme_entries(signals: DataFrame, *, rows: int = scan.ROWS) -> DataFrame:
+    """Rows where an eligible signal turns extreme: its state differs from that of the eligible row before.
+
+    ``position`` is the row's place in its channel.  The signals are written
+    once; a channel is worked on in parts of about so many ``rows``.
+    """
+    placed = scan.positions(stored(signals, "signals"), ["channel"], ["date"], rows=rows)
+    eligible = scan.framed(placed.where("trade_eligible"), ["channel"], ["date"], {"__before": lambda w: F.lag("state").over(w)}, preceding=1, rows=rows)
+    return eligible.where(F.col("state").isin("extreme_fear", "extreme_greed") & ~F.col("state").eqNullSafe(F.col("__before"))).drop("__before")
 
 
 def non_overlapping(events: DataFrame, horizon: int = 20) -> DataFrame:
@@ -36,12 +39,17 @@ def non_overlapping(events: DataFrame, horizon: int = 20) -> DataFrame:
     return events.join(chosen, ["channel", "position"], "left_semi")
 
 
-def forward_returns(prices: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
-    """Per ticker and session the returns over so many of its own sessions; days that occur twice are left out altogether."""
-    line = Window.partitionBy("ticker").orderBy("date")
-    once = prices.where(F.col("close").isNotNull()).withColumn("copies", F.count("*").over(Window.partitionBy("ticker", "date"))).where("copies = 1")
-    legs = [F.struct(F.lit(h).alias("horizon"), (F.lead("close", h).over(line) / F.nullif("close", F.lit(0.0)) - 1).alias("value")) for h in horizons]
-    return once.select("ticker", "date", *[leg.alias(f"leg{k}") for k, leg in enumerate(legs)]).select("ticker", "date", F.explode(F.array(*[f"leg{k}" for k in range(len(legs))])).alias("leg")).select("ticker", "date", "leg.horizon", "leg.value")
+def forward_returns(prices: DataFrame, horizons: tuple[int, ...] = HORIZONS, *, rows: int = scan.ROWS) -> DataFrame:
+    """Per ticker and session the returns over so many of its own sessions; days that occur twice are left out altogether.
+
+    Days are counted map-side and written once; a ticker is worked on in parts
+    of about so many ``rows``, each with the sessions that follow it.
+    """
+    once = prices.where(F.col("close").isNotNull()).groupBy("ticker", "date").agg(F.count("*").alias("copies"), F.max("close").alias("close")).where("copies = 1").drop("copies")
+    ahead = {f"__ahead_{h}": lambda w, h=h: F.lead("close", h).over(w) for h in horizons}
+    found = scan.framed(stored(once, "closes"), ["ticker"], ["date"], ahead, preceding=0, following=max(horizons), rows=rows)
+    legs = [F.struct(F.lit(h).alias("horizon"), (F.col(f"__ahead_{h}") / F.nullif("close", F.lit(0.0)) - 1).alias("value")) for h in horizons]
+    return found.select("ticker", "date", F.explode(F.array(*legs)).alias("leg")).select("ticker", "date", "leg.horizon", "leg.value")
 
 
 def unconditional(returns: DataFrame, *keys: str) -> DataFrame:

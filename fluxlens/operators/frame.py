@@ -2,32 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from fluxlens.functions import states
-from fluxlens.operators import regression, selection
+from fluxlens.operators import regression, scan, selection
+from fluxlens.sources.landing import stored
 
 #: Fields of a signal that are put beside a day, in order.
 FIELDS = ("alpha", "beta", "rolling_r2", "residual", "residual_z", "percentile", "state", "quality", "training_count", "trade_eligible", "expected_flow", "fit_method", "fit_score")
 
 
-def _sessions() -> Window:
-    """All sessions of one market: sums by day, a few thousand rows."""
-    return Window.partitionBy(F.lit(1)).orderBy("date")
+def full(function: Callable[[Column], Column], value: Column, sessions: int) -> Callable[[WindowSpec], Column]:
+    """A function of the last so many sessions of a line, null before there are as many."""
 
+    def over(line: WindowSpec) -> Column:
+        last = line.rowsBetween(1 - sessions, 0)
+        return F.when(F.count(value).over(last) == sessions, function(value).over(last))
 
-def full_mean(value: Column, sessions: int) -> Column:
-    """Mean of the last so many sessions, null before there are as many."""
-    frame = _sessions().rowsBetween(1 - sessions, 0)
-    return F.when(F.count(value).over(frame) == sessions, F.avg(value).over(frame))
-
-
-def full_max(value: Column, sessions: int) -> Column:
-    frame = _sessions().rowsBetween(1 - sessions, 0)
-    return F.when(F.count(value).over(frame) == sessions, F.max(value).over(frame))
+    return over
 
 
 def overridden(df: DataFrame, name: str, value: Column) -> Column:
@@ -41,16 +37,24 @@ def source_hash(df: DataFrame) -> Column:
     return overridden(df, "source_hash", F.substring(F.sha2(text, 256), 1, 16))
 
 
-def features(prices: DataFrame, flows: DataFrame) -> DataFrame:
-    """Days that both tables have, with return, flow as a share and in trillions, disparity, drawdown and source hash."""
-    joined = prices.join(flows, "date")
+def features(prices: DataFrame, flows: DataFrame, *, rows: int = scan.ROWS) -> DataFrame:
+    """Days that both tables have, with return, flow as a share and in trillions, disparity, drawdown and source hash.
+
+    The joined days are written once and worked on in parts of about so many
+    ``rows``, each with the year before it.
+    """
+    joined = stored(prices.join(flows, "date"), "bars")
+    close = F.col("close")
+    framed = scan.framed(joined, [], ["date"], {
+        "__before": lambda w: F.lag("close").over(w), "__mean50": full(F.avg, close, 50), "__top252": full(F.max, close, 252)}, preceding=251, rows=rows)
     return (
-        joined.withColumn("return_1d", F.col("close") / F.nullif(F.lag("close").over(_sessions()), F.lit(0.0)) - 1)
+        framed.withColumn("return_1d", close / F.nullif("__before", F.lit(0.0)) - 1)
         .withColumn("flow_share", overridden(joined, "flow_share", F.try_divide("individual_net_purchase", "trading_value")))
         .withColumn("raw_flow_trillion", overridden(joined, "raw_flow_trillion", F.col("individual_net_purchase") / 1e12))
-        .withColumn("disparity50", 100 * F.col("close") / full_mean(F.col("close"), 50))
-        .withColumn("mdd252", F.col("close") / full_max(F.col("close"), 252) - 1)
+        .withColumn("disparity50", 100 * close / F.col("__mean50"))
+        .withColumn("mdd252", close / F.col("__top252") - 1)
         .withColumn("source_hash", source_hash(joined))
+        .drop("__before", "__mean50", "__top252")
     )
 
 

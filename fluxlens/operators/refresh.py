@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 def seed(history: DataFrame, end: str, *, mutable: int = 5, least: int = 252) -> DataFrame:
     """The published rows up to ``end`` with ``is_frozen``: all but the last ``mutable`` sessions.
 
-    Empty where fewer than ``least`` sessions are there to build on.
+    Empty where fewer than ``least`` sessions are there to build on.  A day of
+    a history is one row; the last ones are taken by a top-k, so no task sorts
+    the history.
     """
     usable = history.where(F.col("date") <= F.lit(end).cast("date"))
-    line = Window.partitionBy(F.lit(1)).orderBy(F.desc("date"))
-    return usable.withColumn("is_frozen", F.row_number().over(line) > mutable).withColumn("whole", F.count("*").over(Window.partitionBy(F.lit(1)))).where(F.col("whole") >= least).drop("whole")
+    last = usable.select("date").orderBy(F.desc("date")).limit(mutable).agg(F.min("date").alias("__open"))
+    size = usable.agg(F.count("*").alias("__whole"))
+    known = usable.crossJoin(F.broadcast(last)).crossJoin(F.broadcast(size))  # one row each
+    return known.where(F.col("__whole") >= least).withColumn("is_frozen", F.coalesce(F.col("date") < F.col("__open"), F.lit(True))).drop("__open", "__whole")
 
 
 def scale_stability(frozen: DataFrame, fetched: DataFrame, boundary: str, *, anchors: int = 6, least: int = 3, tolerance: float = 0.005) -> DataFrame:

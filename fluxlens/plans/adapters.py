@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxlens.functions import states
-from fluxlens.operators import reconcile, selection, status
+from fluxlens.operators import periods, reconcile, selection, status
 from fluxlens.sources import headers, market
 
 
@@ -119,13 +119,36 @@ def k14_status_after_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("date", "state", F.array_join("reasons", ",").alias("reasons"), "known_expected", "known_fresh")
 
 
+def b22_evaluation_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer asks for a period of its nation's sessions, the days on which orders are placed there."""
+    customers, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "orders"))
+    k, kinds = F.col("c_custkey"), (*periods.KINDS, "2w")
+    window = F.element_at(F.array(*map(F.lit, kinds)), (k % len(kinds)).cast("int") + 1)
+    end = F.when(k % 5 != 0, F.date_add(F.lit("1994-06-01").cast("date"), (k * 37 % 3400).cast("int")))
+    start = F.when(k % 7 != 0, F.date_add(F.lit("1996-01-01").cast("date"), (k * 53 % 1500).cast("int") - 300))
+    requests = customers.select(k, F.when(k % 31 != 0, F.col("c_nationkey")).alias("nation"), window.alias("window"), F.when(k % 3 == 0, "fixed").when(k % 3 == 1, "latest").alias("end_mode"), start.alias("start"), end.alias("end"))
+    sessions = orders.join(customers, F.col("o_custkey") == k).select(F.col("c_nationkey").alias("nation"), F.to_date("o_orderdate").alias("date"))
+    return periods.resolved(requests, sessions, key="c_custkey", market="nation")
+
+
 QUERIES = {f.__name__: f for f in (
+    b22_evaluation_periods,
     a2_first_named_row, a3_last_row_of_code, a8_a9_participant_flows, a13_source_by_stock, b24_iso_dates, b30_public_reasons, c15_c17_filled_rows, d14_flow_channels, e15_reproduced_runs, k14_status_after_failure,
 )}
 
 _TEXT = "case o_orderkey % 9 when 0 then y || m || d when 1 then ' ' || y || '-' || m || '-' || d when 2 then y || '-' || m || '-' || d || '-T00' when 3 then '0000-' || m || '-' || d else y || '-' || m || '-' || d end"
 
 SQL = {
+    "b22_evaluation_periods": """, s as (select distinct c_nationkey as nation, cast(o_orderdate as date) as date from orders join customer on c_custkey = o_custkey), l as (select nation, max(date) as latest from s group by nation),
+        r as (select c_custkey, case when c_custkey % 31 <> 0 then c_nationkey end as nation, (['all', 'custom', 'ytd', '1m', '3m', '6m', '1y', '3y', '2w'])[c_custkey % 9 + 1] as win, c_custkey % 3 = 0 as fixed,
+          case when c_custkey % 7 <> 0 then date '1996-01-01' + cast(c_custkey * 53 % 1500 - 300 as integer) end as own_start, case when c_custkey % 5 <> 0 then date '1994-06-01' + cast(c_custkey * 37 % 3400 as integer) end as own_end from customer),
+        e as (select r.*, latest, case when latest is null then 'no_sessions' when win = '2w' or (win = 'custom' and own_start is null) or (fixed and own_end is null) then 'invalid' end as refused,
+          case when (fixed or win = 'custom') and own_end < latest then own_end else latest end as until from r left join l on l.nation = r.nation),
+        p as (select *, case win when 'custom' then own_start when 'ytd' then cast(date_trunc('year', until) as date) when '1m' then cast(until - interval 1 month as date) when '3m' then cast(until - interval 3 month as date)
+          when '6m' then cast(until - interval 6 month as date) when '1y' then cast(until - interval 1 year as date) when '3y' then cast(until - interval 3 year as date) end as since from e)
+        select c_custkey, p.nation, any_value(case when refused is null then since end) as "start", any_value(case when refused is null then until end) as "end", min(s.date) as first_session, max(s.date) as last_session,
+          case when any_value(refused) is null then count(s.date) end as sessions, coalesce(any_value(refused), case when count(s.date) > 0 then 'ok' else 'empty' end) as state
+        from p left join s on s.nation = p.nation and p.refused is null and (p.since is null or s.date >= p.since) and s.date <= p.until group by c_custkey, p.nation""",
     "a2_first_named_row": """select day, o_orderkey, o_orderpriority from (select cast(o_orderdate as date) as day, o_orderkey, o_orderpriority, row_number() over (partition by cast(o_orderdate as date) order by o_orderkey) as k
         from orders where lower(replace(o_orderpriority, ' ', '')) in ('4-notspecified', '5-low')) x where k = 1""",
     "a3_last_row_of_code": """, coded as (select case when l_linenumber % 3 = 0 then 'S' || l_suppkey when l_linenumber % 3 <> 1 then 'P' || (l_partkey % 50) else 'L' || l_linenumber end as code, cast(l_shipdate as date) as day, l_orderkey, l_linenumber from lineitem),

@@ -8,7 +8,7 @@ import pytest
 from fluxlens import queries as engine
 from fluxlens.plans import trading
 
-SOME = ["c1_core_join", "b1_b7_features", "d10_rolling_signals", "i1_extreme_entries", "c2_strict_as_of", "k5_gap_repair", "i4_i5_event_study", "h2_difference", "j1_j5_simulated_ledgers", "e6_e7_path_metrics", "d11_d13_analysis_frame", "k2_anchor_check", "b8_source_hash", "e9_state_boundaries", "i2_non_overlapping", "k15_contract_rules", "a7_a11_day_files", "a14_refused_values", "e5_input_report", "f9_segments_in_sql", "l4_relative_as_of", "k14_status_after_failure", "c8_missing_and_extra"]
+SOME = ["c1_core_join", "b1_b7_features", "d10_rolling_signals", "i1_extreme_entries", "c2_strict_as_of", "k5_gap_repair", "i4_i5_event_study", "h2_difference", "j1_j5_simulated_ledgers", "e6_e7_path_metrics", "d11_d13_analysis_frame", "k2_anchor_check", "b8_source_hash", "e9_state_boundaries", "i2_non_overlapping", "k15_contract_rules", "a7_a11_day_files", "a14_refused_values", "e5_input_report", "f9_segments_in_sql", "l4_relative_as_of", "k14_status_after_failure", "b22_evaluation_periods", "k8_incremental_seed", "f3_rolling_quantile", "c8_missing_and_extra"]
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
