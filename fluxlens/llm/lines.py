@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from fluxlens.llm.common import by_texts, quoted, shared_dir, texts_of, written
 
 BLANK = b" \t\n\x0b\x0c\r"
+#: Keys of a batch, about: a larger corpus has more batches, not larger ones.
+BATCH_KEYS = 1 << 28
 
 
 def key_of(line: bytes) -> bytes:
@@ -49,8 +52,10 @@ class LineRuns:
     holds ``fanout`` runs they are merged, adding up their documents: keys
     that reach ``min_docs`` make a frequent run, the others one run of the
     next level.  So there are at most ``fanout - 1`` open runs in each of a
-    logarithmic number of levels.  Runs lie in the shared folder: a lost
-    executor loses none.
+    logarithmic number of levels; frequent runs, whose keys are all different,
+    are levelled in the same way, so a batch meets a logarithmic number of
+    those too.  Runs lie in the shared folder: a lost executor loses none.
+    ``close`` drops the tables' names, also after a failure.
     """
 
     def __init__(self, spark: SparkSession, *, min_docs: int = 10, fanout: int = 2, buckets: int | None = None):
@@ -59,9 +64,14 @@ class LineRuns:
         self._name = f"line_runs_{uuid.uuid4().hex}"
         self._path = f"{shared_dir(spark)}/fluxlens/{self._name}"
         self.levels: list[list[str]] = []
-        self.frequent: list[str] = []
+        self.settled: list[list[str]] = []
         self._made = 0
 
+    @property
+    def frequent(self) -> list[str]:
+        """The runs of frequent keys of all levels."""
+        return [run for level in self.settled for run in level]
+
     def _run(self, counts: DataFrame) -> str:
         table = f"{self._name}_{self._made}"
         self._made += 1
@@ -86,21 +96,28 @@ class LineRuns:
     def add(self, keys: DataFrame) -> None:
         """Adds the keys of a batch, a row for each document that has one, and compacts."""
         counts = keys.groupBy("key").agg(F.count("*").alias("docs"))
-        self._place(self._run(self._without_frequent(counts)), 0)
+        self._place(self.levels, self._run(self._without_frequent(counts)), 0, self._compact)
 
-    def _place(self, run: str, level: int) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(run)
-        if len(self.levels[level]) >= self.fanout:
-            merged, self.levels[level] = self._compact(self.levels[level]), []
-            self._place(merged, level + 1)
+    def _place(self, levels: list[list[str]], run: str, level: int, merge: Callable[[list[str]], str]) -> None:
+        while len(levels) <= level:
+            levels.append([])
+        levels[level].append(run)
+        if len(levels[level]) >= self.fanout:
+            merged, levels[level] = merge(levels[level]), []
+            self._place(levels, merged, level + 1, merge)
 
     def _compact(self, runs: list[str]) -> str:
         """Moves keys with enough documents to a frequent run; the run of the others."""
         total = self._without_frequent(self._merged(runs))
-        self.frequent.append(self._run(total.where(F.col("docs") >= self.min_docs)))
-        return self._run(total.where(F.col("docs") < self.min_docs))
+        often = self._run(total.where(F.col("docs") >= self.min_docs))
+        rest = self._run(total.where(F.col("docs") < self.min_docs))
+        self._place(self.settled, often, 0, lambda runs: self._run(self._merged(runs)))
+        return rest
+
+    def close(self) -> None:
+        """Drops the tables' names; their files are those of the shared folder."""
+        for k in range(self._made):
+            self.spark.sql(f"drop table if exists {self._name}_{k}")
 
     def keys(self) -> DataFrame:
         """The keys that ``min_docs`` documents or more have; ends the runs."""
@@ -111,8 +128,7 @@ class LineRuns:
         for run in self.frequent:
             found = found.unionAll(self.spark.table(run).select("key"))
         found = written(found, "frequent")
-        for k in range(self._made):  # the tables' names; their files are those of the shared folder
-            self.spark.sql(f"drop table if exists {self._name}_{k}")
+        self.close()
         return found
 
     def unseen(self, keys: DataFrame) -> DataFrame:
@@ -131,7 +147,8 @@ def _together(columns: list[str]):
 def drop_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, batches: int = 4, fanout: int = 2, keep_first: bool = False, keep_text: bool = False, text_col: str = "text") -> DataFrame:
     """Drops every line whose key is found in at least ``min_docs`` documents.
 
-    The corpus is added to the runs (see :class:`LineRuns`) in ``batches``;
+    The corpus is added to the runs (see :class:`LineRuns`) in ``batches``, or
+    in as many as hold ``BATCH_KEYS`` keys each;
     keys that have proved frequent are joined to the documents that have them.
     Keys count once in a document and are summed before they are shuffled; a key in
     very many documents is spread by the engine's splitting of skewed joins.
@@ -152,9 +169,13 @@ def drop_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, batch
     row_key = F.xxhash64(*[F.col(c) for c in docs.columns if c == "doc_id"], F.coalesce(F.col(text_col), F.lit("")))
     keys = written(line_keys(docs, row_key, min_chars=min_chars, text_col=text_col), "lines")
     runs = LineRuns(docs.sparkSession, min_docs=min_docs, fanout=fanout)
-    for k in range(batches):
-        runs.add(keys.where(F.pmod("row", F.lit(batches)) == k))
-    frequent = runs.keys()
+    batches = max(batches, -(-keys.count() // BATCH_KEYS))
+    try:
+        for k in range(batches):
+            runs.add(keys.where(F.pmod("row", F.lit(batches)) == k))
+        frequent = runs.keys()
+    finally:
+        runs.close()
     hits = keys.join(frequent, "key", "left_semi")
     if keep_first:
         first = written(hits.groupBy("key").agg(F.min("row").alias("first")), "first")

@@ -132,6 +132,42 @@ def test_line_runs(spark):
     assert lines.LineRuns(spark, buckets=2).keys().count() == 0
 
 
+def test_frequent_runs_are_levelled_and_names_dropped(spark):
+    runs = lines.LineRuns(spark, min_docs=2, fanout=2, buckets=2)
+    for k in range(8):  # every compaction of level 0 finds new frequent keys
+        runs.add(spark.createDataFrame([(bytearray([k]),)] * 2, "key binary"))
+    assert [len(x) for x in runs.settled if x] and len(runs.frequent) <= 3
+    found = [r["key"][0] for run in runs.frequent for r in spark.table(run).collect()]
+    assert sorted(found) == list(range(8))
+    made = runs._name
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(made)]
+
+
+def test_no_table_is_left_after_a_failure(docs, monkeypatch):
+    made = []
+    inner = lines.LineRuns._run
+
+    def failing(self, counts):
+        made.append(self._name)
+        if len(made) > 2:
+            raise RuntimeError("lost")
+        return inner(self, counts)
+
+    monkeypatch.setattr(lines.LineRuns, "_run", failing)
+    with pytest.raises(RuntimeError):
+        lines.drop_lines(docs, min_docs=3)
+    assert not [t for t in docs.sparkSession.catalog.listTables() if t.name.startswith(made[0])]
+
+
+def test_more_keys_than_a_batch_holds(docs, monkeypatch):
+    whole = sorted(map(str, lines.drop_lines(docs, min_docs=3).collect()))
+    added, inner = [], lines.LineRuns.add
+    monkeypatch.setattr(lines, "BATCH_KEYS", 4)
+    monkeypatch.setattr(lines.LineRuns, "add", lambda self, keys: (added.append(1), inner(self, keys))[1])
+    assert sorted(map(str, lines.drop_lines(docs, min_docs=3).collect())) == whole and len(added) > 4
+
+
 @pytest.mark.parametrize("batches,fanout", [(1, 2), (5, 2), (7, 3)])
 def test_frequent_lines_do_not_depend_on_batches(docs, batches, fanout):
     key = lambda r: (r["doc_id"] is None, r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_sha256"])
@@ -378,6 +414,30 @@ def test_quality(spark, docs, empty):
     assert rng is not None
 
 
+def test_scores_are_a_plain_softmax(docs, monkeypatch):
+    made, inner = {}, lm.fit
+    monkeypatch.setattr(lm, "fit", lambda training, vocabulary, **o: made.setdefault("fitted", (vocabulary, inner(training, vocabulary, **o)))[1])
+    unique = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text"))
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    found = lm.log_bilinear_scores(unique, held).join(unique, "doc_id").collect()
+    vocabulary, model = made["fitted"]
+    counts = collections.Counter(w for r in found if not r["held_out"] for w in [*(r["text"] or "").encode().lower().split(), None])
+    one, two, target, bias = (a.astype(float) for a in model.arrays)
+    for r in found:
+        codes, shapes, starts = lm.tokens_of([r["text"] or ""])
+        words = [*(r["text"] or "").encode().lower().split(), None]
+        _, number, context = vocabulary.numbers(codes, shapes)
+        total = 0.0
+        for k, w in enumerate(words):
+            before = [context[k - back] if k >= back else 0 for back in (1, 2)]
+            logits = target @ (one[before[0]] + two[before[1]]) + bias[:, 0]
+            p = np.exp(logits[number[k]] - logits.max()) / np.exp(logits - logits.max()).sum()
+            if number[k] >= vocabulary.sizes.own:  # one of a class, by its exact count
+                p *= (counts[w] + 1) / vocabulary.class_total[number[k] - vocabulary.sizes.own]
+            total += np.log10(p)
+        assert r["score"] == pytest.approx(total, abs=2e-3 * len(words)), r["doc_id"]
+
+
 def test_language_model(docs, empty, monkeypatch):
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
     found = lm.log_bilinear_scores(docs, held).collect()
