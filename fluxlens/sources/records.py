@@ -34,8 +34,7 @@ def _text(document: str, field: Field) -> Column:
     """The first of the field's names that holds a value, as text; objects and lists stay JSON."""
     names = field.aliases or (field.name,)
     paths = ["$['" + n.replace("'", "\\'") + "']" for n in names]
-    there = [F.try_variant_get(document, p, "variant") for p in paths]
-    return F.coalesce(*[F.when(v.isNotNull() & ~F.is_variant_null(v), F.coalesce(F.try_variant_get(document, p, "string"), F.to_json(v))) for v, p in zip(there, paths)])
+    return F.coalesce(*[F.try_variant_get(document, p, "string") for p in paths])
 
 
 def _value(text: Column, field: Field) -> Column:
@@ -63,16 +62,20 @@ def parsed(df: DataFrame, column: str, fields: Sequence[Field]) -> DataFrame:
     text = {f.name: _text("__doc", f) for f in fields}
     texts = document.withColumn("__text", F.struct(*[F.nullif(F.trim(t), F.lit("")).alias(n) for n, t in text.items()]))
     values = texts.withColumn("__value", F.struct(*[_value(F.col(f"__text.`{f.name}`"), f).alias(f.name) for f in fields]))
-    error = lambda name, code: F.struct(F.lit(name).cast("string").alias("field"), F.lit(code).alias("code"))
     blank = F.col(column).isNull() | (F.trim(column) == "")
-    whole = F.when(blank, error(None, "no_document")).when(F.col("__doc").isNull(), error(None, "invalid_json")).when(~F.startswith(F.schema_of_variant("__doc"), F.lit("OBJECT")), error(None, "not_an_object"))
+    whole = F.when(blank, "no_document").when(F.col("__doc").isNull(), "invalid_json").when(~F.startswith(F.schema_of_variant("__doc"), F.lit("OBJECT")), "not_an_object")
+    found = values.withColumn("__whole", whole)
+    error = lambda name, code: F.array(F.struct(F.lit(name).cast("string").alias("field"), code.alias("code")))
+    none = F.array().cast("array<struct<field: string, code: string>>")
     own = []
     for f in fields:
         t, v = F.col(f"__text.`{f.name}`"), F.col(f"__value.`{f.name}`")
-        wrong = F.when(t.isNotNull() & v.isNull(), error(f.name, f"invalid_{f.kind}"))
-        own.append(F.when(t.isNull(), error(f.name, "missing")).otherwise(wrong) if f.required else wrong)
-    errors = F.when(whole.isNotNull(), F.array(whole)).otherwise(F.array_compact(F.array(*own)))
-    return values.withColumn("errors", errors).select(*df.columns, *[F.col(f"__value.`{f.name}`").alias(f.name) for f in fields], "errors")
+        wrong = F.when(t.isNotNull() & v.isNull(), error(f.name, F.lit(f"invalid_{f.kind}"))).otherwise(none)
+        own.append(F.when(t.isNull(), error(f.name, F.lit("missing"))).otherwise(wrong) if f.required else wrong)
+    errors = F.when(F.col("__whole").isNotNull(), error(None, F.col("__whole"))).otherwise(F.concat(none, *own))
+    # A list of one, taken apart: conditions on what it holds stay above it, else the whole would be parsed anew at each place that they name.
+    made = F.struct(*[F.col(f"__value.`{f.name}`").alias(f.name) for f in fields], F.col("__errors").alias("errors"))
+    return found.withColumn("__errors", errors).select(*df.columns, F.inline(F.array(made)))
 
 
 def accepted(rows: DataFrame) -> DataFrame:

@@ -90,6 +90,21 @@ def test_every_record_is_accepted_or_refused(spark):
     assert records.parsed(df.limit(0), "t", [records.Field("a")]).count() == 0
 
 
+def parses(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson")
+
+
+def test_refused_values_parse_a_document_once(spark, sf_dir):
+    assert parses(surface.a14_refused_values(spark, sf_dir)) == 1
+
+
+def test_text_of_any_value(spark):
+    texts = {1: '{"a": {"b": [1, "x", null]}}', 2: '{"a": [1.50, true]}', 3: '{"a": 1.50}', 4: '{"a": false}', 5: '{"a": null, "A": "\\u00e9"}', 6: '{"a": " "}', 7: '{"a": {}}'}
+    rows = records.parsed(spark.createDataFrame(list(texts.items()), "id int, t string"), "t", [records.Field("a", aliases=("a", "A"))])
+    assert {r["id"]: r["a"] for r in records.accepted(rows).collect()} == {1: '{"b":[1,"x",null]}', 2: "[1.5,true]", 3: "1.5", 4: "false", 5: "é", 7: "{}"}
+    assert [tuple(r) for r in records.refused(rows, ["id"]).collect()] == [(6, "a", "missing")] and parses(rows.where("a like '1%' and size(errors) = 0")) == 1
+
+
 def test_contract_rules(spark):
     a = spark.createDataFrame([("x", day(0), 1.0), ("x", day(1), -1.0), ("x", day(1), None), ("y", day(2), float("nan")), (None, day(9), 150.0), (None, None, 2.0)], "k string, d date, v double")
     b = spark.createDataFrame([(day(0),), (day(1),), (day(2),), (day(3),)], "d date")
