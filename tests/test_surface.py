@@ -98,6 +98,13 @@ def test_refused_values_parse_a_document_once(spark, sf_dir):
     assert parses(surface.a14_refused_values(spark, sf_dir)) == 1
 
 
+def test_accepted_records_parse_a_document_once(spark, sf_dir):
+    found = surface.a14_accepted_records(spark, sf_dir)
+    assert parses(found) == 1 and parses(found.where("k > 0 and day > date'2024-01-02'")) == 1
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id % 9 in (3, 5, 6)")
+    assert found.count() == events.count() and found.where("day is null").count() == events.where("event_id % 9 = 5").count()
+
+
 def test_text_of_any_value(spark):
     texts = {1: '{"a": {"b": [1, "x", null]}}', 2: '{"a": [1.50, true]}', 3: '{"a": 1.50}', 4: '{"a": false}', 5: '{"a": null, "A": "\\u00e9"}', 6: '{"a": " "}', 7: '{"a": {}}'}
     rows = records.parsed(spark.createDataFrame(list(texts.items()), "id int, t string"), "t", [records.Field("a", aliases=("a", "A"))])
